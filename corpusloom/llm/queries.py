@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import table
-from . import conversations, leakage, splitting, tokenization
+from . import conversations, leakage, secrets, splitting, tokenization
 
 llm = Registry()
 
 
+SECRET_TEXTS = (("chunks", "id", "content"), ("qa_log", "qa_id", "query"), ("conv_turns", "chunk_id", "user_prompt"))
+
+
+@llm.add("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_places(spark, sf_dir).select("tbl", "row_key", "line_no").distinct()
+
+
+@llm.add("p2_places")
+def p2_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [secrets.find_secrets(table(spark, sf_dir, t), F.col(k), F.col(c)).select(F.lit(t).alias("tbl"), "*") for t, k, c in SECRET_TEXTS]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+@llm.add("p2_redacted")
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for t, k, c in SECRET_TEXTS:
+        rows = table(spark, sf_dir, t).select(F.col(k).cast("string").alias("row_key"), F.col(c).alias("text"))
+        parts.append(secrets.redact_column(rows, "row_key", "text").select(F.lit(t).alias("tbl"), "*"))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 @llm.add("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.dropped_sessions(table(spark, sf_dir, "conv_turns"))
@@ -39,7 +65,7 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm.add("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False, oversized_only=True)
-    return pieces.filter("piece = 0 and pieces > 1").select("doc_id")
+    return pieces.filter("piece = 0 and pieces > 1").select("doc_id").distinct()
 
 
 @llm.add("p10_pieces")
