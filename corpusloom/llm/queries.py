@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import table
-from . import conversations, leakage, secrets, splitting, tokenization
+from . import conversations, functions, leakage, secrets, splitting, tokenization
 
 llm = Registry()
 
@@ -47,6 +47,16 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(table(spark, sf_dir, "conv_turns"))
 
 
+@llm.add("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pairs(spark, sf_dir).select("chunk_id", "name").distinct()
+
+
+@llm.add("p5_pairs")
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return functions.documented_functions(table(spark, sf_dir, "chunks"), "id", "content", "docstring").distinct()
+
+
 @llm.add("p8_ids")
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
