@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import table
-from . import conversations, functions, leakage, secrets, splitting, tokenization
+from . import conversations, functions, language, leakage, secrets, splitting, tokenization
 
 llm = Registry()
 
@@ -57,6 +57,24 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions.documented_functions(table(spark, sf_dir, "chunks"), "id", "content", "docstring").distinct()
 
 
+LANGUAGE_TEXTS = (("qa_log", "qa_id", "query"), ("conv_turns", "chunk_id", "user_prompt"), ("commit_log", "sha", "subject"))
+
+
+@llm.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = p6_segments(spark, sf_dir)
+    keyed = parts.withColumn("row_key", F.struct("tbl", "row_key"))
+    return language.relabelled(keyed).select("row_key.tbl", "row_key.row_key", "lang")
+
+
+@llm.add("p6_segments")
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = [table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.col(k).cast("string").alias("row_key"), F.col(c).alias("text"), "lang") for t, k, c in LANGUAGE_TEXTS]
+    model = language.train(language.sample(reduce(DataFrame.unionByName, texts), "row_key", "text", "lang"))
+    parts = [language.segment_languages(x, F.col("row_key"), F.col("text"), F.col("lang"), model).select(F.lit(t).alias("tbl"), "*") for x, (t, _, _) in zip(texts, LANGUAGE_TEXTS)]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 @llm.add("p8_ids")
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
