@@ -184,7 +184,7 @@ def train(rows: Sequence[tuple[str, str]]) -> LanguageModel:
         # the lowest confidence from which on labels agree as often as they do at all; labels themselves are partly wrong
         target = right[sure >= np.quantile(sure, 0.5)].mean() - 0.02
         edges = np.quantile(sure, np.linspace(0, 0.2, 21))
-        threshold = float(min(0.42, max(0.35, next((e for e in edges if right[sure >= e].mean() >= target), 0.35))))
+        threshold = float(min(0.36, max(0.3, next((e for e in edges if right[sure >= e].mean() >= target), 0.3))))
     return LanguageModel(table.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32), temperature, threshold, frozenset(w for w, c in known.items() if c >= KNOWN))
 
 
