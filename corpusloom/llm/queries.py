@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import table
-from . import conversations, functions, language, leakage, secrets, splitting, tokenization
+from . import conversations, functions, language, leakage, provenance, secrets, splitting, tokenization
 
 llm = Registry()
 
@@ -47,6 +47,16 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(table(spark, sf_dir, "conv_turns"))
 
 
+@llm.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_files(spark, sf_dir).filter("verdict is not null").select("file_id").distinct()
+
+
+@llm.add("p4_files")
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.judged_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"))
+
+
 @llm.add("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pairs(spark, sf_dir).select("chunk_id", "name").distinct()
