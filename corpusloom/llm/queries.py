@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import table
-from . import conversations, functions, language, leakage, provenance, secrets, splitting, tokenization
+from . import conversations, functions, language, leakage, nearcopies, provenance, secrets, splitting, tokenization
 
 llm = Registry()
 
@@ -85,6 +85,22 @@ def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+@llm.add("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_pairs(spark, sf_dir).select("qa_id_a", "qa_id_b").distinct()
+
+
+@llm.add("p7_pairs")
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = nearcopies.similar_pairs(table(spark, sf_dir, "qa_log"), "qa_id", "query", "answer_excerpt")
+    return pairs.select(F.col("id_a").alias("qa_id_a"), F.col("id_b").alias("qa_id_b"), "similarity", "edit_similarity")
+
+
+@llm.add("p7_groups")
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.similar_groups(table(spark, sf_dir, "qa_log"), "qa_id", "query", "answer_excerpt").withColumnRenamed("id", "qa_id")
+
+
 @llm.add("p8_ids")
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
