@@ -8,6 +8,7 @@ from .registry import Registry
 
 
 def registries() -> Iterator[Registry]:
-    from . import incremental_queries
+    from . import incremental_queries, search_queries
 
     yield incremental_queries.incremental
+    yield search_queries.search
