@@ -154,8 +154,8 @@ def resolve_edges(edges: DataFrame, chunks: DataFrame, files: DataFrame) -> Data
     shorter = modules.select("clean", F.explode(_suffixes(F.col("clean"))).alias("stem")).join(stems, "stem").select("stem", "clean")
     matches = longer.select("stem", "clean").union(shorter).distinct()
     named = c.filter("qualified_name like '%::%'").withColumn("stem", F.regexp_replace(F.substring_index("qualified_name", "::", 1), r"\.[^./]+$", ""))
-    near = outside.withColumn("clean", clean).join(matches, "clean").join(named.select("stem", "qualified_name", "chunk_id"), "stem").filter(F.contains("qualified_name", F.col("callee_name")))
-    rule1b = pick(near.withColumn("place", F.col("qualified_name"))).select("edge_id", "chunk_id", F.lit("extracted").alias("confidence"), F.lit(2).alias("rule"))
+    near = outside.withColumn("clean", clean).join(matches, "clean").join(named.select("stem", "qualified_name", "chunk_id", "name"), "stem").filter(F.contains("qualified_name", F.col("callee_name")))
+    rule1b = pick(near.withColumn("place", F.struct(F.when(F.col("name") == F.col("callee_name"), 0).otherwise(1), "qualified_name"))).select("edge_id", "chunk_id", F.lit("extracted").alias("confidence"), F.lit(2).alias("rule"))
 
     parts = F.split("qualified_name", r"::|\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))

@@ -29,7 +29,7 @@ def plain_path(path: Column) -> Column:
     """The plain spelling of a path: forward slashes, no empty or '.' parts, '..' resolved."""
     parts = F.split(F.trim(path), r"[/\\]+")
     step = lambda acc, x: (
-        F.when(x.isin("", "."), acc).when((x == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.size(acc) - 1)).when(x == "..", acc).otherwise(F.concat(acc, F.array(x)))
+        F.when(x.isin("", "."), acc).when((x == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x)))
     )
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 

@@ -81,7 +81,7 @@ def front_matter_list(text: Column, key: str) -> Column:
 
 def markdown_records(spark: SparkSession, path: str, keys: list[str], lists: tuple[str, ...] = ()) -> DataFrame:
     """(path, keys, lists, body): records stored as markdown with front matter; files without one are skipped."""
-    t = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("t")).filter(F.col("t").rlike(r"\A---\r?\n"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("t")).filter(F.col("t").rlike(r"\A---\r?\n"))
     body = F.regexp_replace("t", r"\A---\r?\n(?s:.*?)\r?\n---\r?\n?", "")
     return t.select("path", *[front_matter(F.col("t"), k).alias(k) for k in keys], *[front_matter_list(F.col("t"), k).alias(k) for k in lists], body.alias("body"))
 
@@ -93,6 +93,6 @@ def facts(spark: SparkSession, path: str) -> DataFrame:
 def gold(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation queries stored as a list or under ``queries``."""
     item = "struct<id:string,category:string,query:string,expected_files:array<string>,primary_target:string>"
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     listed = F.when(F.col("value").rlike(r"\A\s*\["), F.from_json("value", f"array<{item}>")).otherwise(F.from_json("value", f"queries array<{item}>")["queries"])
     return raw.select(F.inline(listed))
