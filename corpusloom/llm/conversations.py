@@ -62,13 +62,13 @@ def turns(rows: DataFrame) -> DataFrame:
         F.min("prompt").alias("prompt"),
         F.max("prompt").alias("prompt_other"),
         F.max_by("reply", F.struct(F.length("reply"), "reply")).alias("reply"),
-        F.min("reply").alias("reply_other"),
-        F.count_if(F.col("reply").isNotNull() & F.col("prompt").isNull()).alias("replies_alone"),
+        F.min("reply").alias("reply_first"),
+        F.max("reply").alias("reply_last"),
         F.min(F.when(F.col("prompt").isNotNull(), F.col("ts"))).alias("prompt_ts"),
         F.max(F.when(F.col("reply").isNotNull(), F.col("ts"))).alias("reply_ts"),
     )
     # Several versions of a reply are rare, so only those turns meet their rows again.
-    several = grouped.filter("reply != reply_other").select(*KEYS, "turn_index", F.col("reply").alias("longest"))
+    several = grouped.filter("reply_first != reply_last").select(*KEYS, "turn_index", F.col("reply").alias("longest"))
     broken = (
         r.filter("reply is not null")
         .join(several, [*KEYS, "turn_index"])

@@ -14,6 +14,34 @@ from . import conversations, functions, language, leakage, nearcopies, provenanc
 llm = Registry()
 
 
+_INVISIBLE = r"\s\p{Z}\p{Cc}\p{Cf}"
+_HARNESS = r"(?is)<[a-z]+(?:-[a-z]+)+(?:\s[^>]*)?>.*?</[a-z]+(?:-[a-z]+)+\s*>|\[\s*request (?:was )?(?:interrupted|aborted|cancell?ed)[^\]]*\]|[(\[<]?\s*no[ _-]content\s*[)\]>]?"
+_WORD_END, _ANY_WORD = r"[^\p{L}\p{N}_]+", r"[^\p{L}\p{N}]+"
+
+
+def _trim(text: str) -> str:
+    return f"regexp_replace({text}, '^[{_INVISIBLE}]+|[{_INVISIBLE}]+$', '', 'g')"
+
+
+def _present(text: str) -> str:
+    bare = f"regexp_replace({text}, '{_HARNESS}', '', 'g')"
+    return f"CASE WHEN {_trim(bare)} <> '' THEN {_trim(text)} END"
+
+
+def _windows(key: str, source: str) -> str:
+    words = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_ANY_WORD}'), lambda w: w <> '')"
+    return f"(SELECT DISTINCT {key} AS k, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {key}, {words} AS w FROM {source})))"
+
+
+P3_SQL = f"""WITH r AS (SELECT source, session_id, turn_index, {_present('user_prompt')} AS p, {_present('assistant_excerpt')} AS a FROM conv_turns WHERE source IS NOT NULL AND session_id IS NOT NULL AND turn_index IS NOT NULL),
+t AS (SELECT source, session_id, turn_index, min(p) AS p, count(DISTINCT p) AS n, arg_max(a, length(a)) AS longest FROM r GROUP BY ALL),
+b AS (SELECT source, session_id, turn_index, bool_or(NOT starts_with(longest, a)) AS broken FROM r JOIN t USING (source, session_id, turn_index) WHERE a IS NOT NULL GROUP BY ALL)
+SELECT source, session_id FROM t LEFT JOIN b USING (source, session_id, turn_index) GROUP BY ALL
+HAVING min(turn_index) <> 0 OR max(turn_index) + 1 <> count(*) OR bool_or(t.p IS NULL OR longest IS NULL OR n > 1 OR coalesce(broken, false))"""
+P7_SQL = f"""WITH q AS (SELECT DISTINCT qa_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(query, '') || ' ' || answer_excerpt), '{_WORD_END}'), lambda w: w <> '')) AS s FROM qa_log WHERE regexp_matches(answer_excerpt, '[^{_INVISIBLE}]')),
+w AS (SELECT qa_id, unnest(s) AS word FROM q), shared AS (SELECT a.qa_id AS x, b.qa_id AS y, count(*) AS n FROM w a JOIN w b ON a.word = b.word AND a.qa_id < b.qa_id GROUP BY ALL)
+SELECT x AS qa_id_a, y AS qa_id_b FROM shared JOIN q a ON a.qa_id = x JOIN q b ON b.qa_id = y WHERE n / (len(a.s) + len(b.s) - n) >= 0.7"""
+P9_SQL = f"SELECT DISTINCT d.k AS doc_id, e.k AS item_id FROM {_windows('doc_id', 'documents')} d JOIN {_windows('item_id', 'eval_items')} e ON d.g = e.g"
 SECRET_TEXTS = (("chunks", "id", "content"), ("qa_log", "qa_id", "query"), ("conv_turns", "chunk_id", "user_prompt"))
 
 
@@ -37,7 +65,7 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-@llm.add("p3_found")
+@llm.add("p3_found", P3_SQL)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.dropped_sessions(table(spark, sf_dir, "conv_turns"))
 
@@ -85,7 +113,7 @@ def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-@llm.add("p7_found")
+@llm.add("p7_found", P7_SQL)
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_pairs(spark, sf_dir).select("qa_id_a", "qa_id_b").distinct()
 
@@ -106,7 +134,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@llm.add("p9_found")
+@llm.add("p9_found", P9_SQL)
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_passages(spark, sf_dir).filter(f"longest_run >= {leakage.WINDOW}").select("doc_id", "item_id")
 
