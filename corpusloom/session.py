@@ -59,4 +59,16 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+#: Bytes up to which a written table is sent to every executor.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, purpose: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The table written once and, if its files are small, marked for broadcast; else left to a shuffled join."""
+    from pyspark.sql import functions as F
+
+    kept = materialise(df, purpose)
+    return F.broadcast(kept) if estimated_bytes(kept) <= limit else kept
