@@ -1,3 +1,3 @@
-"""Spark-native hybrid retrieval, knowledge lifecycle and corpus preparation."""
+"""Spark-native retrieval, knowledge lifecycle and corpus preparation."""
 
 __version__ = "0.1.0"

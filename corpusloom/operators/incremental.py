@@ -47,6 +47,7 @@ class ManifestTable:
         hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._at = hadoop.Path
+        self._read_once: dict[str, dict] = {}  # manifests never change
 
     # -- manifests
 
@@ -56,7 +57,10 @@ class ManifestTable:
         if not self._fs.exists(folder):
             return []
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        return [json.loads(self._read(f"{self.path}/_manifests/{n}")) for n in names]
+        for n in names:
+            if n not in self._read_once:
+                self._read_once[n] = json.loads(self._read(f"{self.path}/_manifests/{n}"))
+        return [self._read_once[n] for n in names]
 
     def latest(self) -> int:
         found = self.versions()

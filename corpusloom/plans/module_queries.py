@@ -64,7 +64,7 @@ def q66(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("query", "relative_path").agg(F.max("score").alias("score")).filter("score > 0.001")
 
 
-@module.add("q67_prompt_router", "SELECT DISTINCT chunk_id, CASE WHEN regexp_matches(p, '`[^`]+`|(?:^|\\s)[\\w./-]+\\.(?:ts|tsx|js|jsx|py|rs|go|sql)\\b|\\*\\.(?:ts|tsx|js|jsx|py|rs|go|sql)\\b|\\bTraceback\\b|\\bError:|\\bException:|\\bat\\s+line\\s+\\d+\\b') OR len(list_filter(regexp_extract_all(p, '\\b[A-Z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\\b'), lambda w: length(w) >= 8)) > 0 THEN 'grep' WHEN regexp_matches(p, '지난번|이전에|왜 이렇게 결정|(?i:\\b(?:last\\s+time|previously|earlier\\s+we\\s+decided)\\b)') THEN 'memory' ELSE 'hybrid_search' END AS tool FROM (SELECT chunk_id, coalesce(user_prompt, '') AS p FROM conv_turns)")
+@module.add("q67_prompt_router", "SELECT DISTINCT chunk_id, CASE WHEN regexp_matches(p, '`[^`]+`|(?:^|\\s)[\\w./-]+\\.(?:ts|tsx|js|jsx|py|rs|go|sql)\\b|\\*\\.(?:ts|tsx|js|jsx|py|rs|go|sql)\\b|\\bTraceback\\b|\\bError:|\\bException:|\\bat\\s+line\\s+\\d+\\b') OR len(list_filter(regexp_extract_all(p, '\\b[A-Z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\\b'), lambda w: length(w) >= 8)) > 0 THEN 'grep' WHEN regexp_matches(p, '지난번|이전에|왜 이렇게 결정|(?i:\\b(?:last\\s+time|previously|earlier\\s+we\\s+decided)\\b)') THEN 'memory' ELSE 'search' END AS tool FROM (SELECT chunk_id, coalesce(user_prompt, '') AS p FROM conv_turns)")
 def q67(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conv_turns").select("chunk_id", O.route(F.col("user_prompt")).alias("tool")).distinct()
 
