@@ -224,7 +224,9 @@ class Scanner:
                     v = m[0] if m[0][-1:] == "?" and text[m.end() : m.end() + 1] in ("", "\n") else v
                     add(m.start(), m.start() + len(v), "sentence")
             for m in _PROSE_VALUE.finditer(text):
-                v = m[1].rstrip(".,;:!?)」") if not re.search(r"[!?]\w", m[1][-2:]) else m[1]
+                v = m[1].rstrip(".,;:!?)」")
+                if m[1][len(v) :] in ("!", "?") and text[m.end() : m.end() + 1] in ("", "\n", "\r") and self._accept(m[1], 2, False):
+                    v = m[1]  # a sign that ends the line with the value belongs to it
                 if self._accept(v, 2, False) and (self._random(v) or sum(_classes(v)) >= 3):
                     add(m.start(1), m.start(1) + len(v), "sentence")
             for m in _RUN.finditer(text):
