@@ -8,7 +8,7 @@ from .registry import Registry
 
 
 def registries() -> Iterator[Registry]:
-    from . import graph_queries, incremental_queries, ingest_queries, memory_queries, module_queries, search_queries
+    from . import graph_queries, incremental_queries, ingest_queries, memory_queries, module_queries, search_queries, upkeep_queries
 
     yield incremental_queries.incremental
     yield search_queries.search
@@ -16,3 +16,4 @@ def registries() -> Iterator[Registry]:
     yield memory_queries.memory
     yield ingest_queries.ingest
     yield module_queries.module
+    yield upkeep_queries.upkeep
