@@ -289,3 +289,16 @@ def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
     tops = ranked(spark, sf_dir).groupBy("query").agg(F.max("score").alias("s"))
     return tops.agg(*[F.round(F.percentile("s", p), 9).alias(n) for n, p in (("weak_score", 0.33), ("strong_score", 0.67), ("middle", 0.5))])
+
+
+@search.add("q99_index_recall")
+def q99(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the approximate index at ten against exact search, for the vectors whose id is divisible by 50."""
+    from ..operators import vector_index
+
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.filter("vec_id % 50 = 0")
+    exact = R.vector_topk(e, "vec_id", "embedding", asked, "vec_id", "embedding", 10).select("query", "doc")
+    index = vector_index.build(e, "vec_id", "embedding")
+    got = index.search(spark, asked, "vec_id", "embedding", 10).select("query", "doc").withColumn("hit", F.lit(1))
+    return exact.join(got, ["query", "doc"], "left").agg(F.count("*").alias("asked"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))

@@ -215,3 +215,19 @@ def test_module_places(spark):
     assert [p for _, p, _, _ in got] == ["M1", "b", "M2", "c", "a", "d", "e", "z", "y", "x"]
     only = rows(MO.interleave_modules(mk("abc"), mk([]), mk(["x"])), "place")
     assert [p for _, p, _, _ in only] == ["a", "b", "c"]
+
+
+def test_vector_index_recall(spark):
+    from corpusloom.operators import vector_index
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 16)) * 3
+    v = np.vstack([centres[i % 20] + rng.normal(size=16) for i in range(2000)])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(5000, None), (5001, [1.0])], "id bigint, v array<double>").repartition(4)
+    asked = df.filter("id % 50 = 0 and id < 5000")
+    index = vector_index.build(df, "id", "v")
+    exact = {(r[0], r[1]) for r in R.vector_topk(df, "id", "v", asked, "id", "v", 10).collect()}
+    got = {(r[0], r[1]) for r in index.search(spark, asked, "id", "v", 10).collect()}
+    assert index.probes < len(index.centroids) and len(exact & got) >= 0.9 * len(exact)
+    assert spark.read.parquet(index.path).count() == 2000
+    assert index.search(spark, asked.limit(0), "id", "v").count() == 0
