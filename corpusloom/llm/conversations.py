@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Characters that show nothing, beside white space: zero width, joiners, marks of direction, fillers, soft hyphen.
 INVISIBLE = r"\s\p{Z}\p{Cc}\p{Cf}ᅟᅠㅤﾠ⠀͏᠋-᠎︀-️"
 #: Blocks the harness writes into messages: any tag with a hyphenated or known name, with all it holds.
@@ -36,17 +38,17 @@ KEYS = ["source", "session_id"]
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{INVISIBLE}]+|[{INVISIBLE}]+$", "")
-
-
-def without_harness(text: Column) -> Column:
-    return F.regexp_replace(text, HARNESS, "")
+    """Without invisible characters at both ends; texts that show something there are left to no pattern."""
+    at_end = F.substring(text, 1, 1).rlike(f"[{INVISIBLE}]") | F.substring(text, -1, 1).rlike(f"[{INVISIBLE}]")
+    return F.when(at_end, F.regexp_replace(text, rf"^[{INVISIBLE}]+|[{INVISIBLE}]+$", "")).otherwise(text)
 
 
 def present(text: Column) -> Column:
     """The trimmed message, or null if it is missing."""
     kept = trimmed(text)
-    return F.when(trimmed(without_harness(kept)) != "", kept)
+    may_be_harness = F.contains(text, F.lit("<")) | F.contains(text, F.lit("[")) | F.lower(F.substring(kept, 1, 40)).rlike("no[ _-]content")
+    bare = F.when(may_be_harness, trimmed(F.regexp_replace(text, HARNESS, ""))).otherwise(kept)
+    return F.when(bare != "", kept)
 
 
 def turns(rows: DataFrame) -> DataFrame:
@@ -58,6 +60,7 @@ def turns(rows: DataFrame) -> DataFrame:
         present(F.col("user_prompt")).alias("prompt"),
         present(F.col("assistant_excerpt")).alias("reply"),
     ).filter("source is not null and session_id is not null and turn_index is not null")
+    r = materialise(r, "messages")  # the patterns run once
     grouped = r.groupBy(*KEYS, "turn_index").agg(
         F.min("prompt").alias("prompt"),
         F.max("prompt").alias("prompt_other"),
@@ -86,16 +89,17 @@ def turns(rows: DataFrame) -> DataFrame:
 def sessions(turn_rows: DataFrame) -> DataFrame:
     """One row for each session: counts, the reason to drop it (null: keep), and the clock offset in seconds."""
     seconds = lambda name: F.unix_micros(name) / 1e6
-    t = turn_rows.withColumn("p", seconds("prompt_ts")).withColumn("r", seconds("reply_ts"))
+    light = turn_rows.select(*KEYS, "turn_index", F.col("prompt").isNotNull().alias("has_prompt"), F.col("reply").isNotNull().alias("has_reply"), "contradictory", seconds("prompt_ts").alias("p"), seconds("reply_ts").alias("r"))
+    t = materialise(light, "turns")
     after = t.select(*KEYS, (F.col("turn_index") - 1).alias("turn_index"), F.col("p").alias("next_p"))
     paired = t.join(after, [*KEYS, "turn_index"], "left")
-    good = (F.col("turn_index") >= 0) & F.col("prompt").isNotNull() & F.col("reply").isNotNull() & ~F.col("contradictory")
+    good = (F.col("turn_index") >= 0) & F.col("has_prompt") & F.col("has_reply") & ~F.col("contradictory")
     s = paired.groupBy(*KEYS).agg(
         F.count("*").alias("n_turns"),
         F.min("turn_index").alias("first_turn"),
         F.max("turn_index").alias("last_turn"),
-        F.count_if(F.col("prompt").isNull()).alias("no_prompt"),
-        F.count_if(F.col("reply").isNull()).alias("no_reply"),
+        F.count_if(~F.col("has_prompt")).alias("no_prompt"),
+        F.count_if(~F.col("has_reply")).alias("no_reply"),
         F.count_if("contradictory").alias("n_contradictory"),
         F.count_if(good).alias("good_turns"),
         F.min(F.col("r") - F.col("p")).alias("upper"),
