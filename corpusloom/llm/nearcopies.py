@@ -36,7 +36,7 @@ THRESHOLD = 0.7
 #: pairs of these in the same order share a band with a probability over 0.999.
 BANDS, SKETCHES, WORDS = 96, 2, 2
 #: Four-bit MinHash values of the signature carried with each band, and how many must agree: 0.7 gives 46 of 64 on average.
-NIBBLES, AGREE = 64, 31
+NIBBLES, AGREE = 64, 33
 #: Words further apart than this share of the longer record are not aligned with each other.
 BAND_SHARE = 0.3
 
@@ -45,6 +45,7 @@ _MUL = _rng.integers(1, 1 << 62, (BANDS * SKETCHES, 1), dtype=np.uint64) | np.ui
 _ADD = _rng.integers(0, 1 << 62, (BANDS * SKETCHES, 1), dtype=np.uint64)
 _SIG_MUL = _rng.integers(1, 1 << 62, (NIBBLES, 1), dtype=np.uint64) | np.uint64(1)
 _SIG_ADD = _rng.integers(0, 1 << 62, (NIBBLES, 1), dtype=np.uint64)
+_NEVER = np.uint64((1 << 64) - 1)
 SIGNATURE = [f"g{k}" for k in range(NIBBLES // 16)]
 
 
@@ -71,9 +72,12 @@ def band_keys(words: np.ndarray) -> np.ndarray:
     keys = labelled(words)
     with np.errstate(over="ignore"):
         values = (keys[None, :] * _MUL + _ADD) >> np.uint64(16)
-        size = min(WORDS, len(keys))
-        least = np.argpartition(values, size - 1, axis=1)[:, :size] if size < len(keys) else np.broadcast_to(np.arange(size), (len(values), size))
-        least = np.sort(least, axis=1)  # the order of the text
+        size, every = min(WORDS, len(keys)), np.arange(len(values))
+        chosen = []
+        for _ in range(size):
+            chosen.append(values.argmin(axis=1))
+            values[every, chosen[-1]] = _NEVER
+        least = np.sort(np.stack(chosen, axis=1), axis=1)  # the order of the text
         out = np.zeros(BANDS, np.uint64)
         for s in range(SKETCHES):
             rows = least[s::SKETCHES]
