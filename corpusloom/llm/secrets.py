@@ -217,11 +217,13 @@ class Scanner:
         if _ANNOUNCES.search(text) or _LOGIN.search(text):
             for m in _CHOSEN.finditer(text):
                 v = m[0].rstrip(".?")
-                if not self._chosen(v):
+                ends_line = text[m.end() : m.end() + 1] in ("", "\n", "\r")
+                if m[0][-1] in "!?" and ends_line and self._chosen(m[0]):
+                    v = m[0]  # a sign that ends the line with the value belongs to it
+                elif not self._chosen(v):
                     continue
                 line = text[text.rfind("\n", 0, m.start()) + 1 : text.find("\n", m.end()) if "\n" in text[m.end() :] else len(text)]
                 if _ANNOUNCES.search(line) or _LOGIN.search(line):
-                    v = m[0] if m[0][-1:] == "?" and text[m.end() : m.end() + 1] in ("", "\n") else v
                     add(m.start(), m.start() + len(v), "sentence")
             for m in _PROSE_VALUE.finditer(text):
                 v = m[1].rstrip(".,;:!?)」")
