@@ -6,10 +6,12 @@ never stale; ties go to the smaller id; repeated rows count once where a key is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_empty, path_tokens, rerank_tokens, strip
+from .retrieval import top_k
+from .sessions import with_previous
 from .setjoin import set_similarity_join
 
 
@@ -19,8 +21,8 @@ def seconds(ts: str) -> Column:
 
 def repeated_within(rows: DataFrame, keys: list[str], ts: str, order: str, window_s: float = 5.0) -> DataFrame:
     """Rows that follow a row of the same keys by at most so many seconds, exactly."""
-    w = Window.partitionBy(*keys).orderBy(ts, order)
-    return rows.withColumn("__before", F.lag(ts).over(w)).filter(F.col("__before").isNotNull() & (seconds(ts) - seconds("__before") <= window_s)).drop("__before")
+    found = with_previous(rows, keys, ts, [order])
+    return found.filter(F.col("previous").isNotNull() & (seconds(ts) - seconds("previous") <= window_s)).drop("previous")
 
 
 def near_duplicates(rows: DataFrame, key: str, text: str, ts: str, within: list[str], days: float = 7.0, threshold: float = 0.85) -> DataFrame:
@@ -41,17 +43,24 @@ def stale(rows: DataFrame, key: str, references: str, scope: str, known: DataFra
     return refs.join(k, [scope, "path"], "left").groupBy(key).agg(F.count("there").alias("n")).filter("n = 0").select(key)
 
 
+def _beyond(rows: DataFrame, key: str, scope: str, ts: str, keep: int) -> DataFrame:
+    """Rows beyond the newest ``keep`` of their scope: each task keeps so many of a scope before it shuffles, the rest is what the kept lack."""
+    newest = top_k(rows, [scope], [F.desc_nulls_last(ts), F.asc(key)], keep)
+    return rows.join(newest.select(key), key, "left_anti")
+
+
 def retention(rows: DataFrame, key: str, scope: str, ts: str, now: str, max_days: float, keep: int) -> DataFrame:
     """(key, reason) of records beyond an age, or beyond the newest ``keep`` of their scope."""
-    ranked = rows.select(key, scope, ts).dropDuplicates([key]).withColumn("n", F.row_number().over(Window.partitionBy(scope).orderBy(F.desc_nulls_last(ts), key)))
+    r = rows.select(key, scope, ts).dropDuplicates([key])
     old = (F.unix_micros(F.lit(now).cast("timestamp")) / 1e6 - seconds(ts)) > max_days * 86_400
-    return ranked.select(key, F.when(old, "age").when(F.col("n") > keep, "count").alias("reason")).filter("reason is not null")
+    over = _beyond(r, key, scope, ts, keep).select(key, F.lit("count").alias("reason"))
+    aged = r.filter(old).select(key, F.lit("age").alias("reason"))
+    return aged.unionByName(over.join(aged, key, "left_anti"))
 
 
 def evict(rows: DataFrame, key: str, scope: str, accessed: str, most: int) -> DataFrame:
     """(key) of the least recently used beyond ``most`` of each scope."""
-    w = Window.partitionBy(scope).orderBy(F.desc_nulls_last(accessed), key)
-    return rows.select(key, scope, accessed).dropDuplicates([key]).withColumn("n", F.row_number().over(w)).filter(F.col("n") > most).select(key)
+    return _beyond(rows.select(key, scope, accessed).dropDuplicates([key]), key, scope, accessed, most).select(key)
 
 
 # Words that mark a line as a decision, a follow-up or a procedure.

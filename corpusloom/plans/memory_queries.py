@@ -58,7 +58,7 @@ def q29(spark: SparkSession, sf_dir: str) -> DataFrame:
 @memory.add("q30_turn_episodes", "SELECT user_id, episode, count(*) AS events, round(sum(value), 6) AS total, min(event_id) AS first_event FROM (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS episode FROM events) WHERE episode > 0 GROUP BY ALL")
 def q30(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes that a sign-up opens; events before a user's first one belong to none."""
-    e = episodes(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup")
+    e = episodes(table(spark, sf_dir, "events"), "user_id", "ts", ["event_id"], F.col("event_type") == "signup")
     return e.filter("episode > 0").groupBy("user_id", "episode").agg(F.count("*").alias("events"), F.round(F.sum("value"), 6).alias("total"), F.min("event_id").alias("first_event"))
 
 

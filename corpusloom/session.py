@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Paths of the intermediate tables of this process.
+_WRITTEN: list[str] = []
 
 
 def get_session(app: str = "corpusloom", cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -47,7 +49,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A fresh path inside the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
@@ -72,3 +76,13 @@ def broadcast_if_small(df: DataFrame, purpose: str, limit: int = BROADCAST_BYTES
 
     kept = materialise(df, purpose)
     return F.broadcast(kept) if estimated_bytes(kept) <= limit else kept
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process wrote; call it once no result that is read from them is needed."""
+    removed = 0
+    for path in _WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+    _WRITTEN.clear()
+    return removed

@@ -231,3 +231,20 @@ def test_vector_index_recall(spark):
     assert index.probes < len(index.centroids) and len(exact & got) >= 0.9 * len(exact)
     assert spark.read.parquet(index.path).count() == 2000
     assert index.search(spark, asked.limit(0), "id", "v").count() == 0
+
+
+def test_sequences_across_slices(spark):
+    from corpusloom.operators import sessions as SE
+
+    rng = random.Random(8)
+    data = [(i, rng.choice("ab"), rng.randrange(0, 40_000) if rng.random() < 0.95 else None, rng.random() < 0.2) for i in range(300)] + [(500, "c", 10, True)]
+    df = spark.createDataFrame(data, "id int, k string, s int, start boolean").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    got = {r["id"]: (r["episode"], r["session"]) for r in SE.gap_sessions(SE.episodes(df, "k", "ts", ["id"], F.col("start")), "k", "ts", "id", 300).collect()}
+    for key in "abc":
+        n = session = 0
+        before = None
+        for i, _, s, start in sorted([d for d in data if d[1] == key], key=lambda d: (d[2] is not None, d[2] or 0, d[0])):
+            n += start
+            session += before is None or s is None or s - before > 300
+            before = s
+            assert got[i] == (n, session), (i, s)
