@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 LANGUAGES = ("de", "en", "es", "fr", "ja", "ko")
 SAMPLE = 12_000
 BUCKETS, DIM, EPOCHS, BATCH, RATE, SEED = 1 << 15, 16, 4, 64, 0.6, 7
+#: How often a character's script counts beside its other pieces.
+SCRIPT = 4
 #: A word counts as known from so many training rows on; a segment of one known word is enough, of unknown words two.
 KNOWN = 4
 
@@ -48,7 +50,7 @@ _PREFIX = re.compile(r"^\s*(?:(?:feat|fix|docs?|chore|perf|refactor|test|tests|b
 _CODE_SEGMENT = re.compile(
     r"^\s*(?:#|//|/\*|\*/|<!--|--\s|\$\s|%\s|>>>|export\s+\w+=|(?:sudo\s+)?(?:curl|wget|git|ssh|scp|docker|kubectl|npm|pip|make|cd|psql|mysql|deploy|python\d?|node)\s+[-\w./\"']|ssh-(?:rsa|ed25519|dss)\s|-----(?:BEGIN|END)|[A-Za-z0-9+/=]{40,}\s*$"
     r"|(?:const|let|var|val|def|func|fn|function|class|import|from|return|public|private|String|int|using|package|use)\s+[\w.$*{]+.*[;={}()]\s*$"
-    r"|[\w.$\[\]\"'-]+\s*(?::=|=>|==?|\+=)\s*\S|[\"']?[A-Za-z_][\w.-]*[\"']?\s*:\s*(?:[\"'{\[$].*|[\w./+=*!?#%@&$^-]*[\d_/+=*!#%@&$^{}][^\s]*\s*,?|true|false|null|)\s*,?$|[\w.$]+\([^()]*\)\s*[;,{]?\s*$|[\w.$]+\(.*=.*\)\s*;?\s*$|[{}\[\](),;]+\s*$)"
+    r"|[\w.$\[\]\"'-]+\s*(?::=|=>|==?|\+=)\s*\S|[A-Za-z]\w*_\w*\s*:\s*\S+\s*,?$|[\"']?[A-Za-z_][\w.-]*[\"']?\s*:\s*(?:[\"']?[a-z][a-z0-9+.-]*://\S+$|[\"'{\[$].*|[\w./+=*!?#%@&$^-]*[\d_/+=*!#%@&$^{}][^\s]*\s*,?|true|false|null|)\s*,?$|[\w.$]+\([^()]*\)\s*[;,{]?\s*$|[\w.$]+\(.*=.*\)\s*;?\s*$|[{}\[\](),;]+\s*$)"
 )
 _COMMAND = re.compile(r"\(\s*(?:curl|wget|git|ssh|docker|kubectl|npm|pip)\b.*?(?:\)|\Z)|(?:^|\s)(?:curl|wget)\s+-.*$")
 _NOT_WORDS = re.compile(
@@ -79,12 +81,18 @@ def usable(label: str | None) -> str | None:
     return code if code in LANGUAGES else None
 
 
+def _script(c: str) -> str:
+    """The block of a character, as a piece of its own."""
+    return "\x01kana" if "\u3040" <= c <= "\u30ff" else "\x01hangul" if "\uac00" <= c <= "\ud7a3" or "\u1100" <= c <= "\u318f" else f"\x01{ord(c) >> 8}"
+
+
 def subwords(word: str) -> list[int]:
     """Buckets of a word and its pieces of two to four characters."""
     marked = f"<{word}>"
     pieces = [marked] + [marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
     if not word.isascii():
         pieces += list(word)
+        pieces += [_script(c) for c in word if c > "\u02ff"] * SCRIPT  # characters never seen before still tell their script
     return [zlib.crc32(p.encode("utf-8", "replace")) % BUCKETS for p in pieces]
 
 
@@ -172,7 +180,12 @@ def train(rows: Sequence[tuple[str, str]]) -> LanguageModel:
             back = (g @ weights.T) / sizes[:, None]
             weights -= rate * h.T @ g / len(ids) * 4
             bias -= rate * g.mean(0)
-            np.subtract.at(table, flat, np.repeat(rate * back, sizes, axis=0) * 16)
+            # a bucket's step is damped by how often it occurs in the batch and bounded, so that common pieces stay stable
+            buckets, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+            gradient = np.zeros((len(buckets), DIM))
+            np.add.at(gradient, place, np.repeat(back, sizes, axis=0))
+            move = 16 * rate * gradient / np.sqrt(times)[:, None]
+            table[buckets] -= move * np.minimum(1.0, 0.5 / np.maximum(np.linalg.norm(move, axis=1, keepdims=True), 1e-12))
     temperature, threshold = 1.0, 0.5
     if len(held) >= 50:
         z = averaged(held)[0] @ weights + bias
@@ -199,13 +212,24 @@ def sample(rows: DataFrame, key: str, text: str, label: str, size: int = SAMPLE)
     return [(r[0], r[1]) for r in chosen.collect()]
 
 
+#: A Latin segment of at most so many words and less than this confidence is doubtful.
+DOUBT_WORDS, DOUBT = 6, 0.6
+
+
 def text_languages(model: LanguageModel, text: str | None) -> list[tuple[str, str, float]]:
-    """(segment, language, confidence) of each segment that is not rejected; a doubtful one goes with the text around it."""
+    """(segment, language, confidence) of each segment that is not rejected; a short doubtful one goes with the nearest sure one if that is likely enough."""
+    found = [(part, words, model.guess(words)) for part, words in segments(text)]
+    found = [x for x in found if x[2].lang is not None]
+    doubtful = [g.confidence < DOUBT and len(words) <= DOUBT_WORDS and all(w < "\u0300" for w in words) for _, words, g in found]
     out = []
-    for part, words in segments(text):
-        g = model.guess(words)
-        if g.lang is not None:
-            out.append((part, g.lang, g.confidence))
+    for i, (part, words, g) in enumerate(found):
+        sure = [j for j in range(len(found)) if not doubtful[j]]
+        if doubtful[i] and sure:
+            other = found[min(sure, key=lambda j: (abs(j - i), j))][2].lang
+            p = float(model.probabilities(words)[LANGUAGES.index(other)])
+            if p >= 0.25 * g.confidence:
+                g = Guess(other, p)
+        out.append((part, g.lang, g.confidence))
     return out
 
 
