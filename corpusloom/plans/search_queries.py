@@ -302,3 +302,19 @@ def q99(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = vector_index.build(e, "vec_id", "embedding")
     got = index.search(spark, asked, "vec_id", "embedding", 10).select("query", "doc").withColumn("hit", F.lit(1))
     return exact.join(got, ["query", "doc"], "left").agg(F.count("*").alias("asked"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+
+
+@search.add("q100_bootstrap_interval")
+def q100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean answering time of the stored questions with its interval."""
+    q = table(spark, sf_dir, "qa_log").select("qa_id", "query_time_ms").dropDuplicates(["qa_id"])
+    return R.bootstrap_interval(q, "qa_id", "query_time_ms").select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+@search.add("q101_rescued_confidence")
+def q101(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.overlay import IDENTIFIER_SHAPE
+
+    r = ranked(spark, sf_dir).join(typed_documents(spark, sf_dir), "doc", "left")
+    answers = R.confidence(r, "path", "module").join(questions(spark, sf_dir), "query")
+    return R.rescue_weak(answers, r, "question", "node_type", F.coalesce("question", F.lit("")).rlike(IDENTIFIER_SHAPE))

@@ -248,3 +248,14 @@ def test_sequences_across_slices(spark):
             session += before is None or s is None or s - before > 300
             before = s
             assert got[i] == (n, session), (i, s)
+
+
+def test_rescue_and_bootstrap(spark):
+    a = spark.createDataFrame([(1, 0.0075, "weak", "what is it"), (2, 0.0075, "weak", "what is it"), (3, 0.0076, "weak", "fix `load`"), (4, 0.001, "weak", "fix `load`"), (5, 0.02, "strong", "x")], "query int, top_score double, confidence string, question string")
+    r = spark.createDataFrame([(1, 2, "memory_card"), (2, 4, "memory_card")], "query int, rank int, node_type string")
+    got = dict(rows(R.rescue_weak(a, r, "question", "node_type", F.col("question").rlike("`"))))
+    assert got == {1: "mixed", 2: "weak", 3: "mixed", 4: "weak", 5: "strong"}
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(i, float(x)) for i, x in enumerate(rng.normal(5, 2, 400))] + [(999, None)], "k int, v double")
+    mean, low, high = R.bootstrap_interval(v, "k", "v").first()
+    assert low < mean < high and 0.25 < high - low < 0.6  # about four standard errors of 0.1
