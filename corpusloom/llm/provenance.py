@@ -3,8 +3,8 @@
 Each excerpt of a file is lexed once; identifiers, strings and numbers are
 masked and five masked tokens make a shingle, labelled with how often it occurred before
 (in powers of two). MinHash signatures of the excerpts are combined to those of
-the files by their minimum, files that agree on a band are linked to the band's
-representative, links are verified by the exact Jaccard similarity of the
+the files by their minimum, any two files that agree on a band are
+paired, pairs are verified by the exact Jaccard similarity of the
 shingle sets (0.8 or more), and linked files form clusters. A cluster of
 literals only is data; one within a single repository is a generated family;
 one that several repositories share, names included, is a vendored copy (long
@@ -42,6 +42,8 @@ LEAST_TOKENS = 200
 NAMES = 8
 #: Signature values, of all, that a link must have in common before its shingle sets are fetched; 0.8 gives 32 on average.
 AGREE = 24
+#: Files of a band that are paired within one block; two blocks meet in a task of their own.
+BLOCK = 512
 #: A family within one repository has at least so many files.
 FAMILY = 5
 
@@ -228,6 +230,9 @@ def judged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     whole = features.groupBy("file_id").agg(
         F.min_by("head", F.col("start_line")).alias("head"),
         *[F.sum(c).alias(c) for c in ("chars", "literal_chars", "spaces", "lines", "tokens", "idents")],
+        # bounds of the number of distinct shingles
+        F.max(F.size("shingles")).alias("least"),
+        F.sum(F.size("shingles")).alias("most"),
         *[F.min(f"s{k}").alias(f"s{k}") for k in range(BANDS * ROWS)],
     )
     data = (F.col("chars") >= 300) & (F.col("literal_chars") >= 0.6 * F.col("chars")) & (F.col("idents") <= 0.12 * F.col("tokens"))
@@ -235,7 +240,7 @@ def judged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     own = F.coalesce("path_kind", F.when(F.col("is_code"), F.coalesce(F.when(F.col("head") == 1, "generated").when(F.col("head") == 2, "vendored"), F.when(data, "data").when(dense, "minified"))))
     judged = materialise(f.join(whole, "file_id", "left").select("*", own.alias("own"), F.coalesce(data, F.lit(False)).alias("literal")), "files")
 
-    # Links: each file to the representative of each band it shares; a band's files are never paired with one another.
+    # Links: every pair of files that shares a band, in blocks of bounded size, so that no leader decides for the others.
     large = judged.filter(f"tokens >= {LEAST_TOKENS}")
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"s{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     # the signature travels along, a byte of each value, so that links that are far off end here
@@ -247,22 +252,29 @@ def judged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
             word = word.bitwiseOR(byte(k))
         packed.append(word.alias(f"p{w}"))
     names = [f"p{w}" for w in range(len(packed))]
-    banded = large.select("file_id", *packed, bands.alias("bands")).select("file_id", *names, F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min_by(F.struct("file_id", *names), F.xxhash64("file_id", "band")).alias("lead"), F.count("*").alias("n")).filter("n > 1").select("band", "lead")
-    agree = sum(F.lit(8) - F.bit_count(_nonzero_bytes(F.col(x).bitwiseXOR(F.col(f"lead.{x}")))) for x in names)
-    links = banded.join(leaders, "band").filter((F.col("file_id") != F.col("lead.file_id")) & (agree >= AGREE)).select("file_id", F.col("lead.file_id").alias("leader")).distinct()
+    banded = large.select("file_id", "least", "most", *packed, F.explode(bands).alias("band"))
+    shares = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = banded.join(shares, "band").withColumn("own", F.pmod(F.xxhash64("file_id"), "blocks").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = materialise(dealt.select("band", F.least("own", "at").alias("lo"), F.greatest("own", "at").alias("hi"), "own", "file_id", "least", "most", *names), "banded")
+    second = dealt.select("band", "lo", "hi", *[F.col(c).alias(f"{c}_2") for c in ("own", "file_id", "least", "most", *names)])
+    agree = sum(F.lit(8) - F.bit_count(_nonzero_bytes(F.col(x).bitwiseXOR(F.col(f"{x}_2")))) for x in names)
+    # a pair of one block meets in that block's own share only; sets that differ too much in size cannot be similar
+    apart = (F.col("lo") == F.col("hi")) | (F.col("own") != F.col("own_2"))
+    sized = (F.col("most") >= SIMILARITY * F.col("least_2")) & (F.col("most_2") >= SIMILARITY * F.col("least"))
+    met = dealt.join(second, ["band", "lo", "hi"]).filter((F.col("file_id") < F.col("file_id_2")) & apart & sized & (agree >= AGREE))
+    links = met.select("file_id", "file_id_2").distinct()
     links = materialise(links, "links")
-    members = links.select("file_id").union(links.select("leader")).distinct()
+    members = links.select("file_id").union(links.select("file_id_2")).distinct()
     union_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
     sets = features.select("file_id", "shingles", "names").join(members, "file_id", "left_semi").groupBy("file_id").agg(union_of("shingles"), union_of("names"))
     sets = materialise(sets.join(judged.select("file_id", "project_id"), "file_id"), "sets")
-    other = sets.select(F.col("file_id").alias("leader"), F.col("shingles").alias("shingles2"), F.col("names").alias("names2"), F.col("project_id").alias("project2"))
+    other = sets.select(F.col("file_id").alias("file_id_2"), F.col("shingles").alias("shingles2"), F.col("names").alias("names2"), F.col("project_id").alias("project2"))
     shared = F.size(F.array_intersect("shingles", "shingles2"))
     same = F.size(F.array_intersect("names", "names2"))
     copied = (F.col("project_id") != F.col("project2")) & (same > 0) & (2 * same >= F.size("names") + F.size("names2") - same)
-    both = links.join(sets, "file_id").join(other, "leader")
-    verified = materialise(both.filter(shared >= SIMILARITY * (F.size("shingles") + F.size("shingles2") - shared)).select("file_id", "leader", F.coalesce(copied, F.lit(False)).alias("copied")), "verified")
-    clusters = connected_components(verified, "file_id", "leader").select(F.col("node").alias("file_id"), F.col("component").alias("cluster"))
+    both = links.join(sets, "file_id").join(other, "file_id_2")
+    verified = materialise(both.filter(shared >= SIMILARITY * (F.size("shingles") + F.size("shingles2") - shared)).select("file_id", "file_id_2", F.coalesce(copied, F.lit(False)).alias("copied")), "verified")
+    clusters = connected_components(verified, "file_id", "file_id_2").select(F.col("node").alias("file_id"), F.col("component").alias("cluster"))
 
     placed = materialise(judged.select("file_id", "project_id", "own", "literal").join(clusters, "file_id", "left"), "placed")
     copies = verified.join(clusters, "file_id").groupBy("cluster").agg(F.avg(F.col("copied").cast("int")).alias("copies"))

@@ -172,3 +172,24 @@ def test_verdicts(spark):
     assert {k: got[k] for k in ("gen", "name", "vend", "lock", "min", "blob")} == {"gen": "generated", "name": "generated", "vend": "vendored", "lock": "generated", "min": "minified", "blob": "data"}
     assert {got[f"copy{i}"] for i in range(3)} == {"vendored"} and {got[f"fam{i}"] for i in range(6)} == {"generated"}
     assert P.judged_files(fdf.limit(0), cdf.limit(0)).count() == 0
+
+
+def judged_texts(spark, texts):
+    """Judgements by file of {file: (project, text)}; the paths say nothing."""
+    fdf = spark.createDataFrame([(k, p, f"src/{k}.py") for k, (p, _) in texts.items()], "id string, project_id string, relative_path string")
+    cdf = spark.createDataFrame([(k, 1, t) for k, (_, t) in texts.items()], "file_id string, start_line int, content string")
+    return {r["file_id"]: r for r in P.judged_files(fdf, cdf).collect()}
+
+
+def noise(n, seed):
+    import random
+
+    rng, words = random.Random(seed), "def return if not for in import from const let var function export async class pub func while else new null + - * / % & | ^ ~ ! < > = ; , . : ( ) [ ] { }".split()
+    return "\n".join(" ".join(rng.choice(words) for _ in range(8)) for _ in range(n))
+
+
+def test_similar_pairs_in_a_crowded_band(spark):
+    # all files have 0.74 of their shingles in common and so meet in the same bands; only the two of a pair have 0.84
+    texts = {f"{side}{i:02}": (f"{side}{i}", noise(40, 7) + "\n" + noise(7, 100 + i) + "\n" + (noise(9, 500 + i) if side == "b" else "")) for i in range(80) for side in "ab"}
+    got = judged_texts(spark, texts)
+    assert [i for i in range(80) if got[f"a{i:02}"]["cluster"] is None or got[f"a{i:02}"]["cluster"] != got[f"b{i:02}"]["cluster"]] == []
