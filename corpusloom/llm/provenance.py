@@ -36,16 +36,14 @@ from ..operators.components import connected_components
 from ..session import BROADCAST_BYTES, estimated_bytes, materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 12, 4
 LEAST_TOKENS = 200
-#: The smallest identifier hashes that are kept of an excerpt and compared between files.
-NAMES = 8
-#: Signature values, of all, that a link must have in common before its shingle sets are fetched; 0.8 gives 32 on average.
-AGREE = 24
+#: Signature values, of all, that a link must have in common before its shingle sets are fetched; 0.8 gives 38 on average.
+AGREE = 26
 #: Files of a band that are paired within one block; two blocks meet in a task of their own.
 BLOCK = 512
 #: A family within one repository has at least so many files.
-FAMILY = 5
+FAMILY = 3
 
 CODE = r"(?i)\.(?:py|pyi|ts|tsx|mts|cts|js|jsx|mjs|cjs|go|rs|java|kt|scala|c|cc|cpp|h|hpp|cs|rb|php|swift|m|lua|pl|sh|css|scss)$"
 # Names that tools give to lock files.
@@ -104,13 +102,13 @@ class _Names(dict):
 
 
 def masked(text: str, codes: _Codes, names: _Names) -> tuple[np.ndarray, int, list[int]]:
-    """Codes of the tokens without comments, the characters that stand in literals, and the smallest hashes of identifiers."""
+    """Codes of the tokens without comments, the characters that stand in literals, and the hashes of all identifiers."""
     tokens = _TOKEN.findall(text)
     found = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
     literal = sum(len(tokens[k]) for k in np.flatnonzero((found == _STRING) | (found == _NUMBER)))
     known = set(map(names.__getitem__, set(tokens)))
     known.discard(None)
-    return found[found != _COMMENT], literal, sorted(known)[:NAMES]
+    return found[found != _COMMENT], literal, sorted(known)
 
 
 def shingle_sets(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,14 +264,20 @@ def judged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     links = materialise(links, "links")
     members = links.select("file_id").union(links.select("file_id_2")).distinct()
     union_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    sets = features.select("file_id", "shingles", "names").join(members, "file_id", "left_semi").groupBy("file_id").agg(union_of("shingles"), union_of("names"))
-    sets = materialise(sets.join(judged.select("file_id", "project_id"), "file_id"), "sets")
-    other = sets.select(F.col("file_id").alias("file_id_2"), F.col("shingles").alias("shingles2"), F.col("names").alias("names2"), F.col("project_id").alias("project2"))
+    sets = materialise(features.select("file_id", "shingles").join(members, "file_id", "left_semi").groupBy("file_id").agg(union_of("shingles")), "sets")
     shared = F.size(F.array_intersect("shingles", "shingles2"))
+    both = links.join(sets, "file_id").join(sets.select(F.col("file_id").alias("file_id_2"), F.col("shingles").alias("shingles2")), "file_id_2")
+    similar = materialise(both.filter(shared >= SIMILARITY * (F.size("shingles") + F.size("shingles2") - shared)).select("file_id", "file_id_2"), "similar")
+    # all identifiers are compared, but only those of similar files in two repositories are fetched
+    home = judged.select("file_id", "project_id")
+    across = similar.join(home, "file_id").join(home.select(F.col("file_id").alias("file_id_2"), F.col("project_id").alias("project2")), "file_id_2").filter("project_id != project2").select("file_id", "file_id_2")
+    across = materialise(across, "across")
+    named = features.select("file_id", "names").join(across.select("file_id").union(across.select("file_id_2")).distinct(), "file_id", "left_semi").groupBy("file_id").agg(union_of("names"))
+    named = materialise(named, "names")
     same = F.size(F.array_intersect("names", "names2"))
-    copied = (F.col("project_id") != F.col("project2")) & (same > 0) & (2 * same >= F.size("names") + F.size("names2") - same)
-    both = links.join(sets, "file_id").join(other, "file_id_2")
-    verified = materialise(both.filter(shared >= SIMILARITY * (F.size("shingles") + F.size("shingles2") - shared)).select("file_id", "file_id_2", F.coalesce(copied, F.lit(False)).alias("copied")), "verified")
+    alike = across.join(named, "file_id").join(named.select(F.col("file_id").alias("file_id_2"), F.col("names").alias("names2")), "file_id_2")
+    alike = alike.filter((same > 0) & (2 * same >= F.size("names") + F.size("names2") - same)).select("file_id", "file_id_2", F.lit(True).alias("copied"))
+    verified = materialise(similar.join(alike, ["file_id", "file_id_2"], "left").select("file_id", "file_id_2", F.coalesce("copied", F.lit(False)).alias("copied")), "verified")
     clusters = connected_components(verified, "file_id", "file_id_2").select(F.col("node").alias("file_id"), F.col("component").alias("cluster"))
 
     placed = materialise(judged.select("file_id", "project_id", "own", "literal").join(clusters, "file_id", "left"), "placed")

@@ -193,3 +193,17 @@ def test_similar_pairs_in_a_crowded_band(spark):
     texts = {f"{side}{i:02}": (f"{side}{i}", noise(40, 7) + "\n" + noise(7, 100 + i) + "\n" + (noise(9, 500 + i) if side == "b" else "")) for i in range(80) for side in "ab"}
     got = judged_texts(spark, texts)
     assert [i for i in range(80) if got[f"a{i:02}"]["cluster"] is None or got[f"a{i:02}"]["cluster"] != got[f"b{i:02}"]["cluster"]] == []
+
+
+def named_lines(names):
+    return "\n".join(f"{a} = {b}({c}, {a}.{b})\nif {c}:\n    return {a} - {b}" for a, b, c in zip(names, names[1:] + names[:1], names[2:] + names[:2]))
+
+
+def test_copies_are_told_by_all_identifiers(spark):
+    # the eight smallest hashes agree, most identifiers do not
+    pool = sorted((f"word{i}" for i in range(400)), key=lambda x: __import__("zlib").crc32(x.encode()))
+    texts = {f"f{i}": (f"q{i}", named_lines(pool[:8] + pool[100 + 40 * i : 140 + 40 * i])) for i in range(2)}
+    texts |= {f"g{i}": (f"q{i}", named_lines(pool[300:348]) + "\n[{(<!>)}]; " * 60) for i in range(2)}
+    got = judged_texts(spark, texts)
+    assert got["f0"]["cluster"] is not None and got["f0"]["cluster"] == got["f1"]["cluster"] != got["g0"]["cluster"]
+    assert {got[k]["verdict"] for k in ("f0", "f1")} == {None} and {got[k]["verdict"] for k in ("g0", "g1")} == {"vendored"}
