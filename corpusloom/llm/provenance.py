@@ -16,8 +16,7 @@ cluster most of whose files carry evidence lends it to the rest.
 Only code and lock files are judged; documents and configuration count as
 written by hand. Result on odd input: a file without excerpts is judged by its
 path; null paths give nothing; repeated rows change nothing; a null or empty
-content has no shingles; files with fewer than ``LEAST_TOKENS`` tokens belong
-to no cluster; extra columns are ignored. A file that holds many excerpts is
+content has no shingles and belongs to no cluster; extra columns are ignored. A file that holds many excerpts is
 reduced to sums and minima before it is shuffled.
 """
 
@@ -37,13 +36,16 @@ from ..session import BROADCAST_BYTES, estimated_bytes, materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
-LEAST_TOKENS = 200
+#: Files with fewer tokens resemble one another by chance more often; clusters of them are decided by the stricter second values.
+SMALL_TOKENS = 200
+#: Share of identifiers that copies have in common.
+COPIED = (0.5, 0.8)
 #: Signature values, of all, that a link must have in common before its shingle sets are fetched; 0.8 gives 38 on average.
 AGREE = 26
 #: Files of a band that are paired within one block; two blocks meet in a task of their own.
 BLOCK = 512
 #: A family within one repository has at least so many files.
-FAMILY = 3
+FAMILY = (3, 5)
 
 CODE = r"(?i)\.(?:py|pyi|ts|tsx|mts|cts|js|jsx|mjs|cjs|go|rs|java|kt|scala|c|cc|cpp|h|hpp|cs|rb|php|swift|m|lua|pl|sh|css|scss)$"
 # Names that tools give to lock files.
@@ -239,7 +241,7 @@ def judged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     judged = materialise(f.join(whole, "file_id", "left").select("*", own.alias("own"), F.coalesce(data, F.lit(False)).alias("literal")), "files")
 
     # Links: every pair of files that shares a band, in blocks of bounded size, so that no leader decides for the others.
-    large = judged.filter(f"tokens >= {LEAST_TOKENS}")
+    large = judged.filter("s0 is not null")
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"s{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     # the signature travels along, a byte of each value, so that links that are far off end here
     byte = lambda k: F.shiftleft(F.xxhash64(f"s{k}").bitwiseAND(F.lit(255).cast("bigint")), 8 * (k % 8))
@@ -269,32 +271,34 @@ def judged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     both = links.join(sets, "file_id").join(sets.select(F.col("file_id").alias("file_id_2"), F.col("shingles").alias("shingles2")), "file_id_2")
     similar = materialise(both.filter(shared >= SIMILARITY * (F.size("shingles") + F.size("shingles2") - shared)).select("file_id", "file_id_2"), "similar")
     # all identifiers are compared, but only those of similar files in two repositories are fetched
-    home = judged.select("file_id", "project_id")
-    across = similar.join(home, "file_id").join(home.select(F.col("file_id").alias("file_id_2"), F.col("project_id").alias("project2")), "file_id_2").filter("project_id != project2").select("file_id", "file_id_2")
+    home = judged.select("file_id", "project_id", "tokens")
+    across = similar.join(home, "file_id").join(home.select(F.col("file_id").alias("file_id_2"), F.col("project_id").alias("project2"), F.col("tokens").alias("tokens2")), "file_id_2").filter("project_id != project2").select("file_id", "file_id_2", F.least("tokens", "tokens2").alias("tokens"))
     across = materialise(across, "across")
     named = features.select("file_id", "names").join(across.select("file_id").union(across.select("file_id_2")).distinct(), "file_id", "left_semi").groupBy("file_id").agg(union_of("names"))
     named = materialise(named, "names")
     same = F.size(F.array_intersect("names", "names2"))
     alike = across.join(named, "file_id").join(named.select(F.col("file_id").alias("file_id_2"), F.col("names").alias("names2")), "file_id_2")
-    alike = alike.filter((same > 0) & (2 * same >= F.size("names") + F.size("names2") - same)).select("file_id", "file_id_2", F.lit(True).alias("copied"))
+    alike = alike.filter((same > 0) & (same >= F.when(F.col("tokens") < SMALL_TOKENS, COPIED[1]).otherwise(COPIED[0]) * (F.size("names") + F.size("names2") - same))).select("file_id", "file_id_2", F.lit(True).alias("copied"))
     verified = materialise(similar.join(alike, ["file_id", "file_id_2"], "left").select("file_id", "file_id_2", F.coalesce("copied", F.lit(False)).alias("copied")), "verified")
     clusters = connected_components(verified, "file_id", "file_id_2").select(F.col("node").alias("file_id"), F.col("component").alias("cluster"))
 
-    placed = materialise(judged.select("file_id", "project_id", "own", "literal").join(clusters, "file_id", "left"), "placed")
+    placed = materialise(judged.select("file_id", "project_id", "own", "literal", "tokens").join(clusters, "file_id", "left"), "placed")
     copies = verified.join(clusters, "file_id").groupBy("cluster").agg(F.avg(F.col("copied").cast("int")).alias("copies"))
     stats = placed.filter("cluster is not null").groupBy("cluster").agg(
         F.count("*").alias("n"),
+        F.avg("tokens").alias("tokens"),
         F.min("project_id").alias("p0"),
         F.max("project_id").alias("p1"),
         F.avg(F.col("literal").cast("int")).alias("literals"),
         F.avg(F.col("own").isNotNull().cast("int")).alias("evidence"),
         F.mode("own", True).alias("usual"),
     )
+    enough = F.col("n") >= F.when(F.col("tokens") < SMALL_TOKENS, FAMILY[1]).otherwise(FAMILY[0])
     kind = (
         F.when(F.col("literals") >= 0.5, "data")
         .when((F.col("p0") != F.col("p1")) & (F.col("copies") >= 0.5), "vendored")
-        .when((F.col("p0") == F.col("p1")) & (F.col("n") >= FAMILY), "generated")
-        .when((F.col("n") >= FAMILY) & (F.col("evidence") >= 0.6), F.col("usual"))
+        .when((F.col("p0") == F.col("p1")) & enough, "generated")
+        .when(enough & (F.col("evidence") >= 0.6), F.col("usual"))
     )
     kinds = stats.join(copies, "cluster", "left").select("cluster", kind.alias("cluster_kind"))
     return placed.join(kinds, "cluster", "left").select("file_id", "project_id", "own", "cluster", "cluster_kind", F.coalesce("own", "cluster_kind").alias("verdict"))

@@ -207,3 +207,15 @@ def test_copies_are_told_by_all_identifiers(spark):
     got = judged_texts(spark, texts)
     assert got["f0"]["cluster"] is not None and got["f0"]["cluster"] == got["f1"]["cluster"] != got["g0"]["cluster"]
     assert {got[k]["verdict"] for k in ("f0", "f1")} == {None} and {got[k]["verdict"] for k in ("g0", "g1")} == {"vendored"}
+
+
+def test_short_files_take_part(spark):
+    # about a hundred tokens; half of the names is not enough for a short copy, and three short files are no family
+    names = [f"item{i}" for i in range(30)]
+    texts = {f"c{i}": (f"q{i}", noise(2, 41) + "\n" + named_lines(names[:6])) for i in range(3)}
+    texts |= {f"h{i}": (f"q{i}", noise(6, 42) + "\n" + named_lines(names[10:15] + [f"own{i}"])) for i in range(2)}
+    texts |= {f"s{i}": ("r", noise(9, 43)) for i in range(3)}
+    texts |= {f"t{i}": ("r", noise(9, 44)) for i in range(5)}
+    got = judged_texts(spark, texts)
+    assert all(got[k]["cluster"] is not None for k in texts)
+    assert {k: {got[x]["verdict"] for x in texts if x[0] == k} for k in "chst"} == {"c": {"vendored"}, "h": {None}, "s": {None}, "t": {"generated"}}
