@@ -71,7 +71,7 @@ def q67(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @module.add("q68_topic_groups")
 def q68(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest questions of each project, grouped by topic."""
+    """All questions of each project, the newest first, grouped by topic."""
     q = table(spark, sf_dir, "qa_log").dropDuplicates(["qa_id"]).withColumn("age", -F.unix_micros(F.col("ts").cast("timestamp")))
     return O.topic_groups(q, "project_id", "age", "qa_id", "query", "answer_excerpt")
 

@@ -192,6 +192,20 @@ def test_topics_complete_link():
     assert O.topic_weights(None) == {} and O.stem("stories") == "story"
 
 
+def test_topics_of_all_rows(spark):
+    texts = [(i, f"{n}lar of {n}dor", f"{n}lar is {n}dor and {n}mit") for i in range(120) for n in ["bcdfghjklmnpqrtvwxyz"[i % 20] * 2]]
+    q = spark.createDataFrame([("p", i, i, a, b) for i, a, b in texts], "project string, ts int, id int, q string, a string")
+    got = dict((i, g) for _, i, g in rows(O.topic_groups(q, "project", "ts", "id", "q", "a"), "id"))
+    want, groups = {}, []
+    for i, a, b in texts:
+        pair = (O.topic_weights(a), O.topic_weights(b))
+        want[i] = next((g for g, m in enumerate(groups) if all(O.same_topic(pair, x) for x in m)), len(groups))
+        groups += [[]] if want[i] == len(groups) else []
+        groups[want[i]].append(pair)
+    assert got == want and len(got) == 120 and len(groups) > 1
+
+
+
 def test_chunkers(spark):
     df = spark.createDataFrame([(1, "intro\n\n# A \nx\n## B\ny"), (2, None), (3, "   "), (4, "p1\n\n\np2")], "id bigint, t string").withColumn("section", F.lit("clash"))
     assert [(r[0], r[1], r[2]) for r in rows(C.sections(df, "id", "t"), "id", "section")] == [(1, 0, None), (1, 1, "A"), (1, 2, "B"), (4, 0, None)]
