@@ -1,23 +1,23 @@
 """Files that nobody wrote by hand: generated, minified, vendored, or data saved as code.
 
-Each excerpt of a file is lexed once; identifiers, strings and numbers are
-masked and five masked tokens make a shingle, labelled with how often it occurred before
-(in powers of two). MinHash signatures of the excerpts are combined to those of
-the files by their minimum, any two files that agree on a band are
-paired, pairs are verified by the exact Jaccard similarity of the
-shingle sets (0.8 or more), and linked files form clusters. A cluster of
-literals only is data; one within a single repository is a generated family;
-one that several repositories share, names included, is a vendored copy (long
-files in one language have most masked shingles in common, copies also keep
-their names). Evidence a file carries itself (its place, its name, the comment
-at its head, the shape of its lines, the share of literals) is added, and a
-cluster most of whose files carry evidence lends it to the rest.
+Each excerpt of a file is lexed once; identifiers, strings and numbers are masked and five masked tokens make a shingle,
+labelled with how often it occurred before (in powers of two). A file is the set of its excerpts' shingles. Files with
+equal sets form a class; MinHash bands over the sets of the classes give candidates, which an exact upper bound of their
+overlap (the bits in which two parity bitmaps differ) cuts down, and candidates are verified by the exact Jaccard
+similarity of the sets (0.8 or more). First each class is verified against its nearest candidates, then every candidate
+whose ends these links leave in different clusters, so each candidate is verified or already known to be in one cluster.
+
+The clusters decide first: one of literals only is data, one of dense lines is minified, one that several repositories
+share, names included, is vendored (files in one language have most masked shingles in common, copies also keep their
+names), one within a single repository is a generated family, and one most of whose files carry evidence lends it to the
+rest. What a file says of itself (its place, its name, the comment at its head, the shape of its lines) decides only
+where no cluster does; the column ``by`` tells which of the two it was.
 
 Only code and lock files are judged; documents and configuration count as
 written by hand. Result on odd input: a file without excerpts is judged by its
 path; null paths give nothing; repeated rows change nothing; a null or empty
-content has no shingles and belongs to no cluster; extra columns are ignored. A file that holds many excerpts is
-reduced to sums and minima before it is shuffled.
+content has no shingles and belongs to no cluster; extra columns are ignored. Excerpts of one file that stand in the same
+batch are merged before they are shuffled.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +36,20 @@ from ..operators.components import connected_components
 from ..session import BROADCAST_BYTES, estimated_bytes, materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 12, 4
+#: Two sets of similarity 0.8 share none of the bands with a probability under 0.001.
+BANDS, ROWS = 24, 6
+#: 64-bit words of the parity bitmap.
+WORDS = 8
 #: Files with fewer tokens resemble one another by chance more often; clusters of them are decided by the stricter second values.
 SMALL_TOKENS = 200
 #: Share of identifiers that copies have in common.
 COPIED = (0.5, 0.8)
-#: Signature values, of all, that a link must have in common before its shingle sets are fetched; 0.8 gives 38 on average.
-AGREE = 26
-#: Files of a band that are paired within one block; two blocks meet in a task of their own.
+#: Classes of a band that are paired within one block; two blocks meet in a task of their own.
 BLOCK = 512
 #: A family within one repository has at least so many files.
 FAMILY = (3, 5)
+#: Shingles that are sketched at once.
+AT_ONCE = 400_000
 
 CODE = r"(?i)\.(?:py|pyi|ts|tsx|mts|cts|js|jsx|mjs|cjs|go|rs|java|kt|scala|c|cc|cpp|h|hpp|cs|rb|php|swift|m|lua|pl|sh|css|scss)$"
 # Names that tools give to lock files.
@@ -61,12 +65,13 @@ _GENERATED_HEAD = re.compile(
     r"|자동(?:으로)? ?생성(?:된|되었|한)|도구로 .{0,10}생성|wurde (?:automatisch )?(?:von|mit|durch) .{0,40}(?:erzeugt|generiert|erstellt)|automatisch (?:erzeugt|generiert)|généré(?:e)? (?:automatiquement|par)|ne pas (?:modifier|éditer)|generad[oa] (?:automáticamente|por)|no (?:editar|modificar)\b|自動(?:的に)?生成|によって生成"
 )
 _VENDORED_HEAD = re.compile(r"(?i)vendored (?:from|copy|in from)|copied (?:verbatim |unchanged |as is )?from (?:upstream|the |https?:)|copied verbatim|third[- ]party (?:library|code|module|package|component)|\bexternal library\b|bundled .{0,20}library|released under its own licen[cs]e|\(c\) the \w+ (?:contributors|authors|project)|send fixes (?:there|upstream)|from upstream \w+ v?\d|upstream copy of|origin(?:al)? project:|fremde? bibliothek|외부 라이브러리|서드파티|bibliothèque tierce|biblioteca (?:externa|de terceros)|外部ライブラリ")
+_LINES = re.compile(r"[^\r\n]+")
 _HEAD_LINE = re.compile(r"^\s*(?:#+!?|//+[!/]?|/\*+!?|\*+|--|;+|%|<!--|\"\"\"|'''|\"|')\s*(.*)")
 
 _KEEP = frozenset("def return if not for in import from const let var function export async class pub fn func while else new null None true false True False self nil range append public static void final int List String try catch except raise throw switch case break continue use impl struct match mut as with lambda yield await private protected".split())
 _TOKEN = re.compile(r"//[^\n]*|#[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|[A-Za-z_$][\w$]*|\d[\w.]*|\S", re.S)
-_SEEDS = np.random.default_rng(20).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_SHIFTS = np.random.default_rng(21).integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
+_SEEDS = np.random.default_rng(20).integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_SHIFTS = np.random.default_rng(21).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
 #: Codes of masked tokens; every keyword and sign has its own.
@@ -151,40 +156,84 @@ def shingle_sets(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return short, np.searchsorted(of, np.arange(len(parts) + 1))
 
 
-def signatures(found: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """MinHash signature of each part's shingles; a part without any gets zeros, which the caller masks."""
-    out = np.zeros((len(begins) - 1, BANDS * ROWS), np.int32)
-    filled = np.flatnonzero(np.diff(begins))
-    if len(filled):
-        wide = found.astype(np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(BANDS * ROWS):
-                out[filled, k] = np.minimum.reduceat((wide * _SEEDS[k] + _SHIFTS[k]) >> np.uint64(33), begins[filled])
-    return out
+def _distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value of an owner once, in order of owners and values."""
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    keep = np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])][: len(values)]
+    return values[keep], owner[keep]
+
+
+def band_keys(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each set and band; the sets must not be empty."""
+    lows = np.empty((BANDS * ROWS, len(begins)), np.uint64)
+    out = np.empty((BANDS, len(begins)), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(BANDS * ROWS):
+            lows[k] = np.minimum.reduceat(values * _SEEDS[k] + _SHIFTS[k], begins)
+        for band in range(BANDS):
+            h = np.full(len(begins), band + 1, np.uint64)
+            for k in range(ROWS):
+                h = (h ^ lows[band * ROWS + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            out[band] = h
+    return out.T.copy().view(np.int64)
+
+
+def parity_bitmaps(values: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """``WORDS`` words for each set; a bit tells whether an odd number of values falls on it.
+
+    Values that only one of two sets holds are the only ones that make their bitmaps differ, each in one bit at most, so the
+    number of bits that differ is never above the number of such values.
+    """
+    bits = WORDS * 64
+    with np.errstate(over="ignore"):
+        at = (values * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits.bit_length() + 1)
+    odd = np.bincount(owner * bits + at, minlength=rows * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(rows, bits), axis=1).view(np.int64)
+
+
+_OPENS = (("/*", "*/"), ('"""', '"""'), ("'''", "'''"), ("<!--", "-->"))
 
 
 def head_marker(text: str) -> int | None:
-    """What the comment on the first lines says about the file's origin: 1 generated, 2 vendored."""
-    for line in [x for x in re.split(r"\r\n?|\n", text) if x.strip()][:3]:
-        m = _HEAD_LINE.match(line)
-        if not m:
-            return None
-        if _GENERATED_HEAD.search(m[1]):
+    """What the comments before the first line of code say about the file's origin: 1 generated, 2 vendored."""
+    closes = None
+    for line in _LINES.findall(text):
+        bare = line.strip()
+        if not bare:
+            continue
+        if closes is None:
+            m = _HEAD_LINE.match(line)
+            if not m:
+                return None
+            closes = next((end for start, end in _OPENS if bare.startswith(start) and end not in bare[len(start) :]), None)
+            said = m[1]
+        else:
+            said = bare
+            if closes in bare:
+                closes = None
+        if _GENERATED_HEAD.search(said):
             return 1
-        if _VENDORED_HEAD.search(m[1]):
+        if _VENDORED_HEAD.search(said):
             return 2
     return None
 
 
-_FEATURES = "file_id string, start_line int, head int, chars bigint, literal_chars bigint, spaces bigint, lines bigint, tokens bigint, idents bigint, " + ", ".join(f"s{k} int" for k in range(BANDS * ROWS)) + ", shingles array<int>, names array<int>"
+_SUMS = ("chars", "literal_chars", "spaces", "lines", "tokens", "idents")
+_FEATURES = "file_id string, start_line int, head int, " + ", ".join(f"{c} bigint" for c in _SUMS) + ", shingles array<int>, names array<int>"
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.uint32, copy=False).view(np.int32)))
 
 
 def excerpt_features(chunks: DataFrame) -> DataFrame:
-    """One row for each excerpt; the text itself is never shuffled."""
+    """One row for each excerpt, or for each file of a batch that holds many excerpts of the same; the text itself is never shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [f.split()[0] for f in _FEATURES.split(", ")]
-        kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 6)
+        kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * len(_SUMS))
         codes, known = _Codes(), _Names()
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -200,112 +249,214 @@ def excerpt_features(chunks: DataFrame) -> DataFrame:
                     rows.append((fid, start, head_marker(text), len(text), literal, text.count(" ") + text.count("\t"), max(1, sum(1 for x in text.splitlines() if x.strip())), len(found), int((found == _IDENTIFIER).sum())))
                 if not rows:
                     continue
-                found, begins = shingle_sets(parts)
-                table, empty = signatures(found, begins), np.diff(begins) == 0
+                shingles, ends = shingle_sets(parts)
+                names, name_ends = np.array([x for many in idents for x in many], np.uint32), np.cumsum([0, *map(len, idents)])
+                place: dict[str, int] = {}
+                of = np.array([place.setdefault(r[0], len(place)) for r in rows])
+                if len(place) <= len(rows) // 2:
+                    rows = _merged(rows, of, len(place))
+                    shingles, owner = _distinct(shingles, np.repeat(of, np.diff(ends)))
+                    ends = np.searchsorted(owner, np.arange(len(place) + 1))
+                    names, owner = _distinct(names, np.repeat(of, np.diff(name_ends)))
+                    name_ends = np.searchsorted(owner, np.arange(len(place) + 1))
                 cols = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
-                cols += [pa.array(table[:, k], mask=empty) for k in range(BANDS * ROWS)]
-                cols.append(pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(found.view(np.int32))))
-                ends = np.cumsum([0, *map(len, idents)])
-                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array([x for names in idents for x in names], np.uint32).view(np.int32))))
-                yield pa.RecordBatch.from_arrays(cols, names=columns)
+                yield pa.RecordBatch.from_arrays([*cols, _lists(shingles, ends), _lists(names, name_ends)], names=columns)
 
     return chunks.select(F.col("file_id").cast("string"), F.col("start_line").cast("int"), "content").filter("file_id is not null").mapInArrow(run, _FEATURES)
 
 
+def _merged(rows: list[tuple], of: np.ndarray, n: int) -> list[tuple]:
+    """One row for each file: the head of its first excerpt and the sums of the rest."""
+    out: list[tuple | None] = [None] * n
+    for row, k in zip(rows, of.tolist()):
+        old = out[k]
+        if old is None:
+            out[k] = row
+            continue
+        first = min(old, row, key=lambda r: (r[1] is None, r[1] or 0))
+        out[k] = (row[0], first[1], first[2], *(x + y for x, y in zip(old[3:], row[3:])))
+    return out
+
+
+_SKETCH = ", n int, k1 bigint, k2 bigint, name_key bigint, bands array<bigint>, " + ", ".join(f"b{w} bigint" for w in range(WORDS))
+
+
+def sketched(files: DataFrame) -> DataFrame:
+    """The files with their sets made distinct, and for each set its size, two hashes of it, one of the names, its bands and its bitmap."""
+    names = [c for c in files.columns if c not in ("shingles", "names")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(whole, "shingles", AT_ONCE):
+                sets, owner, ends = _rows_of(batch.column("shingles"))
+                idents, _, ident_ends = _rows_of(batch.column("names"))
+                rows = batch.num_rows
+                filled = np.flatnonzero(np.diff(ends))
+                digests = np.zeros((rows, 2), np.int64)
+                for k in filled.tolist():
+                    digests[k] = np.frombuffer(blake2b(sets[ends[k] : ends[k + 1]].tobytes(), digest_size=16).digest(), np.int64)
+                name_keys = [int.from_bytes(blake2b(idents[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) if b > a else None for a, b in zip(ident_ends[:-1].tolist(), ident_ends[1:].tolist())]
+                bands, band_ends = np.empty(0, np.int64), np.cumsum(np.r_[0, np.where(np.diff(ends) > 0, BANDS, 0)])
+                if len(filled):
+                    bands = band_keys(sets, ends[filled]).ravel()
+                bitmaps = parity_bitmaps(sets, owner, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c) for c in names),
+                        _lists(sets, ends),
+                        _lists(idents, ident_ends),
+                        pa.array(np.diff(ends), pa.int32()),
+                        pa.array(digests[:, 0].copy()),
+                        pa.array(digests[:, 1].copy()),
+                        pa.array(name_keys, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(band_ends, pa.int32()), pa.array(bands)),
+                        *(pa.array(bitmaps[:, w].copy()) for w in range(WORDS)),
+                    ],
+                    names=[*names, "shingles", "names", *(x.split()[0] for x in _SKETCH[2:].split(", "))],
+                )
+
+    ordered = files.select(*names, "shingles", "names")
+    return ordered.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema) + _SKETCH)
+
+
+def _rows_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of each list, the list of each, and where each list begins; null lists are empty."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+    values, owner = _distinct(flat, np.repeat(np.arange(len(column)), sizes))
+    return values, owner, np.searchsorted(owner, np.arange(len(column) + 1))
+
+
+def _slices(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose lists hold about so many values together; a longer list stays whole."""
+    sizes = np.cumsum(batch.column(name).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    first, done = 0, 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(sizes, done + most, "right")))
+        yield batch.slice(first, last - first)
+        first, done = last, int(sizes[last - 1])
+
+
 def _path_kind(path: Column) -> Column:
     p = F.translate(path, "\\", "/")
     return F.when(p.rlike(LOCK), "generated").when(~p.rlike(CODE), None).when(p.rlike(VENDORED_PATH), "vendored").when(p.rlike(GENERATED_PATH), "generated").when(p.rlike(MINIFIED_PATH), "minified")
 
 
 def judged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file_id, project_id, own, cluster, cluster_kind, verdict): all code and lock files; verdict is null for files written by hand."""
+    """(file_id, project_id, own, cluster, cluster_kind, verdict, by): all code and lock files; verdict is null for files written by hand.
+
+    ``own`` is what the file says of itself; ``by`` is 'cluster', 'path', 'head' or 'shape', whichever gave the verdict.
+    """
     f = files.filter("id is not null and relative_path is not null").groupBy(F.col("id").alias("file_id")).agg(F.first("project_id").alias("project_id"), F.first("relative_path").alias("path"))
     p = F.translate(F.col("path"), "\\", "/")
     f = f.filter(p.rlike(CODE) | p.rlike(LOCK)).select("file_id", "project_id", p.rlike(CODE).alias("is_code"), _path_kind(F.col("path")).alias("path_kind"))
     # excerpts of other files are left out before they are lexed, if the ids are few enough to send; else they drop out later
     ids = materialise(f.select("file_id"), "ids")
     read = chunks.join(F.broadcast(ids), "file_id", "left_semi") if estimated_bytes(ids) <= BROADCAST_BYTES else chunks
-    features = materialise(excerpt_features(read), "excerpts")
-
-    whole = features.groupBy("file_id").agg(
+    whole = excerpt_features(read).groupBy("file_id").agg(
         F.min_by("head", F.col("start_line")).alias("head"),
-        *[F.sum(c).alias(c) for c in ("chars", "literal_chars", "spaces", "lines", "tokens", "idents")],
-        # bounds of the number of distinct shingles
-        F.max(F.size("shingles")).alias("least"),
-        F.sum(F.size("shingles")).alias("most"),
-        *[F.min(f"s{k}").alias(f"s{k}") for k in range(BANDS * ROWS)],
+        *[F.sum(c).alias(c) for c in _SUMS],
+        F.flatten(F.collect_list("shingles")).alias("shingles"),
+        F.flatten(F.collect_list("names")).alias("names"),
     )
     data = (F.col("chars") >= 300) & (F.col("literal_chars") >= 0.6 * F.col("chars")) & (F.col("idents") <= 0.12 * F.col("tokens"))
     dense = (F.col("chars") >= 300) & (F.col("chars") >= 220 * F.col("lines")) & (F.col("spaces") <= 0.08 * F.col("chars"))
-    own = F.coalesce("path_kind", F.when(F.col("is_code"), F.coalesce(F.when(F.col("head") == 1, "generated").when(F.col("head") == 2, "vendored"), F.when(data, "data").when(dense, "minified"))))
-    judged = materialise(f.join(whole, "file_id", "left").select("*", own.alias("own"), F.coalesce(data, F.lit(False)).alias("literal")), "files")
-
-    # Links: every pair of files that shares a band, in blocks of bounded size, so that no leader decides for the others.
-    large = judged.filter("s0 is not null")
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"s{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    # the signature travels along, a byte of each value, so that links that are far off end here
-    byte = lambda k: F.shiftleft(F.xxhash64(f"s{k}").bitwiseAND(F.lit(255).cast("bigint")), 8 * (k % 8))
-    packed = []
-    for w in range(BANDS * ROWS // 8):
-        word = byte(8 * w)
-        for k in range(8 * w + 1, 8 * w + 8):
-            word = word.bitwiseOR(byte(k))
-        packed.append(word.alias(f"p{w}"))
-    names = [f"p{w}" for w in range(len(packed))]
-    banded = large.select("file_id", "least", "most", *packed, F.explode(bands).alias("band"))
-    shares = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = banded.join(shares, "band").withColumn("own", F.pmod(F.xxhash64("file_id"), "blocks").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = materialise(dealt.select("band", F.least("own", "at").alias("lo"), F.greatest("own", "at").alias("hi"), "own", "file_id", "least", "most", *names), "banded")
-    second = dealt.select("band", "lo", "hi", *[F.col(c).alias(f"{c}_2") for c in ("own", "file_id", "least", "most", *names)])
-    agree = sum(F.lit(8) - F.bit_count(_nonzero_bytes(F.col(x).bitwiseXOR(F.col(f"{x}_2")))) for x in names)
-    # a pair of one block meets in that block's own share only; sets that differ too much in size cannot be similar
-    apart = (F.col("lo") == F.col("hi")) | (F.col("own") != F.col("own_2"))
-    sized = (F.col("most") >= SIMILARITY * F.col("least_2")) & (F.col("most_2") >= SIMILARITY * F.col("least"))
-    met = dealt.join(second, ["band", "lo", "hi"]).filter((F.col("file_id") < F.col("file_id_2")) & apart & sized & (agree >= AGREE))
-    links = met.select("file_id", "file_id_2").distinct()
-    links = materialise(links, "links")
-    members = links.select("file_id").union(links.select("file_id_2")).distinct()
-    union_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    sets = materialise(features.select("file_id", "shingles").join(members, "file_id", "left_semi").groupBy("file_id").agg(union_of("shingles")), "sets")
-    shared = F.size(F.array_intersect("shingles", "shingles2"))
-    both = links.join(sets, "file_id").join(sets.select(F.col("file_id").alias("file_id_2"), F.col("shingles").alias("shingles2")), "file_id_2")
-    similar = materialise(both.filter(shared >= SIMILARITY * (F.size("shingles") + F.size("shingles2") - shared)).select("file_id", "file_id_2"), "similar")
-    # all identifiers are compared, but only those of similar files in two repositories are fetched
-    home = judged.select("file_id", "project_id", "tokens")
-    across = similar.join(home, "file_id").join(home.select(F.col("file_id").alias("file_id_2"), F.col("project_id").alias("project2"), F.col("tokens").alias("tokens2")), "file_id_2").filter("project_id != project2").select("file_id", "file_id_2", F.least("tokens", "tokens2").alias("tokens"))
-    across = materialise(across, "across")
-    named = features.select("file_id", "names").join(across.select("file_id").union(across.select("file_id_2")).distinct(), "file_id", "left_semi").groupBy("file_id").agg(union_of("names"))
-    named = materialise(named, "names")
-    same = F.size(F.array_intersect("names", "names2"))
-    alike = across.join(named, "file_id").join(named.select(F.col("file_id").alias("file_id_2"), F.col("names").alias("names2")), "file_id_2")
-    alike = alike.filter((same > 0) & (same >= F.when(F.col("tokens") < SMALL_TOKENS, COPIED[1]).otherwise(COPIED[0]) * (F.size("names") + F.size("names2") - same))).select("file_id", "file_id_2", F.lit(True).alias("copied"))
-    verified = materialise(similar.join(alike, ["file_id", "file_id_2"], "left").select("file_id", "file_id_2", F.coalesce("copied", F.lit(False)).alias("copied")), "verified")
-    clusters = connected_components(verified, "file_id", "file_id_2").select(F.col("node").alias("file_id"), F.col("component").alias("cluster"))
-
-    placed = materialise(judged.select("file_id", "project_id", "own", "literal", "tokens").join(clusters, "file_id", "left"), "placed")
-    copies = verified.join(clusters, "file_id").groupBy("cluster").agg(F.avg(F.col("copied").cast("int")).alias("copies"))
-    stats = placed.filter("cluster is not null").groupBy("cluster").agg(
-        F.count("*").alias("n"),
-        F.avg("tokens").alias("tokens"),
-        F.min("project_id").alias("p0"),
-        F.max("project_id").alias("p1"),
-        F.avg(F.col("literal").cast("int")).alias("literals"),
-        F.avg(F.col("own").isNotNull().cast("int")).alias("evidence"),
-        F.mode("own", True).alias("usual"),
-    )
+    known = f.join(whole, "file_id", "left").select("file_id", "project_id", "path_kind", F.when(F.col("is_code"), F.col("head")).alias("head"), F.coalesce(F.col("is_code") & data, F.lit(False)).alias("literal"), F.coalesce(F.col("is_code") & dense, F.lit(False)).alias("dense"), "tokens", "shingles", "names")
+    judged = materialise(sketched(known).withColumn("uid", F.monotonically_increasing_id()), "files")
+
+    # files with equal sets are one class, represented by its smallest number
+    classes = judged.filter("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("rep"), F.min("project_id").alias("p0"), F.max("project_id").alias("p1"), F.count("*").alias("members"))
+    placed = materialise(judged.select("uid", "file_id", "project_id", "path_kind", "head", "literal", "dense", "tokens", "name_key", "k1", "k2").join(classes, ["k1", "k2"], "left").drop("k1", "k2"), "classes")
+    home = F.when(F.col("p0") == F.col("p1"), F.xxhash64("p0"))
+    reps = placed.filter("uid = rep").select("uid", home.alias("home"))
+    links = materialise(_candidates(judged.join(reps, "uid").select("uid", "home", "n", "bands", *_BITMAP)), "candidates")
+    sets = judged.select("uid", "shingles", "names", "tokens", "name_key")
+    verified, clusters = _clusters(links, sets)
+    copied = _copied(verified.filter("across"), sets)
+
+    # files that agree in all names with a file of their class in another repository, or whose class has a link that does
+    same = placed.filter("members > 1 and name_key is not null").groupBy("rep", "name_key").agg((F.min("project_id") != F.max("project_id")).alias("twin"))
+    of = placed.join(clusters, placed["rep"] == clusters["node"], "left").drop("node").join(same, ["rep", "name_key"], "left").join(copied, "rep", "left")
+    evidence = F.coalesce("path_kind", F.when(F.col("head") == 1, "generated").when(F.col("head") == 2, "vendored"), F.when(F.col("literal"), "data").when(F.col("dense"), "minified"))
+    source = F.when(F.col("path_kind").isNotNull(), "path").when(F.col("head").isNotNull(), "head").when(F.col("literal") | F.col("dense"), "shape")
+    of = of.select("file_id", "project_id", "literal", "dense", "tokens", evidence.alias("own"), source.alias("source"), F.coalesce("component", F.when(F.col("members") > 1, F.col("rep"))).alias("number"), (F.coalesce("twin", F.lit(False)) | F.coalesce(F.col("name_key") == F.col("copied_key"), F.lit(False))).alias("copied"))
+    of = materialise(of, "placed")
+    share = lambda c: F.avg(F.col(c).cast("int")).alias(c)
+    stats = of.filter("number is not null").groupBy("number").agg(F.min("file_id").alias("cluster"), F.count("*").alias("n"), F.avg("tokens").alias("tokens"), F.min("project_id").alias("p0"), F.max("project_id").alias("p1"), share("literal"), share("dense"), share("copied"), F.avg(F.col("own").isNotNull().cast("int")).alias("evidence"), F.mode("own", True).alias("usual"))
     enough = F.col("n") >= F.when(F.col("tokens") < SMALL_TOKENS, FAMILY[1]).otherwise(FAMILY[0])
     kind = (
-        F.when(F.col("literals") >= 0.5, "data")
-        .when((F.col("p0") != F.col("p1")) & (F.col("copies") >= 0.5), "vendored")
+        F.when(F.col("literal") >= 0.5, "data")
+        .when(F.col("dense") >= 0.5, "minified")
+        .when((F.col("p0") != F.col("p1")) & (F.col("copied") >= 0.5), "vendored")
         .when((F.col("p0") == F.col("p1")) & enough, "generated")
         .when(enough & (F.col("evidence") >= 0.6), F.col("usual"))
     )
-    kinds = stats.join(copies, "cluster", "left").select("cluster", kind.alias("cluster_kind"))
-    return placed.join(kinds, "cluster", "left").select("file_id", "project_id", "own", "cluster", "cluster_kind", F.coalesce("own", "cluster_kind").alias("verdict"))
-
-
-def _nonzero_bytes(x: Column) -> Column:
-    """The lowest bit of each byte that is not zero."""
-    for width in (1, 2, 4):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, width))
-    return x.bitwiseAND(F.lit(0x0101010101010101))
+    found = of.join(stats.select("number", "cluster", kind.alias("cluster_kind")), "number", "left")
+    return found.select("file_id", "project_id", "own", "cluster", "cluster_kind", F.coalesce("cluster_kind", "own").alias("verdict"), F.when(F.col("cluster_kind").isNotNull(), "cluster").otherwise(F.col("source")).alias("by"))
+
+
+_BITMAP = [f"b{w}" for w in range(WORDS)]
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """(a, b, across, apart) of classes that share a band and may be similar, a < b.
+
+    Every pair of a band is looked at, in blocks of bounded size. It ends here if the sets' sizes or the bits in which their
+    bitmaps differ (``apart``) rule out the similarity; neither test ever ends a pair that has it.
+    """
+    banded = sets.select("uid", F.explode("bands").alias("band"))
+    shares = banded.groupBy("band").agg(F.count("*").alias("many")).filter("many > 1").select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
+    dealt = banded.join(shares, "band").join(sets.drop("bands"), "uid")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = materialise(dealt.select("band", F.least("block", "at").alias("lo"), F.greatest("block", "at").alias("hi"), "block", "uid", "home", "n", *_BITMAP), "banded")
+    other = dealt.select("band", "lo", "hi", *[F.col(c).alias(f"{c}_2") for c in ("block", "uid", "home", "n", *_BITMAP)])
+    apart = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_2"))) for b in _BITMAP)
+    # a pair of one block meets in that block's own share only
+    once = (F.col("lo") == F.col("hi")) | (F.col("block") != F.col("block_2"))
+    sized = (F.col("n") >= SIMILARITY * F.col("n_2") - 1e-9) & (F.col("n_2") >= SIMILARITY * F.col("n") - 1e-9)
+    near = apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("n") + F.col("n_2")) + 1e-9
+    met = dealt.join(other, ["band", "lo", "hi"]).filter((F.col("uid") < F.col("uid_2")) & once & sized & near)
+    return met.select(F.col("uid").alias("a"), F.col("uid_2").alias("b"), F.coalesce(F.col("home") != F.col("home_2"), F.lit(True)).alias("across"), apart.alias("apart")).distinct()
+
+
+def _verify(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links whose sets have the similarity, exactly."""
+    left, right = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    both = links.join(left, "a").join(right, "b")
+    return both.filter(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b", "across")
+
+
+def _clusters(links: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, across), and (node, component) over all candidates that have the similarity.
+
+    Each class is verified against its nearest candidate, and the nearest in another repository; what these leave in
+    different components is verified as well.
+    """
+    order = F.col("apart").cast("bigint") * F.lit(1 << 32) + F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 32) - 1))
+    ends = links.select("a", "b", "across", order.alias("order"))
+    ends = ends.select(F.col("a").alias("x"), F.col("b").alias("y"), "across", "order").union(ends.select("b", "a", "across", "order"))
+    best = ends.groupBy("x").agg(F.min_by("y", "order").alias("any"), F.min_by("y", F.when(F.col("across"), F.col("order"))).alias("other"))
+    picked = best.select("x", F.explode(F.array("any", "other")).alias("y")).filter("y is not null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    picked = materialise(links.join(picked, ["a", "b"], "left_semi").select("a", "b", "across"), "nearest")
+    first = materialise(_verify(picked, sets), "similar")
+    near = materialise(connected_components(first, "a", "b"), "near")
+    at = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_at"))
+    rest = links.select("a", "b", "across").join(picked, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    rest = rest.select("a", "b", "across", F.coalesce("a_at", "a").alias("a_at"), F.coalesce("b_at", "b").alias("b_at")).filter("a_at != b_at")
+    second = materialise(_verify(rest, sets).join(rest.select("a", "b", "a_at", "b_at"), ["a", "b"]), "similar")
+    joined = materialise(connected_components(second, "a_at", "b_at").select(F.col("node").alias("component"), F.col("component").alias("into")), "joined")
+    alone = joined.join(near.select("node"), joined["component"] == near["node"], "left_anti").select(F.col("component").alias("node"), "component")
+    clusters = near.unionByName(alone).join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return first.unionByName(second.select("a", "b", "across")), clusters
+
+
+def _copied(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, copied_key): classes linked to one of another repository with which they have their identifiers in common; the key of these."""
+    links = links.select("a", "b").distinct()
+    side = lambda c, names: sets.select(F.col("uid").alias(c), F.col("names").alias(names), F.col("tokens").alias(f"{names}_tokens"))
+    same = F.size(F.array_intersect("x", "y"))
+    least = F.when(F.least("x_tokens", "y_tokens") < SMALL_TOKENS, COPIED[1]).otherwise(COPIED[0])
+    alike = links.join(side("a", "x"), "a").join(side("b", "y"), "b").filter((same > 0) & (same >= least * (F.size("x") + F.size("y") - same)))
+    ends = alike.select(F.col("a").alias("uid")).union(alike.select(F.col("b").alias("uid"))).distinct()
+    return ends.join(sets.select("uid", "name_key"), "uid").select(F.col("uid").alias("rep"), F.col("name_key").alias("copied_key"))

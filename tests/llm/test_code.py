@@ -219,3 +219,61 @@ def test_short_files_take_part(spark):
     got = judged_texts(spark, texts)
     assert all(got[k]["cluster"] is not None for k in texts)
     assert {k: {got[x]["verdict"] for x in texts if x[0] == k} for k in "chst"} == {"c": {"vendored"}, "h": {None}, "s": {None}, "t": {"generated"}}
+
+
+def test_clusters_equal_those_of_all_pairs():
+    """Over the code files of a test table: the clusters are the components of all pairs of similarity 0.8."""
+    from pathlib import Path
+
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    from corpusloom.session import get_session, table
+
+    spark = get_session("tests", "4", 4)
+    got = {r["file_id"]: r["cluster"] for r in P.judged_files(table(spark, str(folder), "files"), table(spark, str(folder), "chunks")).collect()}
+    codes, names, sets = P._Codes(), P._Names(), {}
+    for fid, text in set(zip(*(pq.read_table(folder / "chunks.parquet", columns=["file_id", "content"]).column(c).to_pylist() for c in ("file_id", "content")))):
+        if fid in got:
+            sets.setdefault(fid, set()).update(P.shingle_sets([P.masked(text or "", codes, names)[0]])[0].tolist())
+    ids = sorted(k for k, v in sets.items() if v)
+    every = {x: i for i, x in enumerate(sorted(set().union(*sets.values())))}
+    m = np.zeros((len(ids), len(every)), np.float32)
+    for i, k in enumerate(ids):
+        m[i, [every[x] for x in sets[k]]] = 1
+    size, shared = m.sum(1), m @ m.T
+    like = shared >= 0.8 * (size[:, None] + size[None, :] - shared) - 1e-6
+    at = np.arange(len(ids))
+    for _ in range(len(ids)):
+        low = np.where(like, at[None, :], len(ids)).min(1)
+        if (low == at).all():
+            break
+        at = low
+    want = {}
+    for i, k in enumerate(ids):
+        want.setdefault(at[i], set()).add(k)
+    found = {}
+    for k, c in got.items():
+        if c is not None:
+            found.setdefault(c, set()).add(k)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_bitmap_never_rules_out_a_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, own in ((5, 0), (60, 6), (400, 40), (3000, 330)):
+        both, a, b = (rng.integers(0, 1 << 32, k, dtype=np.uint32) for k in (n, own, own))
+        x, y = np.unique(np.r_[both, a]), np.unique(np.r_[both, b])
+        maps = P.parity_bitmaps(np.r_[x, y], np.r_[np.zeros(len(x), int), np.ones(len(y), int)], 2)
+        apart = int(np.bitwise_count(maps[0] ^ maps[1]).sum())
+        assert apart <= len(np.setxor1d(x, y)) and (own == 0) == (apart == 0)
+
+
+@pytest.mark.parametrize("text, kind", [("/*\n * plain words\n\n * @generated by x\n */\nlet a;", 1), ("# a\n# b\n# c\n# d\n# vendored from upstream\nx = 1", 2), ("x = 1\n# Code generated by x", None), ('"""\nText.\n"""\nx = 1', None), ("", None), ("\n\n", None)])
+def test_head_is_read_to_the_first_line_of_code(text, kind):
+    assert P.head_marker(text) == kind
