@@ -25,7 +25,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ SMALL_TOKENS = 200
 #: Share of identifiers that copies have in common.
 COPIED = (0.5, 0.8)
 #: Classes of a band that are paired within one block; two blocks meet in a task of their own.
-BLOCK = 512
+BLOCK = 2048
 #: A family within one repository has at least so many files.
 FAMILY = (3, 5)
 #: Shingles that are sketched at once.
@@ -278,7 +280,7 @@ def _merged(rows: list[tuple], of: np.ndarray, n: int) -> list[tuple]:
     return out
 
 
-_SKETCH = ", n int, k1 bigint, k2 bigint, name_key bigint, bands array<bigint>, " + ", ".join(f"b{w} bigint" for w in range(WORDS))
+_SKETCH = ", n int, k1 bigint, k2 bigint, name_key bigint, bands array<bigint>, bitmap binary"
 
 
 def sketched(files: DataFrame) -> DataFrame:
@@ -310,7 +312,7 @@ def sketched(files: DataFrame) -> DataFrame:
                         pa.array(digests[:, 1].copy()),
                         pa.array(name_keys, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(band_ends, pa.int32()), pa.array(bands)),
-                        *(pa.array(bitmaps[:, w].copy()) for w in range(WORDS)),
+                        pa.array([x.tobytes() for x in bitmaps], pa.binary()),
                     ],
                     names=[*names, "shingles", "names", *(x.split()[0] for x in _SKETCH[2:].split(", "))],
                 )
@@ -369,7 +371,7 @@ def judged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     placed = materialise(judged.select("uid", "file_id", "project_id", "path_kind", "head", "literal", "dense", "tokens", "name_key", "k1", "k2").join(classes, ["k1", "k2"], "left").drop("k1", "k2"), "classes")
     home = F.when(F.col("p0") == F.col("p1"), F.xxhash64("p0"))
     reps = placed.filter("uid = rep").select("uid", home.alias("home"))
-    links = materialise(_candidates(judged.join(reps, "uid").select("uid", "home", "n", "bands", *_BITMAP)), "candidates")
+    links = materialise(_candidates(judged.join(reps, "uid").select("uid", "home", "n", "bands", "bitmap")), "candidates")
     sets = judged.select("uid", "shingles", "names", "tokens", "name_key")
     verified, clusters = _clusters(links, sets)
     copied = _copied(verified.filter("across"), sets)
@@ -395,9 +397,6 @@ def judged_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.select("file_id", "project_id", "own", "cluster", "cluster_kind", F.coalesce("cluster_kind", "own").alias("verdict"), F.when(F.col("cluster_kind").isNotNull(), "cluster").otherwise(F.col("source")).alias("by"))
 
 
-_BITMAP = [f"b{w}" for w in range(WORDS)]
-
-
 def _candidates(sets: DataFrame) -> DataFrame:
     """(a, b, across, apart) of classes that share a band and may be similar, a < b.
 
@@ -408,15 +407,51 @@ def _candidates(sets: DataFrame) -> DataFrame:
     shares = banded.groupBy("band").agg(F.count("*").alias("many")).filter("many > 1").select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
     dealt = banded.join(shares, "band").join(sets.drop("bands"), "uid")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = materialise(dealt.select("band", F.least("block", "at").alias("lo"), F.greatest("block", "at").alias("hi"), "block", "uid", "home", "n", *_BITMAP), "banded")
-    other = dealt.select("band", "lo", "hi", *[F.col(c).alias(f"{c}_2") for c in ("block", "uid", "home", "n", *_BITMAP)])
-    apart = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_2"))) for b in _BITMAP)
-    # a pair of one block meets in that block's own share only
-    once = (F.col("lo") == F.col("hi")) | (F.col("block") != F.col("block_2"))
-    sized = (F.col("n") >= SIMILARITY * F.col("n_2") - 1e-9) & (F.col("n_2") >= SIMILARITY * F.col("n") - 1e-9)
-    near = apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("n") + F.col("n_2")) + 1e-9
-    met = dealt.join(other, ["band", "lo", "hi"]).filter((F.col("uid") < F.col("uid_2")) & once & sized & near)
-    return met.select(F.col("uid").alias("a"), F.col("uid_2").alias("b"), F.coalesce(F.col("home") != F.col("home_2"), F.lit(True)).alias("across"), apart.alias("apart")).distinct()
+    dealt = dealt.select("band", F.least("block", "at").alias("lo"), F.greatest("block", "at").alias("hi"), "block", "uid", "home", "n", "bitmap")
+    met = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_meetings, "a bigint, b bigint, across boolean, apart int")
+    return met.distinct()
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the rows that stand together in one (band, lo, hi); no more rows than two blocks are ever kept."""
+    kept = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            words = np.stack([np.frombuffer(x, np.uint64) for x in batch.column(7).to_pylist()]) if batch.num_rows else np.empty((0, WORDS), np.uint64)
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 6)] + [batch.column(5).fill_null(0).to_numpy(), batch.column(5).is_null().to_numpy(zero_copy_only=False), words]
+            kept = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols)]
+        if kept is None or not len(kept[0]):
+            continue
+        band, lo, hi = kept[:3]
+        starts = np.r_[True, (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+        group = np.cumsum(starts)
+        ready = len(group) if batch is None else int(np.searchsorted(group, group[-1]))
+        found = _pairs_of(group[:ready], [x[:ready] for x in kept[1:]])
+        kept = None if batch is None else [x[ready:] for x in kept]
+        if len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "across", "apart"])
+
+
+def _pairs_of(group: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(a, b, across, apart) of all rows of one group with one another; each row meets the one so many places on, as long as any group is so long."""
+    lo, hi, block, uid, n, home, spread, words = cols
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    left = np.arange(len(group))
+    for step in range(1, len(group)):
+        left = left[left + step < len(group)]
+        left = left[group[left] == group[left + step]]
+        if not len(left):
+            break
+        i, j = left, left + step
+        # a pair of one block meets in that block's own share only
+        fits = ((lo[i] == hi[i]) | (block[i] != block[j])) & (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]) - 1e-9)
+        i, j = i[fits], j[fits]
+        apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int32)
+        near = apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * (n[i] + n[j]) + 1e-9
+        i, j, apart = i[near], j[near], apart[near]
+        for have, more in zip(out, (np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j]), (home[i] != home[j]) | spread[i] | spread[j], apart)):
+            have.append(more)
+    return tuple(np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(out, (np.int64, np.int64, bool, np.int32)))
 
 
 def _verify(links: DataFrame, sets: DataFrame) -> DataFrame:
@@ -424,31 +459,51 @@ def _verify(links: DataFrame, sets: DataFrame) -> DataFrame:
     left, right = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     both = links.join(left, "a").join(right, "b")
-    return both.filter(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b", "across")
+    return both.filter(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared) - 1e-9).select(*links.columns)
+
+
+#: Rounds in which only the nearest candidates are verified; those that are left then are verified all.
+NEAREST_ROUNDS = 2
 
 
 def _clusters(links: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, across), and (node, component) over all candidates that have the similarity.
 
-    Each class is verified against its nearest candidate, and the nearest in another repository; what these leave in
-    different components is verified as well.
+    First each class is verified against its nearest candidate, and the nearest in another repository; then the nearest
+    candidate between any two components, and at last every candidate that still leads from one component to another. A
+    candidate inside a component needs no verification, as it cannot change the components.
     """
     order = F.col("apart").cast("bigint") * F.lit(1 << 32) + F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 32) - 1))
-    ends = links.select("a", "b", "across", order.alias("order"))
-    ends = ends.select(F.col("a").alias("x"), F.col("b").alias("y"), "across", "order").union(ends.select("b", "a", "across", "order"))
-    best = ends.groupBy("x").agg(F.min_by("y", "order").alias("any"), F.min_by("y", F.when(F.col("across"), F.col("order"))).alias("other"))
-    picked = best.select("x", F.explode(F.array("any", "other")).alias("y")).filter("y is not null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    picked = materialise(links.join(picked, ["a", "b"], "left_semi").select("a", "b", "across"), "nearest")
-    first = materialise(_verify(picked, sets), "similar")
-    near = materialise(connected_components(first, "a", "b"), "near")
-    at = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_at"))
-    rest = links.select("a", "b", "across").join(picked, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    rest = rest.select("a", "b", "across", F.coalesce("a_at", "a").alias("a_at"), F.coalesce("b_at", "b").alias("b_at")).filter("a_at != b_at")
-    second = materialise(_verify(rest, sets).join(rest.select("a", "b", "a_at", "b_at"), ["a", "b"]), "similar")
-    joined = materialise(connected_components(second, "a_at", "b_at").select(F.col("node").alias("component"), F.col("component").alias("into")), "joined")
-    alone = joined.join(near.select("node"), joined["component"] == near["node"], "left_anti").select(F.col("component").alias("node"), "component")
-    clusters = near.unionByName(alone).join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
-    return first.unionByName(second.select("a", "b", "across")), clusters
+    left = links.select("a", "b", "across", order.alias("order"), F.col("a").alias("p"), F.col("b").alias("q"))
+    verified, clusters = [], None
+    for round_ in range(NEAREST_ROUNDS + 1):
+        tried = left
+        if round_ == 0:
+            ends = left.select("p", "a", "b", "across", "order").union(left.select("q", "a", "b", "across", "order"))
+            best = ends.groupBy("p").agg(F.min_by(F.struct("a", "b"), "order").alias("any"), F.min_by(F.struct("a", "b"), F.when(F.col("across"), F.col("order"))).alias("other"))
+            picked = best.select(F.inline(F.array("any", "other"))).filter("a is not null").distinct()
+        elif round_ < NEAREST_ROUNDS:
+            picked = left.groupBy(F.least("p", "q"), F.greatest("p", "q")).agg(F.min_by(F.struct("a", "b"), "order").alias("any")).select("any.*")
+        if round_ < NEAREST_ROUNDS:
+            tried = materialise(left.join(picked, ["a", "b"], "left_semi"), "nearest")
+        similar = materialise(_verify(tried.select("a", "b", "across", "p", "q"), sets), "similar")
+        verified.append(similar.select("a", "b", "across"))
+        merged = materialise(connected_components(similar, "p", "q"), "merged")
+        if clusters is None:
+            clusters = merged
+        else:
+            moved = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+            fresh = merged.join(clusters.select("node"), "node", "left_anti")
+            clusters = materialise(clusters.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component")).unionByName(fresh), "clusters")
+        if round_ == NEAREST_ROUNDS:
+            break
+        at = lambda c: merged.select(F.col("node").alias(c), F.col("component").alias(f"{c}_at"))
+        rest = left.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(at("p"), "p", "left").join(at("q"), "q", "left")
+        rest = rest.select("a", "b", "across", "order", F.coalesce("p_at", "p").alias("p"), F.coalesce("q_at", "q").alias("q")).filter("p != q")
+        left = materialise(rest, "left")
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, verified), clusters
 
 
 def _copied(links: DataFrame, sets: DataFrame) -> DataFrame:
