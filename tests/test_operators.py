@@ -109,12 +109,13 @@ def edges(spark, data=EDGES):
     return spark.createDataFrame(data, "src string, dst string")
 
 
-def test_components(spark):
-    got = dict(rows(connected_components(edges(spark))))
+@pytest.mark.parametrize("local", [0, 1 << 18])
+def test_components(spark, local):
+    got = dict(rows(connected_components(edges(spark), local_edges=local)))
     assert got == {"h": "check", "login": "check", "check": "check", "make": "check", "a": "a", "b": "a", "c": "a"}
     chain = spark.range(300).select((F.col("id") * 7 % 300).alias("src"), ((F.col("id") + 1) * 7 % 300).alias("dst"))
-    assert {r[1] for r in rows(connected_components(chain))} == {0}
-    assert connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
+    assert {r[1] for r in rows(connected_components(chain, local_edges=local))} == {0}
+    assert connected_components(spark.createDataFrame([], "src string, dst string"), local_edges=local).count() == 0
 
 
 def test_levels_and_cycles(spark):
