@@ -101,12 +101,10 @@ class _Codes(dict):
 
 
 class _Names(dict):
-    """32-bit hash of an identifier, None for other tokens."""
+    """32-bit hash of an identifier."""
 
-    def __missing__(self, x: str) -> int | None:
-        name = zlib.crc32(x.encode("utf-8", "replace")) if (x[0].isalpha() or x[0] in "_$") and x not in _KEEP else None
-        if name is not None:
-            self[x] = name
+    def __missing__(self, x: str) -> int:
+        name = self[x] = zlib.crc32(x.encode("utf-8", "replace"))
         return name
 
 
@@ -114,9 +112,8 @@ def masked(text: str, codes: _Codes, names: _Names) -> tuple[np.ndarray, int, li
     """Codes of the tokens without comments, the characters that stand in literals, and the hashes of all identifiers."""
     tokens = _TOKEN.findall(text)
     found = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
-    literal = sum(len(tokens[k]) for k in np.flatnonzero((found == _STRING) | (found == _NUMBER)))
-    known = set(map(names.__getitem__, set(tokens)))
-    known.discard(None)
+    literal = sum(map(len, map(tokens.__getitem__, np.flatnonzero((found == _STRING) | (found == _NUMBER)).tolist())))
+    known = set(map(names.__getitem__, map(tokens.__getitem__, np.flatnonzero(found == _IDENTIFIER).tolist())))
     return found[found != _COMMENT], literal, sorted(known)
 
 
@@ -417,7 +414,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = None
     for batch in chain(batches, [None]):
         if batch is not None:
-            words = np.stack([np.frombuffer(x, np.uint64) for x in batch.column(7).to_pylist()]) if batch.num_rows else np.empty((0, WORDS), np.uint64)
+            words = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, WORDS)
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 6)] + [batch.column(5).fill_null(0).to_numpy(), batch.column(5).is_null().to_numpy(zero_copy_only=False), words]
             kept = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols)]
         if kept is None or not len(kept[0]):
@@ -456,10 +453,25 @@ def _pairs_of(group: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, ..
 
 def _verify(links: DataFrame, sets: DataFrame) -> DataFrame:
     """The links whose sets have the similarity, exactly."""
+    names = links.columns
     left, right = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    both = links.join(left, "a").join(right, "b")
-    return both.filter(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared) - 1e-9).select(*links.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(whole, "x", AT_ONCE):
+                sizes, keys = [], []
+                for side in ("x", "y"):
+                    column = batch.column(side)
+                    sizes.append(column.value_lengths().to_numpy())
+                    owner = np.repeat(np.arange(len(column), dtype=np.uint64), sizes[-1])
+                    keys.append(owner << np.uint64(32) | column.flatten().to_numpy().view(np.uint32))
+                at = np.searchsorted(keys[0], keys[1])
+                at[at == len(keys[0])] = 0
+                shared = np.bincount(keys[1][keys[0][at] == keys[1]] >> np.uint64(32), minlength=batch.num_rows)
+                yield batch.select(names).filter(pa.array(shared >= SIMILARITY * (sizes[0] + sizes[1] - shared) - 1e-9))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.schema)
+    return links.join(left, "a").join(right, "b").select(*names, "x", "y").mapInArrow(run, schema)
 
 
 #: Rounds in which only the nearest candidates are verified; those that are left then are verified all.
@@ -473,20 +485,24 @@ def _clusters(links: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     candidate between any two components, and at last every candidate that still leads from one component to another. A
     candidate inside a component needs no verification, as it cannot change the components.
     """
-    order = F.col("apart").cast("bigint") * F.lit(1 << 32) + F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 32) - 1))
-    left = links.select("a", "b", "across", order.alias("order"), F.col("a").alias("p"), F.col("b").alias("q"))
+    # the distance first, then a hash that breaks ties; the last bit tells whether the link leads to another repository
+    order = F.shiftleft(F.col("apart").cast("bigint"), 32) + F.shiftleft(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 31) - 1)), 1) + F.col("across").cast("bigint")
+    left = links.select("a", "b", order.alias("order"), F.col("a").alias("p"), F.col("b").alias("q"))
+    abroad = F.col("order").bitwiseAND(F.lit(1)) == 1
     verified, clusters = [], None
     for round_ in range(NEAREST_ROUNDS + 1):
-        tried = left
+        tried = left.select("a", "b", abroad.alias("across"), "p", "q")
         if round_ == 0:
-            ends = left.select("p", "a", "b", "across", "order").union(left.select("q", "a", "b", "across", "order"))
-            best = ends.groupBy("p").agg(F.min_by(F.struct("a", "b"), "order").alias("any"), F.min_by(F.struct("a", "b"), F.when(F.col("across"), F.col("order"))).alias("other"))
-            picked = best.select(F.inline(F.array("any", "other"))).filter("a is not null").distinct()
+            ends = left.select(F.col("a").alias("x"), F.col("b").alias("y"), "order").union(left.select("b", "a", "order"))
+            best = ends.groupBy("x").agg(F.min_by("y", "order").alias("y"), F.min("order").alias("order"), F.min_by("y", F.when(abroad, F.col("order"))).alias("y2"), F.min(F.when(abroad, F.col("order"))).alias("order2"))
+            picked = best.select("x", "y", "order").union(best.select("x", "y2", "order2")).filter("y is not null")
+            picked = picked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), abroad.alias("across")).distinct()
+            tried = picked.select("*", F.col("a").alias("p"), F.col("b").alias("q"))
         elif round_ < NEAREST_ROUNDS:
-            picked = left.groupBy(F.least("p", "q"), F.greatest("p", "q")).agg(F.min_by(F.struct("a", "b"), "order").alias("any")).select("any.*")
-        if round_ < NEAREST_ROUNDS:
-            tried = materialise(left.join(picked, ["a", "b"], "left_semi"), "nearest")
-        similar = materialise(_verify(tried.select("a", "b", "across", "p", "q"), sets), "similar")
+            best = left.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.min_by("a", "order").alias("a"), F.min_by("b", "order").alias("b"), F.min("order").alias("order"))
+            tried = best.select("a", "b", abroad.alias("across"), "p", "q")
+        tried = materialise(tried, "nearest")
+        similar = materialise(_verify(tried, sets), "similar")
         verified.append(similar.select("a", "b", "across"))
         merged = materialise(connected_components(similar, "p", "q"), "merged")
         if clusters is None:
@@ -499,7 +515,7 @@ def _clusters(links: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         at = lambda c: merged.select(F.col("node").alias(c), F.col("component").alias(f"{c}_at"))
         rest = left.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(at("p"), "p", "left").join(at("q"), "q", "left")
-        rest = rest.select("a", "b", "across", "order", F.coalesce("p_at", "p").alias("p"), F.coalesce("q_at", "q").alias("q")).filter("p != q")
+        rest = rest.select("a", "b", "order", F.coalesce("p_at", "p").alias("p"), F.coalesce("q_at", "q").alias("q")).filter("p != q")
         left = materialise(rest, "left")
         if left.isEmpty():
             break

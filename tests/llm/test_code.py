@@ -269,7 +269,7 @@ def test_bitmap_never_rules_out_a_similar_pair():
     for n, own in ((5, 0), (60, 6), (400, 40), (3000, 330)):
         both, a, b = (rng.integers(0, 1 << 32, k, dtype=np.uint32) for k in (n, own, own))
         x, y = np.unique(np.r_[both, a]), np.unique(np.r_[both, b])
-        maps = P.parity_bitmaps(np.r_[x, y], np.r_[np.zeros(len(x), int), np.ones(len(y), int)], 2)
+        maps = P.parity_bitmaps(np.r_[x, y], np.r_[np.zeros(len(x), int), np.ones(len(y), int)], 2).view(np.uint64)
         apart = int(np.bitwise_count(maps[0] ^ maps[1]).sum())
         assert apart <= len(np.setxor1d(x, y)) and (own or not apart)
 
