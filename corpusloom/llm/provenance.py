@@ -28,14 +28,16 @@ from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import BROADCAST_BYTES, estimated_bytes, materialise
+from ..session import BROADCAST_BYTES, broadcast_if_small, estimated_bytes, materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Two sets of similarity 0.8 share none of the bands with a probability under 0.001.
@@ -52,6 +54,8 @@ BLOCK = 2048
 FAMILY = (3, 5)
 #: Shingles that are sketched at once.
 AT_ONCE = 400_000
+#: Characters that are lexed at once.
+CHARS_AT_ONCE = 2_000_000
 
 CODE = r"(?i)\.(?:py|pyi|ts|tsx|mts|cts|js|jsx|mjs|cjs|go|rs|java|kt|scala|c|cc|cpp|h|hpp|cs|rb|php|swift|m|lua|pl|sh|css|scss)$"
 # Names that tools give to lock files.
@@ -108,22 +112,40 @@ class _Names(dict):
         return name
 
 
-def masked(text: str, codes: _Codes, names: _Names) -> tuple[np.ndarray, int, list[int]]:
-    """Codes of the tokens without comments, the characters that stand in literals, and the hashes of all identifiers."""
-    tokens = _TOKEN.findall(text)
-    found = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
-    literal = sum(map(len, map(tokens.__getitem__, np.flatnonzero((found == _STRING) | (found == _NUMBER)).tolist())))
-    known = set(map(names.__getitem__, map(tokens.__getitem__, np.flatnonzero(found == _IDENTIFIER).tolist())))
-    return found[found != _COMMENT], literal, sorted(known)
-
-
-def shingle_sets(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of each part's labelled shingles, part after part, and where each part's begin."""
-    sizes = np.array([len(p) for p in parts], np.int64)
+class Lexed(NamedTuple):
+    """Texts one after the other: token codes without comments and how many each text has, characters in literals, identifiers, and hashes of the distinct identifiers with the text of each."""
+
+    codes: np.ndarray
+    sizes: np.ndarray
+    literal_chars: np.ndarray
+    identifiers: np.ndarray
+    names: np.ndarray
+    name_of: np.ndarray
+
+
+def masked(texts: list[str], codes: _Codes, names: _Names) -> Lexed:
+    tokens: list[str] = []
+    counts = []
+    for text in texts:
+        found = _TOKEN.findall(text)
+        tokens += found
+        counts.append(len(found))
+    every = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    literal = np.flatnonzero((every == _STRING) | (every == _NUMBER))
+    lengths = np.fromiter(map(len, map(tokens.__getitem__, literal.tolist())), np.int64, len(literal))
+    at = np.flatnonzero(every == _IDENTIFIER)
+    hashes = np.fromiter(map(names.__getitem__, map(tokens.__getitem__, at.tolist())), np.uint32, len(at))
+    kept = every != _COMMENT
+    per_text = lambda of, weights=None: np.bincount(of, weights, minlength=len(texts)).astype(np.int64)
+    return Lexed(every[kept], per_text(owner[kept]), per_text(owner[literal], lengths), per_text(owner[at]), *_distinct(hashes, owner[at]))
+
+
+def shingle_sets(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of each text's labelled shingles, text after text, and where each text's begin."""
     counts_of = np.maximum(sizes - SHINGLE + 1, 0)
     if not counts_of.sum():
-        return np.empty(0, np.uint32), np.zeros(len(parts) + 1, np.int64)
-    codes = np.concatenate(parts)
+        return np.empty(0, np.uint32), np.zeros(len(sizes) + 1, np.int64)
     n = len(codes) - SHINGLE + 1
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
@@ -131,36 +153,30 @@ def shingle_sets(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
         starts = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(parts)), counts_of)
+        owner = np.repeat(np.arange(len(sizes)), counts_of)
         at = np.arange(counts_of.sum()) - np.repeat(np.cumsum(counts_of) - counts_of, counts_of) + np.repeat(starts, counts_of)
-        h = h[at]
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-        counts = np.diff(np.r_[first, len(h)])
-        values, of = h[first], owner[first]
-        all_values, all_of, power = [values], [of], 2
+        key = np.sort(owner.astype(np.uint64) << np.uint64(32) | h[at] >> np.uint64(32))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        counts, key = np.diff(np.r_[first, len(key)]), key[first]
+        labels, power = [key], 2
         while (more := counts >= power).any():
-            all_values.append(values[more] * np.uint64(0xD1342543DE82EF95) + np.uint64(power))
-            all_of.append(of[more])
+            labels.append(key[more] + np.uint64(power) * np.uint64(1 << 32) * np.uint64(len(sizes)))
             power *= 2
-        mixed, of = np.concatenate(all_values), np.concatenate(all_of)
+        key = np.concatenate(labels)
+        step = key >> np.uint64(32)
+        of = step % np.uint64(len(sizes))
+        mixed = ((key & np.uint64(0xFFFFFFFF)) + (step // np.uint64(len(sizes))) * np.uint64(0xD1342543DE82EF95)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    short = (mixed >> np.uint64(32)).astype(np.uint32)
-    order = np.lexsort((short, of))
-    short, of = short[order], of[order]
-    keep = np.r_[True, (short[1:] != short[:-1]) | (of[1:] != of[:-1])]
-    short, of = short[keep], of[keep]
-    return short, np.searchsorted(of, np.arange(len(parts) + 1))
+        mixed *= np.uint64(0x94D049BB133111EB)
+    short, of = _distinct((mixed >> np.uint64(32)).astype(np.uint32), of)
+    return short, np.searchsorted(of, np.arange(len(sizes) + 1))
 
 
 def _distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each value of an owner once, in order of owners and values."""
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    keep = np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])][: len(values)]
-    return values[keep], owner[keep]
+    """Each 32-bit value of an owner once, in order of owners and values."""
+    key = np.sort(owner.astype(np.uint64) << np.uint64(32) | values)
+    key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
+    return key.astype(np.uint32), (key >> np.uint64(32)).astype(np.int64)
 
 
 def band_keys(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -197,6 +213,8 @@ _OPENS = (("/*", "*/"), ('"""', '"""'), ("'''", "'''"), ("<!--", "-->"))
 
 def head_marker(text: str) -> int | None:
     """What the comments before the first line of code say about the file's origin: 1 generated, 2 vendored."""
+    if not _HEAD_LINE.match(text):
+        return None
     closes = None
     for line in _LINES.findall(text):
         bare = line.strip()
@@ -235,28 +253,24 @@ def excerpt_features(chunks: DataFrame) -> DataFrame:
         kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * len(_SUMS))
         codes, known = _Codes(), _Names()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for batch in _slices(whole, "content", CHARS_AT_ONCE):
                 if len(known) > 500_000:
                     codes, known = _Codes(), _Names()
-                rows, parts, idents = [], [], []
-                for fid, start, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    text = text or ""
-                    found, literal, names = masked(text, codes, known)
-                    parts.append(found)
-                    idents.append(names)
-                    rows.append((fid, start, head_marker(text), len(text), literal, text.count(" ") + text.count("\t"), max(1, sum(1 for x in text.splitlines() if x.strip())), len(found), int((found == _IDENTIFIER).sum())))
-                if not rows:
-                    continue
-                shingles, ends = shingle_sets(parts)
-                names, name_ends = np.array([x for many in idents for x in many], np.uint32), np.cumsum([0, *map(len, idents)])
+                ids, starts, texts = (c.to_pylist() for c in batch.columns)
+                texts = [t or "" for t in texts]
+                lexed = masked(texts, codes, known)
+                shingles, ends = shingle_sets(lexed.codes, lexed.sizes)
+                names, name_ends = lexed.names, np.searchsorted(lexed.name_of, np.arange(len(texts) + 1))
+                rows = list(
+                    zip(ids, starts, map(head_marker, texts), map(len, texts), lexed.literal_chars.tolist(), (t.count(" ") + t.count("\t") for t in texts), (max(1, sum(map(bool, map(str.strip, t.splitlines())))) for t in texts), lexed.sizes.tolist(), lexed.identifiers.tolist())
+                )
                 place: dict[str, int] = {}
-                of = np.array([place.setdefault(r[0], len(place)) for r in rows])
+                of = np.array([place.setdefault(i, len(place)) for i in ids])
                 if len(place) <= len(rows) // 2:
                     rows = _merged(rows, of, len(place))
                     shingles, owner = _distinct(shingles, np.repeat(of, np.diff(ends)))
                     ends = np.searchsorted(owner, np.arange(len(place) + 1))
-                    names, owner = _distinct(names, np.repeat(of, np.diff(name_ends)))
+                    names, owner = _distinct(names, of[lexed.name_of])
                     name_ends = np.searchsorted(owner, np.arange(len(place) + 1))
                 cols = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([*cols, _lists(shingles, ends), _lists(names, name_ends)], names=columns)
@@ -327,8 +341,10 @@ def _rows_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _slices(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose lists hold about so many values together; a longer list stays whole."""
-    sizes = np.cumsum(batch.column(name).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    """Parts of a batch whose lists, or texts, hold about so many values together; a longer one stays whole."""
+    column = batch.column(name)
+    lengths = pc.binary_length(column) if pa.types.is_string(column.type) else column.value_lengths()
+    sizes = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))
     first, done = 0, 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(sizes, done + most, "right")))
@@ -400,9 +416,9 @@ def _candidates(sets: DataFrame) -> DataFrame:
     Every pair of a band is looked at, in blocks of bounded size. It ends here if the sets' sizes or the bits in which their
     bitmaps differ (``apart``) rule out the similarity; neither test ever ends a pair that has it.
     """
-    banded = sets.select("uid", F.explode("bands").alias("band"))
-    shares = banded.groupBy("band").agg(F.count("*").alias("many")).filter("many > 1").select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    dealt = banded.join(shares, "band").join(sets.drop("bands"), "uid")
+    counts = sets.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("many")).filter(F.col("many") > BLOCK)
+    crowded = broadcast_if_small(counts.select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "crowded")
+    dealt = sets.select("uid", "home", "n", "bitmap", F.explode("bands").alias("band")).join(crowded, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", F.least("block", "at").alias("lo"), F.greatest("block", "at").alias("hi"), "block", "uid", "home", "n", "bitmap")
     met = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_meetings, "a bigint, b bigint, across boolean, apart int")
@@ -451,10 +467,10 @@ def _pairs_of(group: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, ..
     return tuple(np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(out, (np.int64, np.int64, bool, np.int32)))
 
 
-def _verify(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links whose sets have the similarity, exactly."""
+def _verify(links: DataFrame, sets: DataFrame, what: str = "shingles", least: str | None = None) -> DataFrame:
+    """The links whose sets have the similarity, exactly; ``least`` names a column of the links that holds another one."""
     names = links.columns
-    left, right = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y"))
+    left, right = sets.select(F.col("uid").alias("a"), F.col(what).alias("x")), sets.select(F.col("uid").alias("b"), F.col(what).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -466,9 +482,11 @@ def _verify(links: DataFrame, sets: DataFrame) -> DataFrame:
                     owner = np.repeat(np.arange(len(column), dtype=np.uint64), sizes[-1])
                     keys.append(owner << np.uint64(32) | column.flatten().to_numpy().view(np.uint32))
                 at = np.searchsorted(keys[0], keys[1])
-                at[at == len(keys[0])] = 0
-                shared = np.bincount(keys[1][keys[0][at] == keys[1]] >> np.uint64(32), minlength=batch.num_rows)
-                yield batch.select(names).filter(pa.array(shared >= SIMILARITY * (sizes[0] + sizes[1] - shared) - 1e-9))
+                found = at < len(keys[0])
+                found[found] = keys[0][at[found]] == keys[1][found]
+                shared = np.bincount((keys[1][found] >> np.uint64(32)).astype(np.int64), minlength=batch.num_rows)
+                enough = SIMILARITY if least is None else batch.column(least).to_numpy()
+                yield batch.select(names).filter(pa.array((shared > 0) & (shared >= enough * (sizes[0] + sizes[1] - shared) - 1e-9)))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.schema)
     return links.join(left, "a").join(right, "b").select(*names, "x", "y").mapInArrow(run, schema)
@@ -524,10 +542,9 @@ def _clusters(links: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _copied(links: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, copied_key): classes linked to one of another repository with which they have their identifiers in common; the key of these."""
-    links = links.select("a", "b").distinct()
-    side = lambda c, names: sets.select(F.col("uid").alias(c), F.col("names").alias(names), F.col("tokens").alias(f"{names}_tokens"))
-    same = F.size(F.array_intersect("x", "y"))
-    least = F.when(F.least("x_tokens", "y_tokens") < SMALL_TOKENS, COPIED[1]).otherwise(COPIED[0])
-    alike = links.join(side("a", "x"), "a").join(side("b", "y"), "b").filter((same > 0) & (same >= least * (F.size("x") + F.size("y") - same)))
+    size = lambda c: sets.select(F.col("uid").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+    least = F.when(F.least("a_tokens", "b_tokens") < SMALL_TOKENS, COPIED[1]).otherwise(COPIED[0])
+    sized = links.select("a", "b").distinct().join(size("a"), "a").join(size("b"), "b").select("a", "b", least.alias("least"))
+    alike = _verify(sized, sets, "names", "least")
     ends = alike.select(F.col("a").alias("uid")).union(alike.select(F.col("b").alias("uid"))).distinct()
     return ends.join(sets.select("uid", "name_key"), "uid").select(F.col("uid").alias("rep"), F.col("name_key").alias("copied_key"))
