@@ -420,24 +420,24 @@ def _candidates(sets: DataFrame) -> DataFrame:
     crowded = broadcast_if_small(counts.select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "crowded")
     dealt = sets.select("uid", "home", "n", "bitmap", F.explode("bands").alias("band")).join(crowded, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("block", "at").alias("lo"), F.greatest("block", "at").alias("hi"), "block", "uid", "home", "n", "bitmap")
-    met = dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_meetings, "a bigint, b bigint, across boolean, apart int")
+    # one number for each band and pair of blocks; should two ever fall together, their rows only meet needlessly
+    group = F.when(F.col("blocks") == 1, F.col("band")).otherwise(F.xxhash64("band", F.least("block", "at"), F.greatest("block", "at")))
+    dealt = dealt.select(group.alias("group"), (F.col("block") == F.col("at")).alias("within"), "block", "uid", F.coalesce("home", F.lit(0).cast("bigint")).alias("home"), "n", "bitmap")
+    met = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_meetings, "a bigint, b bigint, across boolean, apart int")
     return met.distinct()
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the rows that stand together in one (band, lo, hi); no more rows than two blocks are ever kept."""
+    """Pairs of the rows that stand together in one group; no more rows than two blocks are kept besides the batch."""
     kept = None
     for batch in chain(batches, [None]):
         if batch is not None:
-            words = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, WORDS)
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 6)] + [batch.column(5).fill_null(0).to_numpy(), batch.column(5).is_null().to_numpy(zero_copy_only=False), words]
+            words = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, WORDS)
+            cols = [*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)), words]
             kept = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols)]
         if kept is None or not len(kept[0]):
             continue
-        band, lo, hi = kept[:3]
-        starts = np.r_[True, (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
-        group = np.cumsum(starts)
+        group = np.cumsum(np.r_[True, kept[0][1:] != kept[0][:-1]])
         ready = len(group) if batch is None else int(np.searchsorted(group, group[-1]))
         found = _pairs_of(group[:ready], [x[:ready] for x in kept[1:]])
         kept = None if batch is None else [x[ready:] for x in kept]
@@ -447,7 +447,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs_of(group: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """(a, b, across, apart) of all rows of one group with one another; each row meets the one so many places on, as long as any group is so long."""
-    lo, hi, block, uid, n, home, spread, words = cols
+    within, block, uid, home, n, words = cols
     out: list[list[np.ndarray]] = [[], [], [], []]
     left = np.arange(len(group))
     for step in range(1, len(group)):
@@ -456,13 +456,13 @@ def _pairs_of(group: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, ..
         if not len(left):
             break
         i, j = left, left + step
-        # a pair of one block meets in that block's own share only
-        fits = ((lo[i] == hi[i]) | (block[i] != block[j])) & (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]) - 1e-9)
+        # a pair of one block meets in that block's own group only; there all rows are within their block
+        fits = ((within[i] & within[j]) | (block[i] != block[j])) & (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]) - 1e-9)
         i, j = i[fits], j[fits]
         apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int32)
         near = apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * (n[i] + n[j]) + 1e-9
         i, j, apart = i[near], j[near], apart[near]
-        for have, more in zip(out, (np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j]), (home[i] != home[j]) | spread[i] | spread[j], apart)):
+        for have, more in zip(out, (np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j]), (home[i] != home[j]) | (home[i] == 0), apart)):
             have.append(more)
     return tuple(np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(out, (np.int64, np.int64, bool, np.int32)))
 

@@ -277,3 +277,11 @@ def test_bitmap_never_rules_out_a_similar_pair():
 @pytest.mark.parametrize("text, kind", [("/*\n * plain words\n\n * @generated by x\n */\nlet a;", 1), ("# a\n# b\n# c\n# d\n# vendored from upstream\nx = 1", 2), ("x = 1\n# Code generated by x", None), ('"""\nText.\n"""\nx = 1', None), ("", None), ("\n\n", None)])
 def test_head_is_read_to_the_first_line_of_code(text, kind):
     assert P.head_marker(text) == kind
+
+
+def test_blocks_of_a_crowded_band_lose_no_pair(spark, monkeypatch):
+    texts = {f"{side}{i:02}": (f"{side}{i}", noise(40, 7) + "\n" + noise(7, 100 + i) + "\n" + (noise(9, 500 + i) if side == "b" else "")) for i in range(30) for side in "ab"}
+    whole = judged_texts(spark, texts)
+    monkeypatch.setattr(P, "BLOCK", 5)
+    parts = judged_texts(spark, texts)
+    assert {k: r["cluster"] for k, r in whole.items()} == {k: r["cluster"] for k, r in parts.items()} and any(r["cluster"] for r in parts.values())
