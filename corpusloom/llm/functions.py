@@ -17,7 +17,9 @@ ignored; a text is read whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -36,7 +38,7 @@ _STRING_DQ, _STRING_SQ = r'"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z)', r"'(?:[^'\\\n]|\\
 _LEX = {
     "python": re.compile(rf"(?P<comment>#[^\n]*)|(?P<string>[A-Za-z]{{0,2}}(?:\"\"\"(?:[^\\]|\\.)*?(?:\"\"\"|\Z)|'''(?:[^\\]|\\.)*?(?:'''|\Z)|{_STRING_DQ}|{_STRING_SQ}))", re.S),
     "go": re.compile(rf"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>{_STRING_DQ}|`[^`]*(?:`|\Z)|'(?:[^'\\\n]|\\.)+')", re.S),
-    "rust": re.compile(rf"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>r#+\".*?\"#+|\"(?:[^\"\\]|\\.)*(?:\"|\Z)|'(?:\\.[^']*|[^'\\\n])')", re.S),
+    "rust": re.compile(rf"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>r#+\".*?(?:\"#+|\Z)|\"(?:[^\"\\]|\\.)*(?:\"|\Z)|'(?:\\.[^']*|[^'\\\n])')", re.S),
     "braces": re.compile(rf"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"\"\".*?\"\"\"|{_STRING_DQ}|{_STRING_SQ}|`(?:[^`\\]|\\.)*(?:`|\Z))", re.S),
 }
 _HEADER = {
@@ -47,7 +49,7 @@ _HEADER = {
         r"(?:^|(?<=[{};]))[ \t]*(?:(?:export|default|public|private|protected|static|final|abstract|synchronized|native|override|readonly|async|declare|get|set|strictfp)[ \t]+)*"
         r"(?:"
         r"(?:async[ \t]+)?function[ \t]*\*?[ \t]*(?P<f>[\w$]+)[ \t]*[<(]"
-        r"|(?:const|let|var)[ \t]+(?P<a>[\w$]+)(?:[ \t]*:[^=\n]+)?[ \t]*=[ \t]*(?:async[ \t]+)?(?:function\b|<|\((?=[^\n]*(?:=>|$))|[\w$]+[ \t]*=>)"
+        r"|(?:const|let|var)[ \t]+(?P<a>[\w$]+)(?:[ \t]*:[^=\n]+)?[ \t]*=[ \t]*(?:async[ \t]+)?(?:function\b|<|\(|[\w$]+[ \t]*=>)"
         r"|(?:<[^>\n]+>[ \t]*)?(?:[\w$.]+(?:<[^=;(){}\n]*>)?(?:\[\])*[ \t]+)?\*?(?P<m>\#?[A-Za-z_$][\w$]*)[ \t]*(?:<[^>\n(]*>)?[ \t]*\("
         r")",
         re.M,
@@ -93,14 +95,31 @@ def _lexed(text: str, language: str) -> tuple[str, list[tuple[int, int, str]]]:
     return "".join(parts), marks
 
 
-def _matching(code: str, at: int, opening: str, closing: str) -> int:
-    """The place after the bracket that closes the one at ``at``; the end of the text if none does."""
-    depth = 0
-    for m in re.compile(f"[{re.escape(opening + closing)}]").finditer(code, at):
-        depth += 1 if m[0] == opening else -1
-        if depth == 0:
-            return m.end()
-    return len(code)
+class Brackets:
+    """Where each bracket of a code is closed, found in one pass; kinds of brackets are matched apart from one another."""
+
+    _PAIRS = {")": "(", "]": "[", "}": "{"}
+
+    def __init__(self, code: str):
+        self.end_of, self.at, self.size = {}, {"(": [], "[": [], "{": []}, len(code)
+        opened: dict[str, list[int]] = {"(": [], "[": [], "{": []}
+        for m in re.finditer(r"[(){}\[\]]", code):
+            opening = self._PAIRS.get(m[0])
+            if opening is None:
+                opened[m[0]].append(m.start())
+                self.at[m[0]].append(m.start())
+            elif opened[opening]:
+                self.end_of[opened[opening].pop()] = m.end()
+
+    def closed(self, at: int) -> int:
+        """The place after the bracket that closes the one at ``at``; the end of the code if none does."""
+        return self.end_of.get(at, self.size)
+
+    def next(self, kind: str, at: int) -> int:
+        """The first opening bracket of a kind from ``at`` on; -1 if there is none."""
+        places = self.at[kind]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
 
 
 def functions_in(text: str | None, column_doc: str | None = None) -> list[Function]:
@@ -112,49 +131,50 @@ def functions_in(text: str | None, column_doc: str | None = None) -> list[Functi
     if language is None:
         return []
     code, marks = _lexed(text, language)
+    brackets, mark_starts = Brackets(code), [start for start, _, _ in marks]
+    comment_at = {end: start for start, end, kind in marks if kind == "comment"}
     found: list[Function] = []
     for m in _HEADER[language].finditer(code):
         if language == "braces":
             name = m["f"] or m["a"] or m["m"]
             start = m.start() + len(m[0]) - len(m[0].lstrip("\n \t"))
             if m["m"]:
-                end = _method_end(code, m, name)
+                end = _method_end(code, brackets, m, name)
                 if end is None:
                     continue
             else:
-                end = _body_end(code, m.end())
+                end = _body_end(brackets, m.end())
         else:
             name, start = m[1], m.start() + len(m[0]) - len(m[0].lstrip())
-            end = _indent_end(code, m) if language == "python" else _body_end(code, m.end() - 1)
-        doc = _docstring(text, code, marks, m) if language == "python" else _above(text, start, language)
+            end = _indent_end(code, brackets, m) if language == "python" else _body_end(brackets, m.end() - 1)
+        doc = _docstring(text, code, brackets, marks, mark_starts, m) if language == "python" else _above(text, start, language, comment_at)
         found.append(Function(name, start, end, doc))
     if len(found) == 1 and column_doc and not is_real(found[0].doc, found[0].name) and not _CLASS[language].search(code):
         found[0] = found[0]._replace(doc=column_doc)
     return found
 
 
-def _method_end(code: str, m: re.Match, name: str) -> int | None:
-    if name in _NOT_A_METHOD or re.match(r"[ \t]*(?:return|new|throw|await|else|case|typeof|yield)\b", m[0].lstrip("{};\n")):
-        return None
-    after = _matching(code, m.end() - 1, "(", ")")
-    body = re.compile(r"\s*(?::[^={};]+(?:\{[^{}]*\})?[^={};]*|throws[ \t]+[\w$., \t\n]+)?\s*\{").match(code, after)
-    if not body:
+_NO_METHOD = re.compile(r"[ \t]*(?:return|new|throw|await|else|case|typeof|yield)\b")
+_METHOD_BODY = re.compile(r"\s*(?::[^={};]+(?:\{[^{}]*\})?[^={};]*|throws[ \t]+[\w$., \t\n]+)?\s*\{")
+
+
+def _method_end(code: str, brackets: Brackets, m: re.Match, name: str) -> int | None:
+    if name in _NOT_A_METHOD or _NO_METHOD.match(m[0].lstrip("{};\n")):
         return None
-    return _matching(code, body.end() - 1, "{", "}")
+    body = _METHOD_BODY.match(code, brackets.closed(m.end() - 1))
+    return brackets.closed(body.end() - 1) if body else None
 
 
-def _body_end(code: str, at: int) -> int:
-    brace = code.find("{", at)
-    paren = code.find("(", max(0, at - 1))
-    if 0 <= paren < (brace if brace >= 0 else len(code)):
-        brace = code.find("{", _matching(code, paren, "(", ")"))
-    return len(code) if brace < 0 else _matching(code, brace, "{", "}")
+def _body_end(brackets: Brackets, at: int) -> int:
+    brace, paren = brackets.next("{", at), brackets.next("(", max(0, at - 1))
+    if 0 <= paren < (brace if brace >= 0 else brackets.size):
+        brace = brackets.next("{", brackets.closed(paren))
+    return brackets.size if brace < 0 else brackets.closed(brace)
 
 
-def _indent_end(code: str, m: re.Match) -> int:
+def _indent_end(code: str, brackets: Brackets, m: re.Match) -> int:
     indent = len(m[0]) - len(m[0].lstrip(" \t"))
-    after = _matching(code, m.end() - 1, code[m.end() - 1], ")" if code[m.end() - 1] == "(" else "]")
-    at = code.find("\n", after)
+    at = code.find("\n", brackets.closed(m.end() - 1))
     while at >= 0:
         line_end = code.find("\n", at + 1)
         line = code[at + 1 : line_end if line_end >= 0 else len(code)]
@@ -164,18 +184,20 @@ def _indent_end(code: str, m: re.Match) -> int:
     return len(code)
 
 
-def _docstring(text: str, code: str, marks: list[tuple[int, int, str]], m: re.Match) -> str:
+_COLON = re.compile(r"[ \t\n]*(?:->[^:\n]*(?:\[[^\n]*\])?)?[ \t]*:")
+
+
+def _docstring(text: str, code: str, brackets: Brackets, marks: list[tuple[int, int, str]], mark_starts: list[int], m: re.Match) -> str:
     opening = m.end() - 1
-    after = _matching(code, opening, code[opening], ")" if code[opening] == "(" else "]")
+    after = brackets.closed(opening)
     if code[opening] == "[":
-        after = _matching(code, code.find("(", after), "(", ")") if code.find("(", after) >= 0 else after
-    colon = re.compile(r"[ \t\n]*(?:->[^:\n]*(?:\[[^\n]*\])?)?[ \t]*:").match(code, after)
+        paren = brackets.next("(", after)
+        after = brackets.closed(paren) if paren >= 0 else after
+    colon = _COLON.match(code, after)
     if not colon:
         return ""
     at = colon.end()
-    for start, end, kind in marks:
-        if start < at:
-            continue
+    for start, end, kind in islice(marks, bisect_left(mark_starts, at), None):
         if text[at:start].strip():
             return ""
         if kind == "string":
@@ -186,29 +208,42 @@ def _docstring(text: str, code: str, marks: list[tuple[int, int, str]], m: re.Ma
     return ""
 
 
-def _above(text: str, start: int, language: str) -> str:
-    """The documentation comment directly above, past annotations."""
-    lines = text[:start].split("\n")
-    if lines[-1].strip() and not (language == "braces" and lines[-1].rstrip().endswith("*/")):
-        before = lines[-1].strip()
-        if not before.startswith(("@", "#[")):
-            return ""
-    elif not lines[-1].strip():
-        lines.pop()
+_ANNOTATIONS = re.compile(r"\s*(?:@[\w.$]+(?:\([^\n]*\))?\s*)+")
+_CLOSES = re.compile(r"\*/[ \t]*(?:@[\w.$]+(?:\([^\n]*\))?[ \t]*)*\Z")
+_ATTRIBUTE = re.compile(r"\s*#!?\[.*\]\s*")
+_LINE_DOC = {"rust": re.compile(r"\s*///(?!/) ?(.*)"), "go": re.compile(r"\s*//(?!/) ?(.*)")}
+
+
+def _lines_above(text: str, end: int) -> Iterator[tuple[int, str]]:
+    """Where each line begins and what it holds, upwards from the one that ends at ``end``."""
+    while end >= 0:
+        start = text.rfind("\n", 0, end) + 1
+        yield start, text[start:end]
+        end = start - 1
+
+
+def _above(text: str, start: int, language: str, comment_at: dict[int, int]) -> str:
+    """The documentation comment directly above, past annotations; only the lines it takes up are looked at."""
+    line_start = text.rfind("\n", 0, start) + 1
+    before = text[line_start:start].strip()
+    if before and not (language == "braces" and before.endswith("*/")) and not before.startswith(("@", "#[")):
+        return ""
+    end = start if before else line_start - 1
     if language == "braces":
-        while lines and re.fullmatch(r"\s*(?:@[\w.$]+(?:\([^\n]*\))?\s*)+", lines[-1]):
-            lines.pop()
-        joined = "\n".join(lines)
-        m = re.search(r"/\*\*(?!/)((?:(?!\*/).)*)\*/[ \t]*(?:@[\w.$]+(?:\([^\n]*\))?[ \t]*)*\Z", joined, re.S)
-        if not m:
-            return ""
-        return "\n".join(re.sub(r"^\s*\*+ ?|\*+$", "", line) for line in m[1].split("\n"))
-    mark = r"\s*///(?!/) ?(.*)" if language == "rust" else r"\s*//(?!/) ?(.*)"
+        for at, line in _lines_above(text, end):
+            if _ANNOTATIONS.fullmatch(line):
+                continue
+            m = _CLOSES.search(line)
+            opens = comment_at.get(at + m.start() + 2) if m else None
+            if opens is None or not text.startswith("/**", opens) or at + m.start() + 2 - opens < 5:
+                return ""
+            return "\n".join(re.sub(r"^\s*\*+ ?|\*+$", "", x) for x in text[opens + 3 : at + m.start()].split("\n"))
+        return ""
     doc: list[str] = []
-    for line in reversed(lines):
-        if language == "rust" and re.fullmatch(r"\s*#!?\[.*\]\s*", line):
+    for _, line in _lines_above(text, end):
+        if language == "rust" and _ATTRIBUTE.fullmatch(line):
             continue
-        m = re.fullmatch(mark, line)
+        m = _LINE_DOC[language].fullmatch(line)
         if not m:
             break
         doc.append(m[1])
@@ -299,9 +334,8 @@ def documented_functions(df: DataFrame, key: str, content: str, docstring: str)
         for batch in batches:
             rows = []
             for k, text, doc in zip(*(c.to_pylist() for c in batch.columns)):
-                for f in functions_in(text, doc):
-                    if is_real(f.doc, f.name):
-                        rows.append((k, f.name, text.replace("\r\n", "\n").replace("\r", "\n")[f.start : f.end], description(f.doc)))
+                plain = text.replace("\r\n", "\n").replace("\r", "\n")
+                rows += [(k, f.name, plain[f.start : f.end], description(f.doc)) for f in functions_in(plain, doc) if is_real(f.doc, f.name)]
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=["chunk_id", "name", "code", "description"])
 

@@ -285,3 +285,15 @@ def test_blocks_of_a_crowded_band_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(P, "BLOCK", 5)
     parts = judged_texts(spark, texts)
     assert {k: r["cluster"] for k, r in whole.items()} == {k: r["cluster"] for k, r in parts.items()} and any(r["cluster"] for r in parts.values())
+
+
+@pytest.mark.parametrize(
+    "line, count",
+    [('def f{0}(a):\n    """Reads row {0} of it."""\n    return {0}', 10_000), ("/** Reads row {0} of it. */\nfunction f{0}(a) {{ return g({0}); }}", 10_000), ("// F{0} reads a row.\nfunc F{0}(a int) {{", 10_000), ("/// Reads a row.\n#[x]\nfn f{0}(a) {{", 10_000), ("const a{0} = (b;", 50_000), ("x" * 100, 10_000), ('r#"', 20_000), ("def f(:", 20_000)],
+)
+def test_long_texts_take_linear_time(line, count):
+    import time
+
+    began = time.process_time()
+    D.functions_in((" " if line == "const a{0} = (b;" else "\n").join(line.format(i) for i in range(count)))
+    assert time.process_time() - began < 5
