@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Paths of the intermediate tables of this process.
@@ -34,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. A private one is made only where the session names none (tests)."""
+    """The folder all executors share. A private one is made only in a local session that names none (tests); a cluster must name one."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -42,6 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         current = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(current)
     return current
@@ -72,12 +75,27 @@ BROADCAST_BYTES = 16 << 20
 
 def broadcast_if_small(df: DataFrame, purpose: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The table written once and, if its files are small, marked for broadcast; else left to a shuffled join."""
-    from pyspark.sql import functions as F
-
     kept = materialise(df, purpose)
     return F.broadcast(kept) if estimated_bytes(kept) <= limit else kept
 
 
+def first_rows(rows: DataFrame, *identity: Column) -> DataFrame:
+    """The rows of a table of files, of repeated ones the first; rows are repeated if they agree in all of ``identity``.
+
+    Wide columns stay where they are: only the identity (pass a hash of long texts) and the place of a row are shuffled, and
+    the places of repeats go to all tasks if they are few.
+    """
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    names = [f"__k{i}" for i in range(len(identity))]
+    at = rows.select(*[c.alias(n) for c, n in zip(identity, names)], F.struct(*place).alias("__at"))
+    several = at.groupBy(*names).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    same = F.lit(True)
+    for n in names:
+        same = same & at[n].eqNullSafe(several[n])
+    repeats = broadcast_if_small(at.join(several, same).filter("__at != __first").select("__at.*"), "repeats")
+    return rows.select("*", *place).join(repeats, ["__file", "__row"], "left_anti").drop("__file", "__row")
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables that this process wrote; call it once no result that is read from them is needed."""
     removed = 0

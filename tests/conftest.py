@@ -11,11 +11,12 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from corpusloom.session import get_session
+    from corpusloom.session import get_session, release
 
     s = get_session("tests", "4", 4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release(s)
     s.stop()
 
 

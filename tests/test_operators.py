@@ -274,3 +274,26 @@ def test_rescue_and_bootstrap(spark):
     v = spark.createDataFrame([(i, float(x)) for i, x in enumerate(rng.normal(5, 2, 400))] + [(999, None)], "k int, v double")
     mean, low, high = R.bootstrap_interval(v, "k", "v").first()
     assert low < mean < high and 0.25 < high - low < 0.6  # about four standard errors of 0.1
+
+
+def test_first_rows_and_release(spark, tmp_path):
+    from corpusloom import session
+
+    rows = [(1, "a"), (1, "a"), (2, None), (2, None), (1, "b"), (None, "a")]
+    spark.createDataFrame(rows, "k int, t string").repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = sorted(map(tuple, session.first_rows(df, F.col("k"), F.xxhash64("t")).collect()), key=str)
+    assert got == sorted({*rows}, key=str)
+    assert session.first_rows(df.filter("k = 9"), F.col("k")).count() == 0
+    kept = session.materialise(df, "x")
+    assert kept.count() == 6 and session.release(spark) > 0 and session.release(spark) == 0
+
+
+def test_a_cluster_must_name_its_folder():
+    from types import SimpleNamespace
+
+    from corpusloom import session
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        session.shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=context))
