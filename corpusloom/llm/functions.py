@@ -335,7 +335,7 @@ def documented_functions(df: DataFrame, key: str, content: str, docstring: str)
             rows = []
             for k, text, doc in zip(*(c.to_pylist() for c in batch.columns)):
                 plain = text.replace("\r\n", "\n").replace("\r", "\n")
-                rows += [(k, f.name, plain[f.start : f.end], description(f.doc)) for f in functions_in(plain, doc) if is_real(f.doc, f.name)]
+                rows += dict.fromkeys((k, f.name, plain[f.start : f.end], description(f.doc)) for f in functions_in(plain, doc) if is_real(f.doc, f.name))
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=["chunk_id", "name", "code", "description"])
 

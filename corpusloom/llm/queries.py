@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from ..session import table
+from ..session import first_rows, table
 from . import conversations, functions, language, leakage, nearcopies, provenance, secrets, splitting, tokenization
 
 llm = Registry()
@@ -60,9 +60,9 @@ def p2_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for t, k, c in SECRET_TEXTS:
-        rows = table(spark, sf_dir, t).select(F.col(k).cast("string").alias("row_key"), F.col(c).alias("text"))
+        rows = first_rows(table(spark, sf_dir, t), F.col(k), F.xxhash64(c)).select(F.col(k).cast("string").alias("row_key"), F.col(c).alias("text"))
         parts.append(secrets.redact_column(rows, "row_key", "text").select(F.lit(t).alias("tbl"), "*"))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
 
 
 @llm.add("p3_found", P3_SQL)
@@ -87,12 +87,13 @@ def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @llm.add("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_pairs(spark, sf_dir).select("chunk_id", "name").distinct()
+    return functions.documented_functions(table(spark, sf_dir, "chunks"), "id", "content", "docstring").select("chunk_id", "name").distinct()
 
 
 @llm.add("p5_pairs")
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return functions.documented_functions(table(spark, sf_dir, "chunks"), "id", "content", "docstring").distinct()
+    chunks = first_rows(table(spark, sf_dir, "chunks"), F.col("id"), F.xxhash64("content", "docstring"))
+    return functions.documented_functions(chunks, "id", "content", "docstring")
 
 
 LANGUAGE_TEXTS = (("qa_log", "qa_id", "query"), ("conv_turns", "chunk_id", "user_prompt"), ("commit_log", "sha", "subject"))
@@ -100,17 +101,20 @@ LANGUAGE_TEXTS = (("qa_log", "qa_id", "query"), ("conv_turns", "chunk_id", "user
 
 @llm.add("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = p6_segments(spark, sf_dir)
-    keyed = parts.withColumn("row_key", F.struct("tbl", "row_key"))
+    keyed = _segments(spark, sf_dir, lambda rows, key, text: rows).withColumn("row_key", F.struct("tbl", "row_key"))
     return language.relabelled(keyed).select("row_key.tbl", "row_key.row_key", "lang")
 
 
 @llm.add("p6_segments")
 def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = [table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.col(k).cast("string").alias("row_key"), F.col(c).alias("text"), "lang") for t, k, c in LANGUAGE_TEXTS]
+    return _segments(spark, sf_dir, lambda rows, key, text: first_rows(rows, F.col(key), F.xxhash64(text), F.col("lang")))
+
+
+def _segments(spark: SparkSession, sf_dir: str, once) -> DataFrame:
+    texts = [once(table(spark, sf_dir, t), k, c).select(F.lit(t).alias("tbl"), F.col(k).cast("string").alias("row_key"), F.col(c).alias("text"), "lang") for t, k, c in LANGUAGE_TEXTS]
     model = language.train(language.sample(reduce(DataFrame.unionByName, texts), "row_key", "text", "lang"))
     parts = [language.segment_languages(x, F.col("row_key"), F.col("text"), F.col("lang"), model).select(F.lit(t).alias("tbl"), "*") for x, (t, _, _) in zip(texts, LANGUAGE_TEXTS)]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
 
 
 @llm.add("p7_found", P7_SQL)

@@ -1,13 +1,15 @@
 """Credentials inside code, configuration and prose: finding and redacting them.
 
-Candidates come from places where values stand (assignments, calls, options,
-headers, addresses, connection strings, sentences, key blocks) and from token
-formats that name themselves. A candidate is judged by how unnatural its string
-is, in characters per subword of a public vocabulary (random strings fall into
-short subwords), together with the rules of its place: the name in front of it,
-whether it is a placeholder, a mask, a reference or a digest. Redaction writes
-one mask character for each character of the value, so all other offsets and
-the code around it stay as they are.
+A text is first searched for unnatural strings: random ones fall into short
+subwords of a public vocabulary, so a run that holds three subwords in a row of
+few characters makes the text a candidate, and a text without any is done. The
+rules of the place then say where the value begins and ends and what it is
+(assignments, calls, options, headers, addresses, connection strings, sentences,
+key blocks, formats that name themselves; the name in front, placeholders, masks,
+references and digests), and nothing is reported whose own characters per
+subword are those of natural text. Redaction writes one mask character for each
+character of the value, so all other offsets and the code around it stay as
+they are.
 
 Result on odd input: null and empty texts hold no credential; repeated rows
 give one finding each; a text is scanned whole, whatever its length; several
@@ -29,6 +31,8 @@ from .tokenization import RANKS, TOKENIZER_DIR, Tokenizer, tokenizer
 
 #: At most so many characters per subword make a string of 16 or more characters unnatural.
 UNNATURAL = 2.75
+#: A run with three subwords in a row of so many characters together is searched more closely.
+NARROW = 8
 MASK = "*"
 
 
@@ -48,7 +52,11 @@ _NAMED = re.compile(
 )
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s:/@\"'`<>]*):([^\s\"'`<>]+?)@(?=[A-Za-z0-9\[_$-])")
+#: Longer values in addresses are not looked for.
+LONGEST_IN_ADDRESS = 4096
+_ADDRESS = re.compile(rf"(?<=[A-Za-z0-9+.-])://([^\s:/@\"'`<>]{{0,{LONGEST_IN_ADDRESS}}}+):([^\s\"'`<>]{{1,{LONGEST_IN_ADDRESS}}}?)@(?=[A-Za-z0-9\[_$-])")
+_PIECE = re.compile(r"[^\s\"'`]{6,}")
+_SEGMENT = re.compile(r"[^\"'`\n]+")
 _HEADER = re.compile(r"(?i)(?<![A-Za-z])(?:bearer|basic|token)[ \t]+([A-Za-z0-9+/_.~=-]{12,})")
 _WORD = re.compile(r"(?i)pass|pwd|pw(?![a-z])|secret|token|key|cred|auth|bearer|signature")
 _NAME_LEFT = re.compile(r"[A-Za-z0-9_.-]*\Z")
@@ -121,6 +129,25 @@ _PATHLIKE = re.compile(r"(?:\.{0,2}/)?(?:[\w.-]+/)+[\w.-]+\.\w{1,5}(?::\d+)?|/[\
 class Scanner:
     def __init__(self, tok: Tokenizer):
         self._tok = tok
+        self._seen: dict[str, bool] = {}
+
+    def _narrow(self, run: str) -> bool:
+        """Whether three subwords in a row hold few characters; runs without digits and capitals never count."""
+        if run == run.lower() and not any(map(str.isdigit, run)):
+            return False
+        found = self._seen.get(run)
+        if found is None:
+            sizes = self._tok.length_of[self._tok.encode(run)]
+            found = len(sizes) > 2 and bool((sizes[:-2] + sizes[1:-1] + sizes[2:]).min() <= NARROW)
+            if len(self._seen) > 200_000:
+                self._seen.clear()
+            if len(run) < 200:
+                self._seen[run] = found
+        return found
+
+    def unnatural(self, text: str) -> bool:
+        """Whether any string of the text is made of short subwords."""
+        return any(self._narrow(m[0]) for m in _PIECE.finditer(text))
 
     def naturalness(self, value: str) -> float:
         """Characters per subword."""
@@ -161,7 +188,7 @@ class Scanner:
         return not hexlike and self._random(value, 20) and not value.isalpha()
 
     def scan(self, text: str | None) -> list[Finding]:
-        if not text:
+        if not text or not self.unnatural(text):
             return []
         out: dict[tuple[int, int], tuple[str, int]] = {}
 
@@ -207,7 +234,9 @@ class Scanner:
             if sep:
                 self._value(text, sep.end(), strength, option, add)
         if ";" in text:
-            for m in re.finditer(r"[^\"'`\n]*;[^\"'`\n]*", text):
+            for m in _SEGMENT.finditer(text):
+                if ";" not in m[0]:
+                    continue
                 for c in _CONNECTION.finditer(m[0]):
                     if not is_placeholder(c[1]):
                         add(m.start() + c.start(1), m.start() + c.end(1), "connection string")
@@ -215,6 +244,7 @@ class Scanner:
             if not is_placeholder(m[2]) and self._accept(m[2], 2, True):
                 add(m.start(2), m.end(2), "option")
         if _ANNOUNCES.search(text) or _LOGIN.search(text):
+            line_end, announced = -1, False
             for m in _CHOSEN.finditer(text):
                 v = m[0].rstrip(".?")
                 ends_line = text[m.end() : m.end() + 1] in ("", "\n", "\r")
@@ -222,8 +252,11 @@ class Scanner:
                     v = m[0]  # a sign that ends the line with the value belongs to it
                 elif not self._chosen(v):
                     continue
-                line = text[text.rfind("\n", 0, m.start()) + 1 : text.find("\n", m.end()) if "\n" in text[m.end() :] else len(text)]
-                if _ANNOUNCES.search(line) or _LOGIN.search(line):
+                if m.start() > line_end:  # a line is searched once, however many values it holds
+                    line_start, line_end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+                    line_end = len(text) if line_end < 0 else line_end
+                    announced = bool(_ANNOUNCES.search(text, line_start, line_end) or _LOGIN.search(text, line_start, line_end))
+                if announced:
                     add(m.start(), m.start() + len(v), "sentence")
             for m in _PROSE_VALUE.finditer(text):
                 v = m[1].rstrip(".,;:!?)」")
@@ -238,19 +271,19 @@ class Scanner:
                 before, after = text[max(0, m.start() - 14) : m.start()], text[m.end() : m.end() + 30]
                 if re.search(r"(?i)(?:use|with|using|set)\s+[`\"']?$", before) and _ANNOUNCES.search(after.split("\n")[0]):
                     add(m.start(), m.start() + len(v), "sentence")
-        if not out:
-            return []
         kept: list[Finding] = []
+        block: Finding | None = None  # the last key block
         for (start, end), (kind, at) in sorted(out.items(), key=lambda x: (x[0][0], -x[0][1])):
-            outer = next((k for k in reversed(kept) if start < k.end), None)
-            if outer is not None and outer.kind == "private key" and text.count("\n", outer.line_start, start):
-                kept.append(Finding(start, end, kind, at, round(self.naturalness(text[start:end]), 3)))  # pasted into the block on a line of its own
-                continue
-            if outer is not None:  # inside or overlapping an earlier finding: one credential
-                if end > kept[-1].end:
+            outer = next((k for k in (kept[-1] if kept else None, block) if k is not None and start < k.end), None)
+            if outer is not None and (outer.kind != "private key" or text.find("\n", outer.line_start, start) < 0):
+                if end > kept[-1].end:  # overlapping an earlier finding: one credential
                     kept[-1] = kept[-1]._replace(end=end)
                 continue
-            kept.append(Finding(start, end, kind, at, round(self.naturalness(text[start:end]), 3)))
+            # besides a free one, one that is pasted into a key block on a line of its own
+            found = Finding(start, end, kind, at, round(self.naturalness(text[start:end]), 3))
+            if found.chars_per_subword <= UNNATURAL:
+                kept.append(found)
+                block = found if kind == "private key" else block
         return kept
 
     def _value(self, text: str, at: int, strength: int, option: bool, add) -> None:
@@ -314,8 +347,10 @@ def find_secrets(df: DataFrame, key: Column, text: Column, folder: str = TOKENIZ
         for batch in batches:
             keys, rows = batch.column(0).to_pylist(), []
             for k, value in zip(keys, batch.column(1).to_pylist()):
-                for f in scanner.scan(value):
-                    rows.append((k, value.count("\n", 0, f.line_start) + 1, f.start, f.end, f.kind, f.chars_per_subword))
+                line, at = 1, 0
+                for f in sorted(scanner.scan(value), key=lambda f: f.line_start):
+                    line, at = line + value.count("\n", at, f.line_start), f.line_start
+                    rows.append((k, line, f.start, f.end, f.kind, f.chars_per_subword))
             cols = list(zip(*rows)) or [[]] * 6
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(cols, kinds)], names=["row_key", "line_no", "start", "end", "kind", "chars_per_subword"])

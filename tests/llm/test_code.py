@@ -297,3 +297,13 @@ def test_long_texts_take_linear_time(line, count):
     began = time.process_time()
     D.functions_in((" " if line == "const a{0} = (b;" else "\n").join(line.format(i) for i in range(count)))
     assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("text, least", [("x1" * 500_000, 0), ("a=b; " * 200_000, 0), ("login: " + " ".join(f"Xa{i:06}!Q?z" for i in range(60_000)), 1), ("://" + "aB3" * 330_000, 0), ("h://b:c" * 140_000, 0), (" ".join(f'password="{i * 2654435761 % (1 << 32):08x}Qz7T{i:05}"' for i in range(30_000)), 1), (" " * 1_000_000, 0)])
+def test_long_lines_are_searched_in_linear_time(text, least):
+    import time
+
+    began = time.process_time()
+    found = S.Scanner(tokenizer()).scan(text)
+    assert time.process_time() - began < 8 and len(found) >= least
+    assert all(f.chars_per_subword <= S.UNNATURAL for f in found)
