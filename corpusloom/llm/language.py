@@ -7,14 +7,15 @@ ends and marked joins. A segment's words are hashed into subword buckets whose
 embeddings are averaged; a linear softmax over the average gives the language.
 Embeddings and softmax are trained together by stochastic gradient descent in
 numpy, on at most ``SAMPLE`` labelled rows; on a held-out part of these rows
-the temperature and the threshold of rejection are fitted.
+the temperature, the threshold of rejection and the least share of known words
+are fitted. A segment below either is in none of the languages (``OTHER``).
 
 The sample is the only thing that is fitted on part of the data, and the only
 thing that reaches the driver; every text of every table is then classified
 whole, in one narrow stage.
 
 Result on odd input: null, empty and blank texts and texts without natural
-language have no language and give no row; repeated rows count once; labels
+language give no row, a segment in no known language has ``OTHER``; repeated rows count once; labels
 differ only by letter case or region suffix when they mean the same; a tie of
 probabilities goes to the alphabetically first language; extra columns are
 ignored.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -34,6 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LANGUAGES = ("de", "en", "es", "fr", "ja", "ko")
+#: The outcome for a segment in none of the languages.
+OTHER = "und"
+#: Words from which on a segment's share of known words is judged. The limit is half of what all but this share of the held-out segments have.
+NOVEL_WORDS, NOVEL = 4, 0.002
 SAMPLE = 12_000
 BUCKETS, DIM, EPOCHS, BATCH, RATE, SEED = 1 << 15, 16, 4, 64, 0.6, 7
 #: How often a character's script counts beside its other pieces.
@@ -41,35 +47,72 @@ SCRIPT = 4
 #: A word counts as known from so many training rows on; a segment of one known word is enough, of unknown words two.
 KNOWN = 4
 
-_HARNESS = re.compile(r"(?is)<([a-z]+(?:-[a-z]+)+|command|caveat|environment|stdin|stdout|stderr|instructions)(?:\s[^>]*)?>.*?(?:</\1\s*>|\Z)|\[request (?:was )?(?:interrupted|aborted|cancell?ed)[^\]]*\]|\(no content\)")
+_HARNESS = re.compile(r"(?is)<([a-z]+(?:-[a-z]+)+|command|caveat|environment|stdin|stdout|stderr|instructions)(?:\s[^<>]*+)?>.*?(?:</\1\s*>|\Z)|\[request (?:was )?(?:interrupted|aborted|cancell?ed)[^\]]*\]|\(no content\)")
 _FENCE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)")
 _INLINE = re.compile(r"`[^`\n]*`")
-_SPLIT = re.compile(r"\s*[\n\r]+\s*|(?<=[.!?。！？])[\"')\]]*\s+|(?<=[。！？])|\s+(?:/|\||—|–|•|;)\s+")
+_BREAK = re.compile(r"\s+|(?<=[。！？])(?=\S)")
+_JOINS = frozenset("/|—–•;")
+_CLOSERS = "\"')]"
 _QUOTE = re.compile(r"^\s*(?:[>/|—–•;]+\s+|[-*+]\s+|\d+[.)]\s+)+")
 _PREFIX = re.compile(r"^\s*(?:(?:feat|fix|docs?|chore|perf|refactor|test|tests|build|ci|style|revert|wip|hotfix|release|merge)(?:\([^)]*\))?!?:\s+|\[[^\]\n]{1,30}\]\s*)+", re.I)
 _CODE_SEGMENT = re.compile(
     r"^\s*(?:#|//|/\*|\*/|<!--|--\s|\$\s|%\s|>>>|export\s+\w+=|(?:sudo\s+)?(?:curl|wget|git|ssh|scp|docker|kubectl|npm|pip|make|cd|psql|mysql|deploy|python\d?|node)\s+[-\w./\"']|ssh-(?:rsa|ed25519|dss)\s|-----(?:BEGIN|END)|[A-Za-z0-9+/=]{40,}\s*$"
     r"|(?:const|let|var|val|def|func|fn|function|class|import|from|return|public|private|String|int|using|package|use)\s+[\w.$*{]+.*[;={}()]\s*$"
-    r"|[\w.$\[\]\"'-]+\s*(?::=|=>|==?|\+=)\s*\S|[A-Za-z]\w*_\w*\s*:\s*\S+\s*,?$|[\"']?[A-Za-z_][\w.-]*[\"']?\s*:\s*(?:[\"']?[a-z][a-z0-9+.-]*://\S+$|[\"'{\[$].*|[\w./+=*!?#%@&$^-]*[\d_/+=*!#%@&$^{}][^\s]*\s*,?|true|false|null|)\s*,?$|[\w.$]+\([^()]*\)\s*[;,{]?\s*$|[\w.$]+\(.*=.*\)\s*;?\s*$|[{}\[\](),;]+\s*$)"
+    r"|[\w.$\[\]\"'-]+\s*(?::=|=>|==?|\+=)\s*\S|[A-Za-z](?=\w*_)\w*+\s*:\s*\S+\s*,?$|[\"']?[A-Za-z_][\w.-]*[\"']?\s*:\s*(?:[\"']?[a-z][a-z0-9+.-]*://\S+$|[\"'{\[$].*|(?=[\w./+=*!?#%@&$^-]*[\d_/+=*!#%@&$^{}])\S++\s*,?|true|false|null|)\s*,?$|[\w.$]+\([^()]*\)\s*[;,{]?\s*$|[\w.$]+\((?=[^=]*+=).*\)\s*;?\s*$|[{}\[\](),;]+\s*$)"
 )
 _COMMAND = re.compile(r"\(\s*(?:curl|wget|git|ssh|docker|kubectl|npm|pip)\b.*?(?:\)|\Z)|(?:^|\s)(?:curl|wget)\s+-.*$")
+_RUN = re.compile(r"\S+")
+#: A run that holds one of these is no word at all: two separators of a path, a scope, a sign before a letter or digit.
+_NO_WORD = re.compile(r"[/\\]\S*[/\\.]|::|[!?*#%&+][A-Za-z0-9]")
+#: What is taken out of other runs; each branch begins where a word begins, so that no part is looked at twice.
 _NOT_WORDS = re.compile(
-    r"[a-z][a-z0-9+.-]*://\S+|\b[\w.+-]+@[\w-]+\.\w+\b|\S*[/\\]\S*[/\\.]\S*|(?<![^\s(\[\"'])[\w-]+\.(?:py|ts|tsx|js|jsx|go|rs|java|md|json|ya?ml|toml|lock|sum|conf|env|sh|txt|cfg)\b(?::\d+)?|\S*::\S*|\b\w*_\w+\b|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z]+[A-Z]\w*|\b(?=[A-Za-z]*\d)[A-Za-z0-9]{2,}\b|--?[\w-]+=\S+|\b[\w-]+\([^)\s]*\)|[$%{}<>=\[\]|\\^~#]\S*|\S*[!?*#%&+][A-Za-z0-9]\S*"
+    r"(?<![\w.+-])[\w.+-]++@[\w-]+\.\w+\b|(?<![^(\[\"'])[\w-]++\.(?:py|ts|tsx|js|jsx|go|rs|java|md|json|ya?ml|toml|lock|sum|conf|env|sh|txt|cfg)\b(?::\d+)?|\b\w*_\w+\b|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z]+[A-Z]\w*|\b(?=[A-Za-z]*\d)[A-Za-z0-9]{2,}\b|(?<![\w-])--?[\w-]++=\S+|(?<![\w-])[\w-]++\([^()]*+\)|[$%{}<>=\[\]|\\^~#]\S*"
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
+def _cut(text: str) -> Iterator[str]:
+    """Parts of a text between line ends, sentence ends and marked joins."""
+    start = skip = 0
+    for m in _BREAK.finditer(text):
+        at, end = m.span()
+        if at < skip:
+            continue
+        if at == end:
+            yield text[start:at]
+            start = at
+            continue
+        stop = at
+        while stop > start and text[stop - 1] in _CLOSERS:
+            stop -= 1
+        if "\n" in m[0] or "\r" in m[0]:
+            yield text[start:at]
+            start = end
+        elif stop > start and text[stop - 1] in ".!?。！？":
+            yield text[start:stop]
+            start = end
+        elif text[end : end + 1] in _JOINS and text[end + 1 : end + 2].isspace():
+            yield text[start:at]
+            start = skip = end + 1
+    yield text[start:]
+
+
+def _words_of(part: str) -> list[str]:
+    kept = _RUN.sub(lambda m: " " if _NO_WORD.search(m[0]) else _NOT_WORDS.sub(" ", m[0]), _COMMAND.sub(" ", part))
+    return [w.lower() for w in _WORD.findall(kept)]
+
+
 def segments(text: str | None) -> list[tuple[str, list[str]]]:
     """(segment, words) of the natural language in a text."""
     if not text:
         return []
     text = _INLINE.sub(" ", _FENCE.sub("\n", _HARNESS.sub("\n", text)))
     out = []
-    for part in _SPLIT.split(text):
+    for part in _cut(text):
         part = _PREFIX.sub("", _QUOTE.sub("", part))
         if not part.strip() or _CODE_SEGMENT.match(part):
             continue
-        words = [w.lower() for w in _WORD.findall(_NOT_WORDS.sub(" ", _COMMAND.sub(" ", part)))]
+        words = _words_of(part)
         if words:
             out.append((part.strip(), words))
     return out
@@ -104,13 +147,23 @@ class Guess(NamedTuple):
 class LanguageModel:
     """Averaged hashed subword embeddings with a linear softmax."""
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float, threshold: float, known: frozenset[int]):
-        self.table, self.weights, self.bias, self.temperature, self.threshold, self.known = table, weights, bias, temperature, threshold, known
+    def __init__(self, table: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float, threshold: float, known: frozenset[int], least_known: float = 0.0):
+        self.table, self.weights, self.bias, self.temperature, self.threshold, self.known, self.least_known = table, weights, bias, temperature, threshold, known, least_known
         self._cache: dict[str, tuple[np.ndarray, int, bool]] = {}
 
     def __getstate__(self):
         return {**self.__dict__, "_cache": {}}
 
+    def save(self, path: str) -> None:
+        """To one file, from which ``load`` gives the same model, so that it need not be fitted again."""
+        np.savez_compressed(path, table=self.table, weights=self.weights, bias=self.bias, fitted=[self.temperature, self.threshold, self.least_known], known=np.array(sorted(self.known), np.uint32))
+
+    @classmethod
+    def load(cls, path: str) -> LanguageModel:
+        with np.load(path) as f:
+            temperature, threshold, least_known = f["fitted"].tolist()
+            return cls(f["table"], f["weights"], f["bias"], temperature, threshold, frozenset(f["known"].tolist()), least_known)
+
     def _word(self, w: str) -> tuple[np.ndarray, int, bool]:
         found = self._cache.get(w)
         if found is None:
@@ -132,7 +185,7 @@ class LanguageModel:
             return Guess(None, 0.0)
         p = self.probabilities(words)
         best = int(np.argmax(p))
-        if p[best] < self.threshold or (known == 0 and all(w.isascii() for w in words) and len(words) < 3):
+        if p[best] < self.threshold or (len(words) >= NOVEL_WORDS and known < self.least_known * len(words)) or (known == 0 and all(w.isascii() for w in words) and len(words) < 3):
             return Guess(None, float(p[best]))
         return Guess(LANGUAGES[best], float(p[best]))
 
@@ -140,7 +193,7 @@ class LanguageModel:
 def train(rows: Sequence[tuple[str, str]]) -> LanguageModel:
     """Fit a model to (text, label) rows; labels may be partly wrong."""
     known: Counter[int] = Counter()
-    features, labels = [], []
+    features, labels, hashed = [], [], []
     for text, label in rows:
         code, parts = usable(label), segments(text)
         if code is None or not parts:
@@ -149,6 +202,7 @@ def train(rows: Sequence[tuple[str, str]]) -> LanguageModel:
         for _, words in parts:
             features.append(np.array([b for w in words for b in subwords(w)], np.int64))
             labels.append(LANGUAGES.index(code))
+            hashed.append([zlib.crc32(w.encode()) for w in words])
     rng = np.random.default_rng(SEED)
     n, k = len(features), len(LANGUAGES)
     table, weights, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, k)), np.zeros(k)
@@ -193,12 +247,26 @@ def train(rows: Sequence[tuple[str, str]]) -> LanguageModel:
         loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(held)), y[held]], 1e-3)).mean() for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
         p = softmax(z / temperature)
-        right, sure = p.argmax(1) == y[held], p.max(1)
-        # the lowest confidence from which on labels agree as often as they do at all; labels themselves are partly wrong
-        target = right[sure >= np.quantile(sure, 0.5)].mean() - 0.02
-        edges = np.quantile(sure, np.linspace(0, 0.2, 21))
-        threshold = float(min(0.36, max(0.3, next((e for e in edges if right[sure >= e].mean() >= target), 0.3))))
-    return LanguageModel(table.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32), temperature, threshold, frozenset(w for w, c in known.items() if c >= KNOWN))
+        threshold = rejection(p.max(1), p.argmax(1) == y[held])
+    common = frozenset(w for w, c in known.items() if c >= KNOWN)
+    least_known = 0.0
+    shares = np.array([np.mean([h in common for h in hashed[i]]) for i in held if len(hashed[i]) >= NOVEL_WORDS])
+    if len(shares) >= 50:
+        least_known = float(np.quantile(shares, NOVEL)) / 2
+    return LanguageModel(table.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32), temperature, threshold, common, least_known)
+
+
+def rejection(sure: np.ndarray, right: np.ndarray, bins: int = 40) -> float:
+    """The confidence below which a guess is less likely right than wrong.
+
+    Labels themselves are partly wrong, so the share that agrees among the surest half stands for certainty. Guesses are taken
+    in bins of equal numbers from the least sure on; the threshold is the end of the last bin of which less than half is right.
+    """
+    order = np.argsort(sure, kind="stable")
+    certain = max(right[order[len(order) // 2 :]].mean(), 1e-9)
+    parts = [part for part in np.array_split(order, bins) if len(part)]
+    doubtful = [k for k, part in enumerate(parts[: len(parts) // 2]) if right[part].mean() / certain < 0.5]
+    return float(sure[parts[doubtful[-1]]].max()) if doubtful else float(sure.min())
 
 
 def sample(rows: DataFrame, key: str, text: str, label: str, size: int = SAMPLE) -> list[tuple[str, str]]:
@@ -217,22 +285,25 @@ DOUBT_WORDS, DOUBT = 6, 0.6
 
 
 def text_languages(model: LanguageModel, text: str | None) -> list[tuple[str, str, float]]:
-    """(segment, language, confidence) of each segment that is not rejected; a short doubtful one goes with the nearest sure one if that is likely enough."""
+    """(segment, language, confidence) of each segment, ``OTHER`` for what is rejected; a short doubtful one goes with the nearest sure one if that is likely enough."""
     found = [(part, words, model.guess(words)) for part, words in segments(text)]
-    found = [x for x in found if x[2].lang is not None]
-    doubtful = [g.confidence < DOUBT and len(words) <= DOUBT_WORDS and all(w < "\u0300" for w in words) for _, words, g in found]
+    sure = [i for i, (_, words, g) in enumerate(found) if g.lang is not None and not _doubtful(words, g)]
     out = []
     for i, (part, words, g) in enumerate(found):
-        sure = [j for j in range(len(found)) if not doubtful[j]]
-        if doubtful[i] and sure:
-            other = found[min(sure, key=lambda j: (abs(j - i), j))][2].lang
+        if g.lang is not None and sure and _doubtful(words, g):
+            k = bisect_left(sure, i)
+            other = found[min(sure[max(k - 1, 0) : k + 1], key=lambda j: (abs(j - i), j))][2].lang
             p = float(model.probabilities(words)[LANGUAGES.index(other)])
             if p >= 0.25 * g.confidence:
                 g = Guess(other, p)
-        out.append((part, g.lang, g.confidence))
+        out.append((part, g.lang or OTHER, g.confidence))
     return out
 
 
+def _doubtful(words: list[str], g: Guess) -> bool:
+    return g.confidence < DOUBT and len(words) <= DOUBT_WORDS and all(w < "\u0300" for w in words)
+
+
 def segment_languages(rows: DataFrame, key: Column, text: Column, label: Column, model: LanguageModel) -> DataFrame:
     """(row_key, label, segment, text, lang, confidence): one row for each segment with a language."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size: the buckets times the dimension, and the known words of a bounded sample
@@ -254,5 +325,5 @@ def segment_languages(rows: DataFrame, key: Column, text: Column, label: Column,
 
 def relabelled(parts: DataFrame) -> DataFrame:
     """(row_key, lang): the languages of texts whose label is missing, unusable or wrong, or which have two."""
-    per_text = parts.groupBy("row_key", "label").agg(F.collect_set("lang").alias("langs"))
+    per_text = parts.filter(F.col("lang") != OTHER).groupBy("row_key", "label").agg(F.collect_set("lang").alias("langs"))
     return per_text.filter(F.col("label").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("label"))).select("row_key", F.explode("langs").alias("lang")).distinct()

@@ -147,3 +147,38 @@ def test_hamming_index_finds_all_within_radius():
     q, s = leakage.HammingIndex(stored, 2).within(queries)
     want = {(i, j) for i in range(len(queries)) for j in range(200) if bin(int(queries[i] ^ stored[j])).count("1") <= 2}
     assert set(zip(q.tolist(), s.tolist())) == want and len(want) >= 200
+
+
+LONG = {"run": "ab" * 500_000, "no spaces": "これは長い文章です" * 100_000, "spaces": " " * 1_000_000, "dashes": "a-" * 500_000, "calls": "a(b" * 300_000, "values": "f(" + "a=b," * 250_000, "tags": "<a-b " * 200_000, "slashes": "/" * 1_000_000, "underscores": "a_" * 500_000, "mail": "a.b+" * 250_000 + "@", "digits": "key: " + "1" * 1_000_000 + " word", "sentences": "A short one. " * 80_000}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_languages_of_long_runs_in_linear_time(name):
+    import time
+
+    from corpusloom.llm import language
+
+    began = time.process_time()
+    language.segments(LONG[name])
+    assert time.process_time() - began < 5
+
+
+def test_other_languages_saving_and_rejection(tmp_path):
+    import random
+
+    import numpy as np
+
+    from corpusloom.llm import language
+
+    rng = random.Random(3)
+    words = {"en": "the queue is empty while a writer holds its lock and nobody reads".split(), "de": "die Schlange ist leer während ein Schreiber seine Sperre hält und niemand liest".split(), "es": "la cola está vacía mientras un escritor mantiene su cierre y nadie lee".split()}
+    rows = [(" ".join(rng.sample(words[code], 7)), code) for code in words for _ in range(400)]
+    model = language.train(rows)
+    assert language.text_languages(model, "the writer holds a lock and nobody reads")[0][1] == "en"
+    assert language.text_languages(model, "zondag gaan wij allemaal samen fietsen langs het kanaal")[0][1] == language.OTHER
+    model.save(str(tmp_path / "m.npz"))
+    again = language.LanguageModel.load(str(tmp_path / "m.npz"))
+    for text, _ in rows[::50]:
+        assert language.text_languages(again, text) == language.text_languages(model, text)
+    sure = np.linspace(0.2, 1, 1000)
+    assert 0.35 < language.rejection(sure, sure > 0.4) < 0.45 and language.rejection(sure, sure > 0) == sure.min()
