@@ -12,8 +12,11 @@ after the next prompt. With one unknown offset d of the assistant's clock
 against the user's this bounds d from above and below for each turn. The
 least-squares estimate puts each reply halfway between its neighbours; it is
 then moved into the bounds, and a session whose bounds contradict each other
-is marked ``clock_feasible`` = false. Dropping follows the completeness rules
-only: a turn absent, a prompt or reply missing, or contradictory versions.
+is marked ``clock_feasible`` = false: its conversation is rejected. Within the
+bounds the corrected times are in the order of the turns, so numbering messages
+by turn is the merge of both senders by time. ``dropped_sessions`` follows the
+completeness rules only: a turn absent, a prompt or reply missing, or
+contradictory versions.
 
 Missing: null, blank (invisible characters included) or nothing but harness
 text. Result on odd input: a null source, session or turn index belongs to no
@@ -105,6 +108,8 @@ def sessions(turn_rows: DataFrame) -> DataFrame:
         F.min(F.col("r") - F.col("p")).alias("upper"),
         F.max(F.col("r") - F.col("next_p")).alias("lower"),
         F.avg(F.col("r") - (F.col("p") + F.col("next_p")) / 2).alias("centre"),
+        F.count(F.col("r") - F.col("p")).alias("bounded_above"),
+        F.count(F.col("r") - F.col("next_p")).alias("bounded_below"),
     )
     bounded = F.least(F.greatest(F.coalesce("centre", F.lit(0.0)), F.coalesce("lower", F.lit(float("-inf")))), F.coalesce("upper", F.lit(float("inf"))))
     # A session whose clocks already agree is left alone: zero is within its bounds.
@@ -117,16 +122,16 @@ def sessions(turn_rows: DataFrame) -> DataFrame:
         .when(F.col("no_reply") > 0, "reply missing")
         .when(F.col("n_contradictory") > 0, "versions differ")
     )
-    return s.select(*KEYS, "n_turns", "last_turn", "good_turns", reason.alias("drop_reason"), feasible.alias("clock_feasible"), F.when(feasible, F.when(agrees, 0.0).otherwise(bounded)).otherwise(F.col("centre")).alias("clock_offset_s"))
+    return s.select(*KEYS, "n_turns", "last_turn", "good_turns", reason.alias("drop_reason"), feasible.alias("clock_feasible"), F.when(feasible, F.when(agrees, 0.0).otherwise(bounded)).otherwise(F.col("centre")).alias("clock_offset_s"), "bounded_above", "bounded_below")
 
 
 def conversations(rows: DataFrame) -> DataFrame:
-    """(source, session_id, seq, turn_index, role, text, ts): the kept sessions as one ordered list of messages each.
+    """(source, session_id, seq, turn_index, role, text, ts): the sessions that are complete and whose clocks agree, as one ordered list of messages each.
 
     ``seq`` counts from 0; order is by turn, the prompt before its reply, and ``ts`` has the reply's clock corrected.
     """
     t = turns(rows)
-    kept = sessions(t).filter("drop_reason is null").select(*KEYS, "clock_offset_s")
+    kept = sessions(t).filter("drop_reason is null and clock_feasible").select(*KEYS, "clock_offset_s")
     both = t.join(kept, KEYS)
     shifted = F.timestamp_micros((F.unix_micros("reply_ts") - F.coalesce("clock_offset_s", F.lit(0.0)) * 1e6).cast("bigint"))
     messages = F.array(

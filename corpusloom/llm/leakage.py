@@ -153,9 +153,9 @@ def _scanner(block: list[tuple], key: str, item_key: str, window: int, radius: i
         place = np.concatenate([np.arange(len(p)) for p in prints])
         flat_items = np.concatenate(item_words)
         item_start = np.cumsum([0, *(len(w) for w in item_words[:-1])])
-        steps = np.arange(window)
+        steps, longest = np.arange(window), max(map(len, item_words))
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in _slices(whole, longest):
                 lists = batch.column(1)
                 words = lists.flatten().to_numpy(zero_copy_only=False)
                 ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
@@ -192,11 +192,27 @@ def _scanner(block: list[tuple], key: str, item_key: str, window: int, radius: i
     return run
 
 
-def _slices(batch: pa.RecordBatch, words: int = 250_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about so many words, so that the bit matrix stays small; a longer text stays whole."""
+#: Words whose fingerprints are computed at once.
+WORDS_AT_ONCE = 250_000
+
+
+def _slices(batch: pa.RecordBatch, overlap: int, words: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many words, so that the bit matrix stays small.
+
+    A longer text comes in parts of its own that overlap by as many words as the longest item has, so that each passage
+    stands whole in one of them.
+    """
+    words = max(words or WORDS_AT_ONCE, 2 * overlap)
     offsets = batch.column(1).offsets.to_numpy()
     first = 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + words, "right")) - 1)
-        yield batch.slice(first, last - first)
+        size = int(offsets[last] - offsets[first])
+        if size <= words:
+            yield batch.slice(first, last - first)
+        else:
+            text = batch.column(1).slice(first, 1).flatten()
+            for at in range(0, size - overlap, words - overlap):
+                part = text.slice(at, words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, 1), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], names=batch.schema.names)
         first = last

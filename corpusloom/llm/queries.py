@@ -75,6 +75,18 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(table(spark, sf_dir, "conv_turns"))
 
 
+P3_SESSIONS_SQL = f"""WITH r AS (SELECT DISTINCT source, session_id, turn_index, ts, {_present('user_prompt')} AS p, {_present('assistant_excerpt')} AS a FROM conv_turns WHERE source IS NOT NULL AND session_id IS NOT NULL AND turn_index IS NOT NULL),
+t AS (SELECT source, session_id, turn_index, epoch_us(min(CASE WHEN p IS NOT NULL THEN ts END)) AS pt, epoch_us(max(CASE WHEN a IS NOT NULL THEN ts END)) AS rt FROM r GROUP BY ALL)
+SELECT t.source, t.session_id, count(*) AS turns, coalesce(max(t.rt - n.pt) <= min(t.rt - t.pt), true) AS clock_feasible, count(t.rt - t.pt) AS bounded_above, count(t.rt - n.pt) AS bounded_below
+FROM t LEFT JOIN t n ON n.source = t.source AND n.session_id = t.session_id AND n.turn_index = t.turn_index + 1 GROUP BY ALL"""
+
+
+@llm.add("p3_sessions", P3_SESSIONS_SQL)
+def p3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversations.sessions(conversations.turns(table(spark, sf_dir, "conv_turns")))
+    return found.select(*conversations.KEYS, F.col("n_turns").alias("turns"), "clock_feasible", "bounded_above", "bounded_below")
+
+
 @llm.add("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_files(spark, sf_dir).filter("verdict is not null").select("file_id").distinct()

@@ -67,24 +67,35 @@ def boundaries(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, level
 
 
+#: Cells whose counts are held at once.
+CELLS_AT_ONCE = 4096
+
+
 def valley_depths(ids: np.ndarray) -> np.ndarray:
     """For each cell edge, how far the similarity of its two blocks lies below the peaks around it."""
     cells = len(ids) // CELL + 1
-    bucket = (ids.astype(np.int64) * 2654435761 >> 12) % BUCKETS
-    counts = np.bincount((np.arange(len(ids)) // CELL) * BUCKETS + bucket, minlength=cells * BUCKETS).reshape(cells, BUCKETS)
-    counts = counts[:, counts.any(axis=0)]
-    total = np.vstack([np.zeros((1, counts.shape[1])), np.cumsum(counts, axis=0)]).astype(np.float32)
-    edge = np.arange(cells + 1)
-    left = np.sqrt(total[edge] - total[np.maximum(edge - BLOCK, 0)])
-    right = np.sqrt(total[np.minimum(edge + BLOCK, cells)] - total[edge])
-    norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
-    like = (left * right).sum(1) / np.maximum(norm, 1e-9)
+    like = np.concatenate([_similarity(ids, cells, first, min(first + CELLS_AT_ONCE, cells + 1)) for first in range(0, cells + 1, CELLS_AT_ONCE)])
     padded = np.pad(like, REACH, mode="edge")
     peak_left = np.max([padded[k : k + cells + 1] for k in range(REACH + 1)], axis=0)
     peak_right = np.max([padded[REACH + k : REACH + k + cells + 1] for k in range(REACH + 1)], axis=0)
     return peak_left + peak_right - 2 * like
 
 
+def _similarity(ids: np.ndarray, cells: int, first: int, last: int) -> np.ndarray:
+    """Cosine of the blocks left and right of the cell edges from ``first`` to ``last``; only the cells around them are counted."""
+    low, high = max(first - BLOCK, 0), min(last + BLOCK, cells)
+    part = ids[low * CELL : high * CELL].astype(np.int64)
+    bucket = (part * 2654435761 >> 12) % BUCKETS
+    counts = np.bincount((np.arange(len(part)) // CELL) * BUCKETS + bucket, minlength=(high - low) * BUCKETS).reshape(-1, BUCKETS)
+    counts = counts[:, counts.any(axis=0)]
+    total = np.vstack([np.zeros((1, counts.shape[1])), np.cumsum(counts, axis=0)]).astype(np.float32)
+    edge = np.arange(first, last)
+    left = np.sqrt(total[edge - low] - total[np.maximum(edge - BLOCK, 0) - low])
+    right = np.sqrt(total[np.minimum(edge + BLOCK, cells) - low] - total[edge - low])
+    norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
+    return (left * right).sum(1) / np.maximum(norm, 1e-9)
+
+
 def cut(tok: Tokenizer, text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
     """(start byte, end byte, tokens, bytes repeated from the piece before) of each piece."""
     raw = (text or "").encode("utf-8", "replace")

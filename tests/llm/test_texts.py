@@ -182,3 +182,34 @@ def test_other_languages_saving_and_rejection(tmp_path):
         assert language.text_languages(again, text) == language.text_languages(model, text)
     sure = np.linspace(0.2, 1, 1000)
     assert 0.35 < language.rejection(sure, sure > 0.4) < 0.45 and language.rejection(sure, sure > 0) == sure.min()
+
+
+def test_long_texts_keep_memory_bounded():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    words, items = rng.integers(1, 1 << 40, 3_000_000), [rng.integers(1, 1 << 40, n) for n in (40, 13, 300)]
+    for at, item in zip((249_990, 1_000_000, 2_499_900), items):
+        words[at : at + len(item)] = item
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.ListArray.from_arrays(pa.array([0, len(words), len(words) + 20], pa.int32()), pa.array(np.r_[words, items[0][:20]]))], names=["d", "w"])
+    tracemalloc.start()
+    found = [r for b in leakage._scanner([(i, w.tolist()) for i, w in enumerate(items)], "d", "i", leakage.WINDOW, leakage.RADIUS)(iter([batch])) for r in b.to_pylist()]
+    best = {}
+    for r in found:
+        best[r["d"], r["i"]] = max(best.get((r["d"], r["i"]), 0), r["longest_run"])
+    assert {k: v for k, v in best.items() if v} == {(7, 0): 40, (7, 1): 13, (7, 2): 300, (8, 0): 20}
+    depths = splitting.valley_depths(rng.integers(0, 50_000, 1_000_000))
+    assert len(depths) == 1_000_000 // splitting.CELL + 2 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+def test_depths_do_not_depend_on_parts(monkeypatch):
+    import numpy as np
+
+    ids = np.random.default_rng(2).integers(0, 300, 5_000)
+    whole = splitting.valley_depths(ids)
+    monkeypatch.setattr(splitting, "CELLS_AT_ONCE", 17)
+    assert np.allclose(whole, splitting.valley_depths(ids), atol=1e-5)
