@@ -146,9 +146,11 @@ def _verified(rows: DataFrame, key: str, first: str, second: str, threshold: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(len(SIGNATURE))), pa.ListArray.from_arrays(offsets, flat)], names=["id", *SIGNATURE, "bands"])
 
     sketched = reps.select("id", "words").mapInArrow(sketch, f"id {kind}, {', '.join(f'{g} bigint' for g in SIGNATURE)}, bands array<bigint>")
-    banded = materialise(sketched.select("id", *SIGNATURE, F.explode("bands").alias("band")), "bands")
+    sketched = materialise(sketched, "sketches")
+    # bands travel with the id alone until those of one record are gone
+    banded = sketched.select("id", F.explode("bands").alias("band"))
     crowded = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    shared = banded.join(crowded, "band", "left_semi")
+    shared = banded.join(crowded, "band", "left_semi").join(sketched.select("id", *SIGNATURE), "id")
     left, right = shared.alias("l"), shared.alias("r")
     agree = sum((F.lit(16) - F.bit_count(_nonzero_nibbles(F.col(f"l.{g}").bitwiseXOR(F.col(f"r.{g}"))))) for g in SIGNATURE)
     near = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (agree >= AGREE)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
