@@ -3,8 +3,8 @@
 Order MinHash over the words of a record: a sketch takes the occurrence-labelled
 words with the smallest hashes and keeps them in the order of the text, so two
 records share it if they share these words in this order. Bands of sketches
-give candidates, which carry a compact MinHash signature and are dropped early
-when it is far off; the rest are verified by the exact overlap of their word
+give candidates, which carry a parity bitmap of their words and are dropped early
+when its differing bits prove them too far apart; the rest are verified by the exact overlap of their word
 sets, and a banded alignment of the word sequences gives their edit similarity.
 
 Records with the same word set form one class before anything is paired, so a
@@ -35,18 +35,16 @@ THRESHOLD = 0.7
 #: Bands, sketches of a band, and words of a sketch. Two records with 0.7 of their words in common and four in five
 #: pairs of these in the same order share a band with a probability over 0.999.
 BANDS, SKETCHES, WORDS = 96, 2, 2
-#: Four-bit MinHash values of the signature carried with each band, and how many must agree: 0.7 gives 46 of 64 on average.
-NIBBLES, AGREE = 64, 33
+#: 64-bit words of the parity bitmap that travels with each record.
+BITMAP_WORDS = 4
 #: Words further apart than this share of the longer record are not aligned with each other.
 BAND_SHARE = 0.3
 
 _rng = np.random.default_rng(70)
 _MUL = _rng.integers(1, 1 << 62, (BANDS * SKETCHES, 1), dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 62, (BANDS * SKETCHES, 1), dtype=np.uint64)
-_SIG_MUL = _rng.integers(1, 1 << 62, (NIBBLES, 1), dtype=np.uint64) | np.uint64(1)
-_SIG_ADD = _rng.integers(0, 1 << 62, (NIBBLES, 1), dtype=np.uint64)
 _NEVER = np.uint64((1 << 64) - 1)
-SIGNATURE = [f"g{k}" for k in range(NIBBLES // 16)]
+BITMAP = [f"g{k}" for k in range(BITMAP_WORDS)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -86,13 +84,11 @@ def band_keys(words: np.ndarray) -> np.ndarray:
         return _mix(out + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def signature(words: np.ndarray) -> np.ndarray:
-    """Four-bit MinHash values of the word set, packed sixteen to a 64-bit number."""
-    distinct = np.unique(words).view(np.uint64)
-    with np.errstate(over="ignore"):
-        low = ((distinct[None, :] * _SIG_MUL + _SIG_ADD) >> np.uint64(16)).min(axis=1)
-    low = _mix(low) & np.uint64(15)
-    return (low.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+def bitmap(words: np.ndarray) -> np.ndarray:
+    """A bit tells whether an odd number of distinct words falls on it; a word that one of two records lacks changes one bit at most."""
+    at = _mix(np.unique(words).view(np.uint64)) % np.uint64(64 * BITMAP_WORDS)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * BITMAP_WORDS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, share: float = BAND_SHARE) -> float:
@@ -139,21 +135,24 @@ def _verified(rows: DataFrame, key: str, first: str, second: str, threshold: flo
             for words in batch.column(1):
                 w = words.values.to_numpy(zero_copy_only=False)
                 keys.append(band_keys(w))
-                sigs.append(signature(w))
-            table = np.stack(sigs) if sigs else np.empty((0, len(SIGNATURE)), np.int64)
+                sigs.append(bitmap(w))
+            table = np.stack(sigs) if sigs else np.empty((0, len(BITMAP)), np.int64)
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             offsets = pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(len(SIGNATURE))), pa.ListArray.from_arrays(offsets, flat)], names=["id", *SIGNATURE, "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(table[:, k]) for k in range(len(BITMAP))), pa.ListArray.from_arrays(offsets, flat)], names=["id", "n", *BITMAP, "bands"])
 
-    sketched = reps.select("id", "words").mapInArrow(sketch, f"id {kind}, {', '.join(f'{g} bigint' for g in SIGNATURE)}, bands array<bigint>")
+    sketched = reps.select("id", "words", F.size("set").alias("n")).mapInArrow(sketch, f"id {kind}, n int, {', '.join(f'{g} bigint' for g in BITMAP)}, bands array<bigint>")
     sketched = materialise(sketched, "sketches")
     # bands travel with the id alone until those of one record are gone
     banded = sketched.select("id", F.explode("bands").alias("band"))
     crowded = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    shared = banded.join(crowded, "band", "left_semi").join(sketched.select("id", *SIGNATURE), "id")
+    shared = banded.join(crowded, "band", "left_semi").join(sketched.select("id", "n", *BITMAP), "id")
     left, right = shared.alias("l"), shared.alias("r")
-    agree = sum((F.lit(16) - F.bit_count(_nonzero_nibbles(F.col(f"l.{g}").bitwiseXOR(F.col(f"r.{g}"))))) for g in SIGNATURE)
-    near = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (agree >= AGREE)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    apart = sum(F.bit_count(F.col(f"l.{g}").bitwiseXOR(F.col(f"r.{g}"))) for g in BITMAP)
+    # no pair of the wanted similarity has more words apart than this, so none is lost
+    may = apart <= (1 - threshold) / (1 + threshold) * (F.col("l.n") + F.col("r.n")) + 1e-9
+    sized = (F.col("l.n") >= threshold * F.col("r.n") - 1e-9) & (F.col("r.n") >= threshold * F.col("l.n") - 1e-9)
+    near = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & sized & may).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     candidates = near.join(reps.select(F.col("id").alias("a"), F.col("words").alias("wa"), F.col("set").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("words").alias("wb"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     either = F.size("sa") + F.size("sb") - both
@@ -186,11 +185,3 @@ def similar_groups(rows: DataFrame, key: str, first: str, second: str, threshold
     ends = verified.select(F.col("a").alias("rep")).union(verified.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     placed = members.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").join(ends, "rep", "left")
     return placed.select("id", "rep", F.coalesce("component", "rep").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def _nonzero_nibbles(x):
-    """The lowest bit of each four that are not all zero."""
-    any_of_two = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    any_of_four = any_of_two.bitwiseOR(F.shiftrightunsigned(any_of_two, 2))
-    return any_of_four.bitwiseAND(F.lit(0x1111111111111111))
-
