@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import modules as M
 from ..operators import overlay as O
+from ..operators import topics as P
+from ..operators.retrieval import bm25_topk, top_k
 from ..session import table
 from ..streaming import turns
 from .registry import Registry
@@ -69,11 +71,49 @@ def q67(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conv_turns").select("chunk_id", O.route(F.col("user_prompt")).alias("tool")).distinct()
 
 
+def answer_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(asked, qa_id, rank, query, answer): the ten earlier or later records that fit each asked question best."""
+    log = table(spark, sf_dir, "qa_log").dropDuplicates(["qa_id"]).withColumn("both", F.concat_ws(" ", "query", "answer_excerpt"))
+    asked = log.filter("qa_id % 50 = 0").select(F.col("qa_id").alias("asked"), F.col("query").alias("question"))
+    found = bm25_topk(log, "qa_id", "both", asked, "asked", "question", 10)
+    return found.select(F.col("query").alias("asked"), F.col("doc").alias("qa_id"), "rank").join(log.select("qa_id", "query", "answer_excerpt", "ts"), "qa_id")
+
+
 @module.add("q68_topic_groups")
 def q68(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All questions of each project, the newest first, grouped by topic."""
-    q = table(spark, sf_dir, "qa_log").dropDuplicates(["qa_id"]).withColumn("age", -F.unix_micros(F.col("ts").cast("timestamp")))
-    return O.topic_groups(q, "project_id", "age", "qa_id", "query", "answer_excerpt")
+    """The records found for each asked question, grouped by topic."""
+    return P.topic_groups(answer_lists(spark, sf_dir), "asked", "qa_id", "rank", "query", "answer_excerpt")
+
+
+_STOP, _KO = "', '".join(P.STOP), "', '".join(P.KOREAN_STOP)
+TOPIC_TERMS_SQL = f"""runs AS (SELECT project_id, qa_id, side, unnest(CASE WHEN regexp_full_match(word, '[가-힣]+') THEN [word] ELSE list_filter(regexp_extract_all(word, '[^가-힣]+'), lambda r: r <> '') END) AS run
+  FROM (SELECT project_id, qa_id, side, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM (SELECT project_id, qa_id, 0 AS side, query AS text FROM list UNION ALL SELECT project_id, qa_id, 1, answer_excerpt FROM list))),
+kinds AS (SELECT *, CASE WHEN regexp_full_match(run, '\\p{{Nd}}+') THEN 'none' WHEN regexp_matches(run, '^[가-힣]') THEN 'hangul'
+    WHEN contains(run, '_') OR regexp_matches(run, '[a-z][A-Z]|[A-Z]{{2,}}[a-z]') OR (regexp_matches(run, '\\p{{L}}') AND regexp_matches(run, '\\p{{Nd}}')) THEN 'identifier' ELSE 'word' END AS kind FROM runs),
+cut AS (SELECT *, unnest(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(run, '([a-z])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '([A-Za-z])([0-9])', '\\1_\\2', 'g'), '([0-9])([A-Za-z])', '\\1_\\2', 'g')), '_+')) AS part FROM kinds WHERE kind = 'identifier'),
+terms AS (SELECT project_id, qa_id, side, substr(run, 1, 2) AS term, CASE WHEN substr(run, 1, 2) IN ('{"', '".join(P.KOREAN_GENERIC)}') THEN 3 ELSE 10 END AS w FROM kinds WHERE kind = 'hangul' AND run NOT IN ('{_KO}') AND NOT ends_with(run, '해줘')
+  UNION ALL SELECT project_id, qa_id, side, lower(run), 30 FROM kinds WHERE kind = 'identifier'
+  UNION ALL SELECT project_id, qa_id, side, t, CASE WHEN t IN ('{"', '".join(P.GENERIC_WORDS)}') THEN 3 ELSE 10 END
+    FROM (SELECT project_id, qa_id, side, lower(run) AS t FROM kinds WHERE kind = 'word' UNION ALL SELECT project_id, qa_id, side, part FROM cut WHERE NOT regexp_full_match(part, '\\p{{Nd}}+')) WHERE t NOT IN ('{_STOP}')),
+best AS (SELECT project_id, qa_id, term, max(CASE WHEN side = 0 THEN w END) AS wq, max(CASE WHEN side = 1 THEN w END) AS wa FROM terms WHERE length(term) >= 2 GROUP BY ALL),
+weighed AS (SELECT *, sum(wq) OVER (PARTITION BY project_id, qa_id) AS tq, sum(wa) OVER (PARTITION BY project_id, qa_id) AS ta FROM best)"""
+
+
+@module.add(
+    "q102_topic_overlap",
+    f"""WITH list AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts DESC NULLS LAST, qa_id) AS n FROM (SELECT DISTINCT qa_id, project_id, ts, query, answer_excerpt FROM qa_log)) WHERE n <= 10),
+{TOPIC_TERMS_SQL},
+met AS (SELECT x.project_id, x.qa_id AS a, y.qa_id AS b, count(*) FILTER (least(coalesce(x.wq, x.wa), coalesce(y.wq, y.wa)) >= 10) AS shared,
+  coalesce(sum(least(x.wq, y.wq)) FILTER (x.wq IS NOT NULL AND y.wq IS NOT NULL) / least(any_value(x.tq), any_value(y.tq)), 0.0) AS asked,
+  CASE WHEN any_value(x.ta) IS NOT NULL AND any_value(y.ta) IS NOT NULL THEN coalesce(sum(least(x.wa, y.wa)) FILTER (x.wa IS NOT NULL AND y.wa IS NOT NULL), 0) / least(any_value(x.ta), any_value(y.ta)) END AS told
+  FROM weighed x JOIN weighed y ON x.project_id = y.project_id AND x.term = y.term AND x.qa_id < y.qa_id GROUP BY ALL)
+SELECT project_id, a, b, shared, round(asked, 9) AS asked_share, round(told, 9) AS told_share, shared >= 2 AND CASE WHEN told IS NULL THEN asked >= 0.6 ELSE (asked >= 0.30 AND told >= 0.18) OR told >= 0.28 END AS same FROM met""",
+)
+def q102(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that each two of the ten newest questions of a project share, without stemming."""
+    log = table(spark, sf_dir, "qa_log").dropDuplicates(["qa_id"])
+    newest = top_k(log, ["project_id"], [F.desc_nulls_last("ts"), F.asc("qa_id")], 10)
+    return P.topic_overlap(newest, "project_id", "qa_id", "query", "answer_excerpt", stems=False).withColumns({c: F.round(c, 9) for c in ("asked_share", "told_share")})
 
 
 @module.add(

@@ -14,6 +14,7 @@ from corpusloom.operators import graph as G
 from corpusloom.operators import memory as M
 from corpusloom.operators import modules as MO
 from corpusloom.operators import overlay as O
+from corpusloom.operators import topics as P
 from corpusloom.operators import retrieval as R
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.setjoin import cosine_join, set_similarity_join
@@ -184,26 +185,46 @@ def test_lifecycle(spark):
     assert rows(M.evict(q, "id", "project", "ts", 3), "id") == [(3,)]
 
 
-def test_topics_complete_link():
-    pair = lambda q, a: (O.topic_weights(q), O.topic_weights(a))
-    a = pair("max_connections of the pool", "max_connections is 20 in pool.config")
-    b = pair("what limits the pool", "max_connections is 20 and poolSize too")
-    c = pair("vacation policy", "ask the office about vacation days")
-    assert O.same_topic(a, b) and not O.same_topic(a, c)
-    assert O.topic_weights(None) == {} and O.stem("stories") == "story"
-
-
-def test_topics_of_all_rows(spark):
-    texts = [(i, f"{n}lar of {n}dor", f"{n}lar is {n}dor and {n}mit") for i in range(120) for n in ["bcdfghjklmnpqrtvwxyz"[i % 20] * 2]]
-    q = spark.createDataFrame([("p", i, i, a, b) for i, a, b in texts], "project string, ts int, id int, q string, a string")
-    got = dict((i, g) for _, i, g in rows(O.topic_groups(q, "project", "ts", "id", "q", "a"), "id"))
-    want, groups = {}, []
-    for i, a, b in texts:
-        pair = (O.topic_weights(a), O.topic_weights(b))
-        want[i] = next((g for g, m in enumerate(groups) if all(O.same_topic(pair, x) for x in m)), len(groups))
-        groups += [[]] if want[i] == len(groups) else []
-        groups[want[i]].append(pair)
-    assert got == want and len(got) == 120 and len(groups) > 1
+def weights(spark, text):
+    df = spark.createDataFrame([(1, text)], "i int, t string")
+    return {r["term"]: r["weight"] for r in P.topic_terms(df, ["i"], "t").collect()}
+
+
+def test_topic_terms(spark):
+    assert weights(spark, "How does the RetryPolicy of max_connections work for http2 in 2024?") == {"retrypolicy": 30, "retri": 10, "polici": 10, "max_connections": 30, "max": 10, "connect": 10, "work": 3, "http2": 30, "http": 10}
+    assert weights(spark, "인덱스를 설명 파일이 cron이 정리해줘") == {"인덱": 10, "파일": 3, "cron": 10}
+    assert weights(spark, None) == {} and weights(spark, "1 a 22") == {}
+
+
+@pytest.mark.parametrize(
+    "word, root",
+    zip(
+        "consignment knightly kneeling hopping hoping running stories caresses ponies ties gas gaps agreed generously communities relational conditional happy say enjoyed by dying skies early proceed feudalism replacement adoption national hopefulness controlling rolled cease rate skiing".split(),
+        "consign knight kneel hop hope run stori caress poni tie gas gap agre generous communiti relat condit happi say enjoy by die sky earli proceed feudal replac adopt nation hope control roll ceas rate ski".split(),
+    ),
+)
+def test_stems(word, root):
+    from corpusloom.functions.stemming import stem
+
+    assert stem(word) == root
+
+
+def test_topics_link_completely_and_in_order(spark):
+    q = spark.createDataFrame(
+        [
+            (1, 10, 1, "What is max_connections of the pool?", "The pool opens max_connections sockets, forty."),
+            (1, 11, 2, "max_connections of the pool now?", "The pool opens max_connections sockets, eighty."),
+            (1, 12, 3, "Which cache_dir does the scanner take?", "The scanner writes cache_dir below home."),
+            (1, 13, 4, None, None),
+            (1, 14, 5, "pool max_connections limit", None),
+            (2, 10, 1, "alone", "alone"),
+            (1, 10, 1, "What is max_connections of the pool?", "The pool opens max_connections sockets, forty."),
+        ],
+        "asked int, id int, rank int, q string, a string",
+    )
+    got = {(r["asked"], r["id"]): r["topic"] for r in P.topic_groups(q, "asked", "id", "rank", "q", "a").collect()}
+    assert got == {(1, 10): 0, (1, 11): 0, (1, 12): 1, (1, 13): 2, (1, 14): 0, (2, 10): 0}
+    assert P.topic_groups(q.limit(0), "asked", "id", "rank", "q", "a").count() == 0
 
 
 
