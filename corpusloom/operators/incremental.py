@@ -2,15 +2,18 @@
 
 A ``ManifestTable`` is a folder of Parquet files and numbered JSON manifests. A
 manifest names the files a version adds, the files it removes and the deletion
-vectors it lays over older files (file and row position), and is never
-changed. The difference of two versions is read from the manifests alone: only
-files added, files removed and positions newly deleted are opened. A consumer
-writes its output and the source version it has processed in one manifest of
-the output table, put in place by a rename, so a run that fails leaves nothing
-behind and a run that is repeated starts from the last commit.
-
-``replay`` builds such a table from raw observations: one version for each
-committed run, holding the state of each file as that run knew it.
+vectors it lays over older files (file, row position and the row as it was), and
+is never changed. The difference of two versions is read from the manifests
+alone: only files added, files removed and new deletion vectors are opened. A
+consumer writes its output and the source version it has processed in one
+manifest of the output table, created under its final name without overwriting,
+so a run that fails leaves nothing behind and a run that is repeated starts from
+the last commit. A manifest that cannot be read is one that was never finished
+and counts for nothing.
+
+``replay`` builds such a table from raw observations, one version for each
+committed run, holding the state of each file as that run knew it, and lets each
+run take up what is new by ``process_new``.
 """
 
 from __future__ import annotations
@@ -39,6 +42,10 @@ def file_id(project: Column, path: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", project, path), 256), 1, 16)
 
 
+#: Every so many versions a manifest names all live files.
+SNAPSHOT = 16
+
+
 class ManifestTable:
     """An append-only sequence of immutable versions in one folder."""
 
@@ -47,28 +54,42 @@ class ManifestTable:
         hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._at = hadoop.Path
-        self._read_once: dict[str, dict] = {}  # manifests never change
+        self._read_once: dict[int, dict] = {}  # manifests never change
 
     # -- manifests
 
-    def versions(self) -> list[dict]:
-        """All manifests, oldest first."""
+    def _numbers(self) -> list[int]:
         folder = self._at(f"{self.path}/_manifests")
         if not self._fs.exists(folder):
             return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        for n in names:
-            if n not in self._read_once:
-                self._read_once[n] = json.loads(self._read(f"{self.path}/_manifests/{n}"))
-        return [self._read_once[n] for n in names]
+        names = (s.getPath().getName() for s in self._fs.listStatus(folder))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def _manifest(self, number: int) -> dict | None:
+        """A manifest, read once as it never changes; None if it was never finished."""
+        if number not in self._read_once:
+            try:
+                self._read_once[number] = json.loads(self._read(f"{self.path}/_manifests/{number:09d}.json"))
+            except ValueError:
+                return None
+        return self._read_once[number]
+
+    def versions(self, above: int = 0, upto: int | None = None) -> list[dict]:
+        """The manifests above one version and up to another, oldest first."""
+        found = (self._manifest(n) for n in self._numbers() if above < n and (upto is None or n <= upto))
+        return [m for m in found if m is not None]
+
+    def _last(self) -> dict | None:
+        return next((m for n in reversed(self._numbers()) if (m := self._manifest(n)) is not None), None)
 
     def latest(self) -> int:
-        found = self.versions()
-        return found[-1]["version"] if found else 0
+        last = self._last()
+        return last["version"] if last else 0
 
     def processed(self, source: str) -> int:
         """The version of ``source`` whose records the committed output holds."""
-        return max((m["processed"].get(source, 0) for m in self.versions()), default=0)
+        last = self._last()
+        return last["processed"].get(source, 0) if last else 0
 
     def _read(self, path: str) -> str:
         stream = self._fs.open(self._at(path))
@@ -78,18 +99,27 @@ class ManifestTable:
             stream.close()
 
     def publish(self, added: Sequence[str] = (), removed: Sequence[str] = (), deleted: Sequence[str] = (), processed: dict[str, int] | None = None, note: dict | None = None) -> int:
-        """Put the next manifest in place; fails if another writer was first."""
-        version = self.latest() + 1
-        manifest = {"version": version, "added": list(added), "removed": list(removed), "deleted": list(deleted), "processed": processed or {}, "note": note or {}}
-        temporary, final = f"{self.path}/_manifests/.{uuid.uuid4().hex}", f"{self.path}/_manifests/{version:09d}.json"
-        out = self._fs.create(self._at(temporary), False)
+        """Put the next manifest in place; fails if another writer was first.
+
+        What has been processed is carried on from manifest to manifest, and every ``SNAPSHOT``-th names all live files, so
+        neither question needs the whole history.
+        """
+        last = self._last()
+        version = max(self.latest(), *self._numbers()[-1:], 0) + 1
+        manifest = {"version": version, "added": list(added), "removed": list(removed), "deleted": list(deleted), "processed": {**(last["processed"] if last else {}), **(processed or {})}, "note": note or {}}
+        if version % SNAPSHOT == 0:
+            manifest["live"] = self._apply(self._files(version - 1), manifest)
+        final = self._at(f"{self.path}/_manifests/{version:09d}.json")
+        try:
+            out = self._fs.create(final, False)
+        except Exception as e:  # the file system says in its own words that the name is taken
+            if self._fs.exists(final):
+                raise RuntimeError(f"version {version} was committed by another writer") from e
+            raise
         try:
             out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
-        if self._fs.exists(self._at(final)) or not self._fs.rename(self._at(temporary), self._at(final)):
-            self._fs.delete(self._at(temporary), False)
-            raise RuntimeError(f"version {version} was committed by another writer")
         return version
 
     def files_in(self, folder: str) -> list[str]:
@@ -109,7 +139,7 @@ class ManifestTable:
     def delete(self, condition: Column) -> int:
         """Commit a deletion vector over the live rows that meet the condition."""
         folder = f"{self.path}/deleted/{uuid.uuid4().hex}"
-        self.live(positions=True).filter(condition).select("file_path", "row_index").write.parquet(folder)
+        self.live(positions=True).filter(condition).write.parquet(folder)
         return self.publish(deleted=self.files_in(folder))
 
     def compact(self) -> int:
@@ -121,18 +151,29 @@ class ManifestTable:
 
     # -- reading
 
+    @staticmethod
+    def _apply(files: Sequence[str], manifest: dict) -> list[str]:
+        gone = set(manifest["removed"])
+        return [f for f in files if f not in gone] + list(manifest["added"])
+
     def _files(self, version: int) -> list[str]:
-        live: dict[str, None] = {}
-        for m in self.versions():
-            if m["version"] <= version:
-                for f in m["removed"]:
-                    live.pop(f, None)
-                live.update(dict.fromkeys(m["added"]))
-        return list(live)
+        later: list[dict] = []
+        files: list[str] = []
+        for n in reversed([n for n in self._numbers() if n <= version]):
+            m = self._manifest(n)
+            if m is None:
+                continue
+            if "live" in m:
+                files = m["live"]
+                break
+            later.append(m)
+        for m in reversed(later):
+            files = self._apply(files, m)
+        return list(dict.fromkeys(files))
 
     def _vectors(self, above: int, upto: int) -> DataFrame | None:
-        files = [f for m in self.versions() if above < m["version"] <= upto for f in m["deleted"]]
-        return self.spark.read.parquet(*files).select("file_path", "row_index") if files else None
+        files = [f for m in self.versions(above, upto) for f in m["deleted"]]
+        return self.spark.read.parquet(*files) if files else None
 
     def _rows(self, files: Sequence[str]) -> DataFrame | None:
         if not files:
@@ -145,7 +186,7 @@ class ManifestTable:
         if rows is None:
             raise ValueError("the table has no files")
         if gone is not None:
-            rows = rows.join(gone, ["file_path", "row_index"], "left_anti")
+            rows = rows.join(gone.select("file_path", "row_index"), ["file_path", "row_index"], "left_anti")
         return rows if positions else rows.drop("file_path", "row_index")
 
     def diff(self, older: int, newer: int) -> DataFrame | None:
@@ -155,23 +196,24 @@ class ManifestTable:
         """
         before, after = self._files(older), self._files(newer)
         left, stayed = set(before) - set(after), set(before) & set(after)
-        parts = []
+        parts, at = [], ["file_path", "row_index"]
+        newly = self._vectors(older, newer)
         fresh = self._rows([f for f in after if f not in set(before)])
         if fresh is not None:
-            gone = self._vectors(0, newer)
-            if gone is not None:
-                fresh = fresh.join(gone, ["file_path", "row_index"], "left_anti")
-            parts.append(fresh.drop("file_path", "row_index").withColumn("change", F.lit("insert")))
+            if newly is not None:  # older vectors cannot lie over files that were not there
+                fresh = fresh.join(newly.select(*at), at, "left_anti")
+            parts.append(fresh.drop(*at).withColumn("change", F.lit("insert")))
         lost = self._rows([f for f in before if f in left])
         if lost is not None:
             gone = self._vectors(0, older)
             if gone is not None:
-                lost = lost.join(gone, ["file_path", "row_index"], "left_anti")
-            parts.append(lost.drop("file_path", "row_index").withColumn("change", F.lit("delete")))
-        newly = self._vectors(older, newer)
+                lost = lost.join(gone.select(*at), at, "left_anti")
+            parts.append(lost.drop(*at).withColumn("change", F.lit("delete")))
         if newly is not None and stayed:
-            hit = self._rows([f for f in before if f in stayed]).join(newly, ["file_path", "row_index"], "left_semi")
-            parts.append(hit.drop("file_path", "row_index").withColumn("change", F.lit("delete")))
+            # the vectors hold the rows as they were, so the files they lie over are not opened; file names are unique
+            names = self.spark.createDataFrame([(f.rsplit("/", 1)[-1],) for f in stayed], "file_name string")
+            hit = newly.withColumn("file_name", F.substring_index("file_path", "/", -1)).join(names, "file_name", "left_semi")
+            parts.append(hit.drop(*at, "file_name").withColumn("change", F.lit("delete")))
         if not parts:
             return None
         union = parts[0]
@@ -184,10 +226,10 @@ class ManifestTable:
         return union
 
 
-def process_new(source: ManifestTable, output: ManifestTable, name: str, transform) -> int | None:
+def process_new(source: ManifestTable, output: ManifestTable, name: str, transform, upto: int | None = None) -> int | None:
     """One incremental run: transform the deltas since the last committed run, and commit result and processed version together."""
-    done, newest = output.processed(name), source.latest()
-    if newest == done:
+    done, newest = output.processed(name), source.latest() if upto is None else upto
+    if newest <= done:
         return None
     deltas = source.diff(done, newest)
     if deltas is None:
@@ -213,8 +255,9 @@ def replay(observations: DataFrame, runs: DataFrame, spark: SparkSession) -> Dat
 
     A version of the state table is what one successful run knew: for each file the known observation with the latest
     ``scanned_at``. Observations are first reduced to one for each file and version, so a file that holds a third of
-    all rows leaves at most one row for each run. Each version's files and deletion vectors are written once; the
-    deltas of all runs are then read from them, and an update counts if its hash differs from the one it replaces.
+    all rows leaves at most one row for each run. Each version's files and deletion vectors are written once; then
+    one run after the other reads the deltas since the last committed one and commits what it takes up with the version it
+    has processed. An update counts if its hash differs from the one it replaces.
 
     Observations without a hash, path, project or arrival are not known to any run; repeated rows change nothing; ties
     of ``scanned_at`` go to the later arrival, then the larger ``obs_id``. No run or no observation: an empty result.
@@ -233,30 +276,19 @@ def replay(observations: DataFrame, runs: DataFrame, spark: SparkSession) -> Dat
 
     table = ManifestTable(spark, scratch(spark, "state"))
     data, dead = f"{table.path}/data", f"{table.path}/deleted"
-    state.repartition("version", F.pmod(F.xxhash64("file_id"), F.lit(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)))).write.partitionBy("version").parquet(data)
+    state.write.partitionBy("version").parquet(data)
     placed = spark.read.schema("file_id string, file_hash string, version int").parquet(data).select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"))
     replaced = placed.withColumn("replaced_at", F.lead("version").over(Window.partitionBy("file_id").orderBy("version"))).filter("replaced_at is not null")
-    replaced.select("file_path", "row_index", "replaced_at").write.partitionBy("replaced_at").parquet(dead)
+    replaced.drop("version").write.partitionBy("replaced_at").parquet(dead)
+    taken = ManifestTable(spark, scratch(spark, "taken"))
     for number, (run_id, _) in enumerate(done, 1):
-        table.publish(table.files_in(f"{data}/version={number}"), deleted=table.files_in(f"{dead}/replaced_at={number}"), note={"run_id": run_id})
-    return _changed(table, "file_id", "file_hash")
-
-
-def _changed(table: ManifestTable, key: str, digest: str) -> DataFrame:
-    """(run_id, key) of the records that each version inserts or whose digest it changes, from the manifests of all versions at once."""
-    spark, manifests = table.spark, table.versions()
-    run_of = F.element_at(F.create_map(*[x for m in manifests for x in (F.lit(m["version"]), F.lit(m["note"]["run_id"]).cast("bigint"))]), F.col("version"))
-    added, vectors = [f for m in manifests for f in m["added"]], [f for m in manifests for f in m["deleted"]]
-    if not added:
-        return spark.createDataFrame([], f"run_id bigint, {key} string")
-    rows = spark.read.option("basePath", f"{table.path}/data").schema(f"{key} string, {digest} string, version int").parquet(*added)
-    inserted = rows.select(key, digest, "version", F.lit(1).alias("sign"))
-    union = inserted
-    if vectors:
-        gone = spark.read.option("basePath", f"{table.path}/deleted").schema("file_path string, row_index bigint, replaced_at int").parquet(*vectors)
-        at = rows.select(key, digest, F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"))
-        deleted = at.join(gone, ["file_path", "row_index"]).select(key, digest, F.col("replaced_at").alias("version"), F.lit(-1).alias("sign"))
-        union = inserted.unionByName(deleted)
-    # A file has at most one insert and one delete in a version; the pair cancels where the digest stayed.
-    pairs = union.groupBy(key, "version").agg(F.max(F.when(F.col("sign") == 1, F.col(digest))).alias("now"), F.max(F.when(F.col("sign") == -1, F.col(digest))).alias("before"))
-    return pairs.filter("now is not null and (before is null or now != before)").select(run_of.alias("run_id"), key)
+        version = table.publish(table.files_in(f"{data}/version={number}"), deleted=table.files_in(f"{dead}/replaced_at={number}"), note={"run_id": run_id})
+        process_new(table, taken, "state", lambda deltas, run_id=run_id: _changed(deltas, "file_id", "file_hash").select(F.lit(run_id).cast("bigint").alias("run_id"), "file_id"), version)
+    return taken.live() if taken._files(taken.latest()) else spark.createDataFrame([], out)
+
+
+def _changed(deltas: DataFrame, key: str, digest: str) -> DataFrame:
+    """(key) of the records that the deltas insert, or whose digest they change; an insert and a delete of one digest cancel out."""
+    value = lambda change: F.max(F.when(F.col("change") == change, F.col(digest)))
+    pairs = deltas.groupBy(key).agg(value("insert").alias("now"), value("delete").alias("before"))
+    return pairs.filter("now is not null and (before is null or now != before)").select(key)
