@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,18 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import graph, memory, modules, retrieval
-from .session import table
+from .operators.embedding import Embed, embed_column
+from .operators.incremental import ManifestTable
+from .operators.lexical_index import LexicalIndex, VectorStore
+from .operators.overlay import HISTORY
+from .session import materialise, shared_folder, table
 
 
 class Engine:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.lists: LexicalIndex | None = None
+        self.vectors: VectorStore | None = None
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
@@ -22,21 +29,83 @@ class Engine:
     def questions(self, texts: Sequence[str]) -> DataFrame:
         return self.spark.createDataFrame(list(enumerate(texts)), "query bigint, question string")
 
-    def search(self, texts: Sequence[str], k: int = 10, pattern: str | None = None, node_types: Sequence[str] | None = None) -> DataFrame:
-        """(query, doc, score, rank, snippet): excerpts for each question; filters hold before anything is scored."""
-        c = self.table("chunks").dropDuplicates(["id"])
+    def index(self, embed: Embed | None = None) -> Engine:
+        """Put all excerpts into a lexical index and, if an embedder is given, their vectors into a store; searches then read these.
+
+        Called again it takes up only excerpts that are new or changed since, and takes out those that are gone.
+        """
+        base = f"{shared_folder(self.spark).rstrip('/')}/engine-{zlib.crc32(self.folder.encode()):08x}"
+        self.lists, self.embed = LexicalIndex(self.spark, f"{base}/lists"), embed
+        self.vectors = VectorStore(self.spark, f"{base}/vectors") if embed else None
+        self.state = ManifestTable(self.spark, f"{base}/state")
+        now = materialise(self._excerpts().select("id", F.xxhash64("searched").alias("digest")), "excerpts")
+        before = self.state.live() if self.state.latest() else self.spark.createDataFrame([], "id string, digest bigint")
+        changed = materialise(now.join(before, ["id", "digest"], "left_anti"), "changed")
+        gone = materialise(before.join(now, "id", "left_anti").select("id"), "gone")
+        rows = self._excerpts().join(changed.select("id"), "id", "left_semi")
+        if not changed.isEmpty():
+            self.lists.upsert(rows, "id", "searched")
+            if embed:
+                self.vectors.upsert(embed_column(rows, "id", "searched", embed), "id", "vector")
+            self.state.upsert(changed, ["id"])  # last, so that a lost run is repeated
+        if not gone.isEmpty():
+            self.lists.remove(gone)
+            if embed:
+                self.vectors.remove(gone)
+            self.state.remove(gone)
+        return self
+
+    def _excerpts(self) -> DataFrame:
+        return self.table("chunks").filter("id is not null").dropDuplicates(["id"]).withColumn("searched", F.concat_ws(" ", "name", "qualified_name", "docstring", "content"))
+
+    def search(self, texts: Sequence[str], k: int = 10, pattern: str | None = None, node_types: Sequence[str] | None = None, edges: DataFrame | None = None, lexical_weight: float | None = None) -> DataFrame:
+        """(query, rank, doc, score, path, snippet, trust, confidence): the whole pipeline for a batch of questions.
+
+        Lexical hits (and near vectors, after ``index`` with an embedder) are fused by rank, raised where confident callers in
+        ``edges`` (dst, score) point to them, ordered by the question's words, boosted and guarded by kind; each question gets a
+        confidence. Filters hold before anything is scored.
+        """
+        c = self._excerpts()
         if node_types:
             c = c.filter(F.col("node_type").isin(*node_types))
+        f = self.table("files").select(F.col("id").alias("file_id"), F.col("relative_path").alias("path"), F.col("last_modified").alias("at")).dropDuplicates(["file_id"])
         if pattern:
-            f = self.table("files").filter(T.glob(F.col("relative_path"), pattern)).select(F.col("id").alias("file_id")).distinct()
-            c = c.join(f, "file_id", "left_semi")
-        c = c.withColumn("searched", F.concat_ws(" ", "name", "qualified_name", "docstring", "content"))
-        q = self.questions(texts)
-        hits = retrieval.bm25_topk(c, "id", "searched", q, "query", "question", 3 * k)
-        shown = hits.join(q, "query").join(c.select(F.col("id").alias("doc"), "docstring", "content", "searched"), "doc")
-        ranked = retrieval.lexical_rerank(shown, "question", "searched", head=2 * k)
-        top = ranked.filter(F.col("rank") <= k).join(shown.select("query", "doc", "question", "docstring", "content"), ["query", "doc"])
-        return top.select("query", "doc", "score", "rank", T.snippet(F.col("docstring"), F.col("content"), F.col("question")).alias("snippet"))
+            f = f.filter(T.glob(F.col("path"), pattern))
+            c = c.join(f.select("file_id"), "file_id", "left_semi")
+        narrowed, q = bool(node_types or pattern), self.questions(texts).withColumn("query_class", T.query_class(F.col("question")))
+        if self.lists is None or narrowed:
+            hits = retrieval.bm25_topk(c, "id", "searched", q, "query", "question", 3 * k)
+        else:
+            hits = self.lists.search(q, "query", "question", 3 * k)
+        weight = F.lit(1.0) if self.vectors is None else F.lit(lexical_weight) if lexical_weight is not None else T.bm25_weight(F.col("question"))
+        near = self.spark.createDataFrame([], "query bigint, doc string, rank int")
+        if self.vectors is not None:
+            asked = embed_column(q, "query", "question", self.embed).filter("vector is not null")
+            allowed = materialise(c.select(F.col("id").alias("doc")), "allowed") if narrowed else None
+            near = self.vectors.search(asked, "query", "vector", 3 * k, only=allowed).select("query", "doc", "rank")
+        fused = retrieval.rrf(hits.select("query", "doc", "rank"), near, q.select("query", weight.alias("weight"))).join(q, "query")
+        if edges is not None:
+            best = edges.filter(F.col("score") >= graph.SCORES["inferred"]).groupBy(F.col("dst").alias("doc")).agg(F.max("score").alias("authority"))
+            fused = retrieval.authority_nudge(fused, best, query_class="query_class")
+        top = retrieval.top_k(fused.drop("rank"), ["query"], retrieval.fused_order(), 2 * k)
+        held = materialise(top.join(c.select(F.col("id").alias("doc"), "file_id", "node_type", "docstring", "content", "searched"), "doc").join(f, "file_id", "left"), "hits")
+        ranked = retrieval.lexical_rerank(held, "question", "searched", head=2 * k).join(held.drop("rank", "score"), ["query", "doc"])
+        age = F.datediff(F.current_date(), F.col("at"))
+        recalling = F.coalesce("question", F.lit("")).rlike(HISTORY)
+        boosted = ranked.withColumn("score", F.coalesce(retrieval.memory_boost(ranked, "node_type", age, recalling), F.col("score"))).drop("rank")
+        guarded = retrieval.guard_code_lane(retrieval.top_k(boosted, ["query"], [F.desc("score"), F.asc("doc")], 2 * k), "node_type", "path", "query_class")
+        final = materialise(retrieval.top_k(guarded.drop("rank"), ["query"], [F.desc("score"), F.asc("doc")], k), "ranked")
+        sure = retrieval.confidence(final.withColumn("module", modules.folder(F.col("path"))), "path", "module").select("query", "confidence")
+        return final.join(sure, "query").select(
+            "query", "rank", "doc", "score", "path", T.snippet(F.col("docstring"), F.col("content"), F.col("question")).alias("snippet"), memory.trust_label(F.col("node_type"), F.lit(None).cast("string"), F.lit(None).cast("string"), age).alias("trust"), "confidence"
+        )
+
+    def semantic_search(self, texts: Sequence[str], k: int = 10, least: float = 0.0) -> DataFrame:
+        """(query, doc, score, rank) by vectors alone, of at least a similarity; needs ``index`` with an embedder."""
+        if self.vectors is None:
+            raise ValueError("call index() with an embedder first")
+        asked = embed_column(self.questions(texts), "query", "question", self.embed).filter("vector is not null")
+        return self.vectors.search(asked, "query", "vector", k, least=least)
 
     def symbols(self, part: str, node_types: Sequence[str] = ("function", "method", "class")) -> DataFrame:
         """Excerpts whose name holds a part, in any case."""

@@ -8,11 +8,12 @@ block a level, and nodes on a cycle get no topological level.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
 
 SCORES = {"extracted": 1.0, "inferred": 0.8, "ambiguous": 0.3}
 LEVELS = ("ambiguous", "inferred", "extracted")
@@ -65,13 +66,27 @@ def subgraph(edges: DataFrame, starts: DataFrame, depth: int, both_ways: bool =
     return seen
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int = 6) -> DataFrame:
-    """(source, target, length, path) of pairs (source, target): the alphabetically first shortest path; pairs without one are left out."""
-    e = edges.select("src", "dst").filter("src is not null and dst is not null and src != dst").distinct()
-    asked = pairs.select("source", "target").distinct()
+def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int | None = None, both_ways: bool = True) -> DataFrame:
+    """(source, target, length, path, reversed) of pairs (source, target): the alphabetically first shortest path.
+
+    Where no path leads from source to target, one from target to source is looked for, and ``reversed`` is true. Pairs without
+    either are left out. A search goes on until its frontier is empty, or to ``longest`` steps.
+    """
+    e = materialise(edges.select("src", "dst").filter("src is not null and dst is not null and src != dst").distinct(), "edges")
+    asked = pairs.select("source", "target").filter("source is not null and target is not null").distinct()
+    found = materialise(_paths(e, asked, longest), "paths").withColumn("reversed", F.lit(False))
+    if not both_ways:
+        return found
+    missing = asked.join(found.select("source", "target"), ["source", "target"], "left_anti").select(F.col("target").alias("source"), F.col("source").alias("target"))
+    back = _paths(e, missing, longest).select(F.col("target").alias("source"), F.col("source").alias("target"), "length", "path", F.lit(True).alias("reversed"))
+    return found.unionByName(back)
+
+
+def _paths(e: DataFrame, asked: DataFrame, longest: int | None) -> DataFrame:
+    asked = materialise(asked, "pairs")
     frontier = asked.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct()
     seen, found, open_pairs = frontier.select("source", "node"), [], asked
-    for length in range(longest + 1):
+    for length in count():
         hit = open_pairs.join(frontier.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", F.lit(length).alias("length"), "path")
         found.append(hit)
         if length == longest:
@@ -80,12 +95,34 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int = 6) -> Data
         alive = frontier.join(open_pairs.select("source").distinct(), "source", "left_semi")
         nxt = alive.join(e, alive["node"] == e["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         frontier = materialise(nxt.join(seen, ["source", "node"], "left_anti"), "frontier")
-        seen = seen.unionByName(frontier.select("source", "node"))
         if frontier.isEmpty():
             break
+        seen = materialise(seen.unionByName(frontier.select("source", "node")), "seen")
     return reduce(DataFrame.unionByName, found)
 
 
+def resolve_start(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(name, node): what a name asked for stands for; nodes are (node, qualified_name, name), asked has (name).
+
+    An id comes before an exact qualified name, that before exact names (all of them), and these before names that hold the
+    asked one as a part, whatever its case. The names are a stated query set, so the last rule sends each to all nodes.
+    """
+    n = nodes.select("node", "qualified_name", F.col("name").alias("own"))
+    a = asked.select("name").filter("name is not null").distinct()
+    exact = [a.join(n, a["name"] == n[c].cast("string")).select(a["name"], "node", F.lit(rank).alias("rank")) for rank, c in enumerate(("node", "qualified_name", "own"))]
+    part = F.contains(F.lower("own"), F.lower("name")) | F.contains(F.lower("qualified_name"), F.lower("name"))
+    last = n.join(broadcast_if_small(a, "asked"), part).select("name", "node", F.lit(3).alias("rank"))
+    every = reduce(DataFrame.unionByName, [*exact, last])
+    best = every.groupBy("name").agg(F.min("rank").alias("rank"))
+    return every.join(best, ["name", "rank"]).select("name", "node").distinct()
+
+
+def topological_order(edges: DataFrame) -> DataFrame:
+    """(node, level, in_cycle), leaves first: 0 for nodes that lead nowhere; what stands on or before a cycle comes last, without a level."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return topological_levels(back).withColumn("in_cycle", F.col("level").isNull()).orderBy(F.asc_nulls_last("level"), "node")
+
+
 def topological_levels(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(node, level): 0 for nodes without predecessors, else one more than the deepest predecessor; null on or behind a cycle."""
     e = materialise(edges.select("src", "dst").filter("src is not null and dst is not null and src != dst").distinct(), "edges")

@@ -142,6 +142,26 @@ class ManifestTable:
         self.live(positions=True).filter(condition).write.parquet(folder)
         return self.publish(deleted=self.files_in(folder))
 
+    def upsert(self, rows: DataFrame, keys: list[str], processed: dict[str, int] | None = None) -> int:
+        """Commit the rows in place of the live ones with the same keys, as one version; a repeated key keeps all its rows."""
+        return self._exchange(rows, lambda live: live.join(rows.select(*keys).distinct(), keys, "left_semi"), processed)
+
+    def replace(self, rows: DataFrame | None, condition: Column, processed: dict[str, int] | None = None) -> int:
+        """Commit the rows in place of all live ones that meet the condition, as one version."""
+        return self._exchange(rows, lambda live: live.filter(condition), processed)
+
+    def remove(self, keys: DataFrame) -> int:
+        """Commit the deletion of the live rows that agree with a row of ``keys`` in all its columns."""
+        return self._exchange(None, lambda live: live.join(keys.distinct(), keys.columns, "left_semi"))
+
+    def _exchange(self, rows: DataFrame | None, chosen, processed: dict[str, int] | None = None) -> int:
+        added, dead = f"{self.path}/data/{uuid.uuid4().hex}", f"{self.path}/deleted/{uuid.uuid4().hex}"
+        if rows is not None:
+            rows.write.parquet(added)
+        if self._files(self.latest()):
+            chosen(self.live(positions=True)).write.parquet(dead)
+        return self.publish(self.files_in(added), deleted=self.files_in(dead), processed=processed)
+
     def compact(self) -> int:
         """Rewrite all live rows into new files; a later diff over this version shows no change of records."""
         version = self.latest()
@@ -237,6 +257,20 @@ def process_new(source: ManifestTable, output: ManifestTable, name: str, transfo
     return output.append(transform(deltas), processed={name: newest})
 
 
+def cascade(keys: DataFrame, steps: Sequence[tuple[ManifestTable, str, str]]) -> None:
+    """Delete rows and what hangs on them: each step is (table, the column that refers, the column the next step refers to).
+
+    ``keys`` has one column, the keys to begin with. Deepest tables go first, so that a lost run leaves nothing that hangs in
+    the air and can be repeated.
+    """
+    plan, current = [], keys.toDF("__key").distinct()
+    for held, refers, own in steps:
+        plan.append((held, current.withColumnRenamed("__key", refers)))
+        current = held.live().join(current.withColumnRenamed("__key", refers), refers, "left_semi").select(F.col(own).alias("__key")).distinct()
+    for held, gone in reversed(plan):
+        held.remove(gone)
+
+
 def successful_runs(runs: DataFrame) -> list[tuple]:
     """(run_id, cutoff) of the runs with a log row 'ok', in order. The run log is metadata, a few rows for each run."""
     ok = runs.filter("status = 'ok'").groupBy("run_id").agg(F.max("cutoff_at").alias("cutoff_at")).filter("cutoff_at is not null")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,18 +45,32 @@ def set_similarity_join(rows: DataFrame, key: str, tokens: str, threshold: float
     return same.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity"))
 
 
-#: Random hyperplanes: bands of so many bits. Two vectors of cosine 0.9 agree on a bit with probability 0.857, on a band of 10
-#: with 0.21, and on none of 48 bands with less than 0.00001.
-LSH_BANDS, LSH_BITS = 48, 10
+#: A pair at the threshold is missed by all bands with at most this probability; bands there may be; vectors a bucket should hold.
+MISSED, MOST_BANDS, BUCKET = 1e-5, 512, 64
+
+
+def hyperplanes(threshold: float, n: int) -> tuple[int, int]:
+    """(bands, bits): bits grow with the logarithm of the number of vectors, so that buckets do not; bands make up for what they miss.
+
+    Two vectors of the threshold agree on a bit with probability p = 1 - acos(threshold) / pi, on a band with p ** bits.
+    """
+    p = 1 - math.acos(min(max(threshold, -1.0), 1.0 - 1e-9)) / math.pi
+    bits = max(1, math.ceil(math.log2(max(n, 2) / BUCKET)))
+    while True:
+        bands = max(1, math.ceil(math.log(MISSED) / math.log1p(-min(p**bits, 1 - 1e-12))))
+        if bands <= MOST_BANDS or bits == 1:
+            return bands, bits
+        bits -= 1
 
 
 def cosine_join(vectors: DataFrame, key: str, vector: str, threshold: float = 0.9) -> DataFrame:
     """(a, b, similarity): pairs of vectors of at least the cosine, a < b, by random hyperplanes and exact verification.
 
-    Meant for thresholds of 0.9 and more. Null and zero vectors pair with none; equal vectors share all bands.
+    Null and zero vectors pair with none; equal vectors share all bands. The lower the threshold, the more pairs are compared.
     """
     kind = vectors.schema[key].dataType.simpleString()
     rows = materialise(vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null and exists(v, x -> x != 0)").dropDuplicates(["id"]), "vectors")
+    n_bands, bits = hyperplanes(threshold, rows.count())
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -63,11 +78,11 @@ def cosine_join(vectors: DataFrame, key: str, vector: str, threshold: float = 0.
             ids, keys = batch.column(0), []
             for v in batch.column(1):
                 x = v.values.to_numpy(zero_copy_only=False)
-                p = planes.setdefault(len(x), np.random.default_rng(len(x)).normal(size=(LSH_BANDS * LSH_BITS, len(x))))
-                bits = (p @ x > 0).reshape(LSH_BANDS, LSH_BITS)
-                keys.append((bits @ (1 << np.arange(LSH_BITS))) + (np.arange(LSH_BANDS) << LSH_BITS))
+                p = planes.setdefault(len(x), np.random.default_rng(len(x)).normal(size=(n_bands * bits, len(x))))
+                sides = (p @ x > 0).reshape(n_bands, bits)
+                keys.append((sides @ (1 << np.arange(bits))) + (np.arange(n_bands) << bits))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * LSH_BANDS, pa.int32()), flat)], names=["id", "bands"])
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * n_bands, pa.int32()), flat)], names=["id", "bands"])
 
     banded = materialise(rows.mapInArrow(bands, f"id {kind}, bands array<bigint>").select("id", F.explode("bands").alias("band")), "bands")
     a, b = banded.withColumnRenamed("id", "a"), banded.withColumnRenamed("id", "b")

@@ -62,7 +62,8 @@ class VectorIndex:
                     scores = np.round(m[here] @ unit[who].T, 6)
                     for j, q in enumerate(who):
                         column = scores[:, j]
-                        some = np.argpartition(-column, k)[: k + 1] if len(column) > k + 1 else np.arange(len(column))
+                        # everything at least as good as the k-th best, so that ties at the edge are decided by the id
+                        some = np.flatnonzero(column >= np.partition(column, -k)[-k]) if len(column) > k else np.arange(len(column))
                         best[q] = sorted(best.get(q, []) + [(-column[i], docs[here[i]]) for i in some])[:k]
             flat = [(ids[q], d, -s) for q, found in best.items() for s, d in found]
             cols = list(zip(*flat)) or [[], [], []]

@@ -93,14 +93,16 @@ def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @graph.add(
     "q21_shortest_path",
-    f"""WITH {EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst AND confidence <> 'ambiguous'), pairs AS (SELECT p_partkey AS source, p_partkey + 1 AS target FROM part WHERE p_partkey % 50 = 0),
-p1 AS (SELECT source, dst AS node FROM (SELECT DISTINCT source FROM pairs) JOIN e ON src = source), p2 AS (SELECT DISTINCT source, dst AS node FROM p1 JOIN e ON src = node), p3 AS (SELECT DISTINCT source, dst AS node FROM p2 JOIN e ON src = node)
-SELECT source, target, min(l)::INTEGER AS length FROM (SELECT source, target, 1 AS l FROM pairs JOIN p1 USING (source) WHERE node = target UNION ALL SELECT source, target, 2 FROM pairs JOIN p2 USING (source) WHERE node = target UNION ALL SELECT source, target, 3 FROM pairs JOIN p3 USING (source) WHERE node = target) GROUP BY ALL""",
+    f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst AND confidence <> 'ambiguous'), pairs AS (SELECT p_partkey AS source, p_partkey + 1 AS target FROM part WHERE p_partkey % 50 = 0),
+ends AS (SELECT source, target, source AS origin, target AS goal, false AS back FROM pairs UNION ALL SELECT source, target, target, source, true FROM pairs),
+b(origin, node, d) AS (SELECT DISTINCT origin, origin, 0 FROM ends UNION SELECT origin, dst, d + 1 FROM b JOIN e ON src = node WHERE d < 6),
+f AS (SELECT source, target, back, min(d) AS d FROM ends JOIN b ON b.origin = ends.origin AND b.node = ends.goal GROUP BY ALL)
+SELECT source, target, d::INTEGER AS length, back AS reversed FROM f WHERE NOT back OR (source, target) NOT IN (SELECT source, target FROM f WHERE NOT back)""",
 )
 def q21(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("source"), (F.col("p_partkey") + 1).alias("target"))
     e = call_edges(spark, sf_dir).filter(G.at_least(F.col("confidence"), "inferred"))
-    return G.shortest_paths(e, pairs, 3).select("source", "target", "length")
+    return G.shortest_paths(e, pairs).select("source", "target", "length", "reversed")
 
 
 @graph.add(
@@ -114,13 +116,14 @@ def q22(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @graph.add(
     "q23_topological_levels",
-    """WITH RECURSIVE e AS (SELECT DISTINCT kept_qa_id AS a, archived_qa_id AS b FROM dup_pairs WHERE kept_qa_id > archived_qa_id),
-r(node, level) AS (SELECT DISTINCT a, 0 FROM e WHERE a NOT IN (SELECT b FROM e) UNION SELECT e.b, r.level + 1 FROM r JOIN e ON e.a = r.node) SELECT node, max(level)::INTEGER AS level FROM r GROUP BY node""",
+    """WITH RECURSIVE e AS (SELECT DISTINCT kept_qa_id AS a, archived_qa_id AS b FROM dup_pairs WHERE kept_qa_id <> archived_qa_id), nodes AS (SELECT a AS node FROM e UNION SELECT b FROM e),
+t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b), cyclic AS (SELECT a AS node FROM t WHERE a = b), blocked AS (SELECT node FROM cyclic UNION SELECT b FROM t WHERE a IN (SELECT node FROM cyclic)),
+r(node, level) AS (SELECT node, 0 FROM nodes WHERE node NOT IN (SELECT b FROM e) UNION SELECT e.b, r.level + 1 FROM r JOIN e ON e.a = r.node WHERE e.b NOT IN (SELECT node FROM blocked))
+SELECT node, max(level)::INTEGER AS level FROM nodes LEFT JOIN r USING (node) GROUP BY node""",
 )
 def q23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels of the recorded duplicates from the newest record on, which have no cycle."""
-    p = table(spark, sf_dir, "dup_pairs").filter("kept_qa_id > archived_qa_id")
-    return G.topological_levels(p.select(F.col("kept_qa_id").alias("src"), F.col("archived_qa_id").alias("dst")))
+    """Levels of all recorded duplicates; those on or behind a cycle have none."""
+    return G.topological_levels(table(spark, sf_dir, "dup_pairs").select(F.col("kept_qa_id").alias("src"), F.col("archived_qa_id").alias("dst")))
 
 
 @graph.add("q24_entry_points", "SELECT DISTINCT kept_qa_id AS node FROM dup_pairs WHERE kept_qa_id <> archived_qa_id AND kept_qa_id NOT IN (SELECT archived_qa_id FROM dup_pairs WHERE kept_qa_id <> archived_qa_id)")

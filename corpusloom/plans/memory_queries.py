@@ -19,12 +19,12 @@ memory = Registry()
 
 @memory.add(
     "q25_semantic_dedup",
-    """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9),
+    """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.38),
 s AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(node, seen) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen) SELECT node AS archived, max(seen) AS kept FROM r GROUP BY node HAVING node <> max(seen)""",
 )
 def q25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one meaning, over any number of links; the newest (largest id) is kept."""
-    pairs = cosine_join(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+    pairs = cosine_join(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.38)
     c = connected_components(pairs, "a", "b")
     kept = c.groupBy("component").agg(F.max("node").alias("kept"))
     return c.join(kept, "component").filter("node != kept").select(F.col("node").alias("archived"), "kept")

@@ -124,3 +124,62 @@ def test_each_run_opens_only_what_is_new(spark, tmp_path):
     changes = table.diff(1, 3)
     assert sorted(map(tuple, changes.collect())) == [(1, "a", "delete"), (1, "c", "insert")]
     assert not {f.rsplit("/", 1)[-1] for f in first} & {f.rsplit("/", 1)[-1] for f in changes.inputFiles()}
+
+
+def test_upsert_replace_cascade(spark, tmp_path):
+    from corpusloom.operators.incremental import cascade
+
+    rows = lambda t: sorted(map(tuple, t.live().collect()))
+    make = lambda name, data, kind: (t := ManifestTable(spark, str(tmp_path / name)), t.append(spark.createDataFrame(data, kind)))[0]
+    files = make("f", [(1, "a"), (2, "b")], "id int, h string")
+    files.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "id int, h string"), ["id"])
+    assert rows(files) == [(1, "a"), (2, "c"), (3, "d")]
+    files.replace(spark.createDataFrame([(4, "e")], "id int, h string"), F.col("h") == "a")
+    assert rows(files) == [(2, "c"), (3, "d"), (4, "e")]
+    chunks, edges = make("c", [(10, 2), (11, 3), (12, 2)], "chunk int, file int"), make("e", [(10, 11), (11, 12), (11, 11)], "src int, dst int")
+    cascade(spark.createDataFrame([(2,)], "id int"), [(files, "id", "id"), (chunks, "file", "chunk"), (edges, "src", "src")])
+    assert rows(files) == [(3, "d"), (4, "e")] and rows(chunks) == [(11, 3)] and rows(edges) == [(11, 11), (11, 12)]
+    fresh = ManifestTable(spark, str(tmp_path / "new"))
+    assert fresh.upsert(spark.createDataFrame([(1,)], "id int"), ["id"]) == 1 and rows(fresh) == [(1,)]
+
+
+def test_indexes_and_vectors_are_kept_up(spark, tmp_path):
+    from corpusloom.operators.lexical_index import LexicalIndex, VectorStore
+    from corpusloom.operators.retrieval import bm25_topk
+
+    docs = spark.createDataFrame([(1, "red queue"), (2, "blue queue queue"), (3, None), (4, "red red lock")], "id int, t string")
+    asked = spark.createDataFrame([(1, "red queue")], "q int, t string")
+    index = LexicalIndex(spark, str(tmp_path / "l"))
+    assert index.count() == 0
+    index.upsert(docs, "id", "t")
+    index.upsert(spark.createDataFrame([(2, "green lock")], "id int, t string"), "id", "t")
+    index.remove(spark.createDataFrame([(4,), (9,)], "id int"))
+    left = spark.createDataFrame([(1, "red queue"), (2, "green lock"), (3, None)], "id int, t string")
+    want = bm25_topk(left, "id", "t", asked, "q", "t").collect()
+    assert index.count() == 3 and index.search(asked, "q", "t").collect() == want and want
+    store = VectorStore(spark, str(tmp_path / "v"))
+    store.upsert(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "id int, v array<float>"), "id", "v")
+    store.upsert(spark.createDataFrame([(2, [1.0, 1.0])], "id int, v array<float>"), "id", "v")
+    store.remove(spark.createDataFrame([(7,)], "id int"))
+    q = spark.createDataFrame([(5, [1.0, 0.0])], "q int, v array<float>")
+    assert [tuple(r) for r in store.search(q, "q", "v").orderBy("rank").collect()] == [(5, 1, 1.0, 1), (5, 2, 0.707107, 2)]
+    assert store.search(q, "q", "v", where=F.col("doc") > 1).count() == 1 and store.search(q, "q", "v", least=0.9).count() == 1
+    assert [r["doc"] for r in store.get(spark.createDataFrame([(2,), (8,)], "id int")).collect()] == [2]
+
+
+def test_embedding_batches_and_refusals(spark):
+    import numpy as np
+
+    from corpusloom.operators.embedding import batches_of, embed_column, embedded, hashed_ngrams
+
+    def picky(texts):
+        if len(texts) > 2 or "bad" in texts:
+            raise ValueError("refused")
+        return [[3.0, 4.0] for _ in texts]
+
+    got = embedded(["a", "bad", "c", "d", "e"], picky)
+    assert got[1] is None and all(np.allclose(v, [0.6, 0.8]) for i, v in enumerate(got) if i != 1)
+    assert [len(b) for b in batches_of(["x" * 400] * 250)] == [100, 100, 50] and [len(b) for b in batches_of(["x" * 40_000] * 60)] == [31, 29]
+    df = spark.createDataFrame([(1, "the queue"), (2, None), (3, "  "), (4, "the queues")], "id int, t string")
+    got = {r["id"]: r["vector"] for r in embed_column(df, "id", "t", hashed_ngrams).collect()}
+    assert got[2] is None and got[3] is None and abs(np.linalg.norm(got[1]) - 1) < 1e-5 and np.dot(got[1], got[4]) > 0.6

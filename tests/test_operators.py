@@ -126,7 +126,7 @@ def test_levels_and_cycles(spark):
 
 def test_paths_and_subgraph(spark):
     pairs = spark.createDataFrame([("h", "check"), ("a", "c"), ("check", "h"), ("h", "h")], "source string, target string")
-    got = {(s, t): (n, p) for s, t, n, p in rows(G.shortest_paths(edges(spark), pairs))}
+    got = {(s, t): (n, p) for s, t, n, p, _ in rows(G.shortest_paths(edges(spark), pairs, both_ways=False))}
     assert got == {("h", "check"): (2, ["h", "login", "check"]), ("a", "c"): (2, ["a", "b", "c"]), ("h", "h"): (0, ["h"])}
     near = rows(G.subgraph(edges(spark), spark.createDataFrame([("login",)], "start string"), 2), "depth", "node")
     assert [(n, d) for _, n, d in near] == [("login", 0), ("check", 1), ("h", 1), ("make", 2)]
@@ -318,3 +318,37 @@ def test_a_cluster_must_name_its_folder():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError):
         session.shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=context))
+
+
+def test_start_resolution_and_order(spark):
+    nodes = spark.createDataFrame([("n1", "a.load", "load"), ("n2", "b.load", "load"), ("n3", "b.reload", "reload"), ("load", "x.other", "other")], "node string, qualified_name string, name string")
+    asked = lambda *names: {tuple(r) for r in G.resolve_start(nodes, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert asked("n1") == {("n1", "n1")} and asked("a.load") == {("a.load", "n1")} and asked("load") == {("load", "load")}
+    assert asked("reload") == {("reload", "n3")} and asked("LOA") == {("LOA", "n1"), ("LOA", "n2"), ("LOA", "n3")} and asked("nothing", None) == set()
+    order = [(r["node"], r["in_cycle"]) for r in G.topological_order(edges(spark)).collect()]
+    assert [n for n, c in order if not c] == ["check", "make", "login", "h"] and {n for n, c in order if c} == {"a", "b", "c"}
+
+
+def test_paths_backwards_and_long(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "src int, dst int")
+    pairs = spark.createDataFrame([(0, 9), (5, 2), (0, 40), (None, 1)], "source int, target int")
+    got = {(r["source"], r["target"]): (r["length"], r["reversed"], list(r["path"])) for r in G.shortest_paths(chain, pairs).collect()}
+    assert got == {(0, 9): (9, False, list(range(10))), (5, 2): (3, True, [2, 3, 4, 5])}
+    assert G.shortest_paths(chain, pairs, 4, both_ways=False).count() == 0
+
+
+def test_absent_terms_are_parts_of_no_word(spark):
+    terms = spark.createDataFrame([("merge",), ("queue",), ("인덱스",), ("색인",)], "term string")
+    texts = spark.createDataFrame([("Re-MERGED lists",), (None,), ("인덱싱 중",)], "t string")
+    assert {r["term"]: r["absent"] for r in R.absent_terms(terms, texts, "term", "t").collect()} == {"merge": False, "queue": True, "인덱스": False, "색인": True}
+    assert R.absent_terms(terms.limit(0), texts, "term", "t").count() == 0
+
+
+@pytest.mark.parametrize("threshold, n", [(0.9, 10**9), (0.9, 500), (0.38, 500), (0.99, 10**6)])
+def test_hyperplanes_miss_little(threshold, n):
+    import math
+
+    from corpusloom.operators.setjoin import hyperplanes
+
+    bands, bits = hyperplanes(threshold, n)
+    assert bands <= 512 and (1 - (1 - math.acos(threshold) / math.pi) ** bits) ** bands <= 1.01e-5
