@@ -56,7 +56,18 @@ def q37(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.interleave_modules(answers, cards, members)
 
 
-@module.add("q66_overlay_scoring")
+_RAW = "list_filter(regexp_extract_all(coalesce({}, ''), '[A-Za-z0-9_]+|[가-힣]+'), lambda w: length(w) >= 2)"
+_LOW = "list_distinct(list_transform(" + _RAW + ", lambda w: lower(w)))"
+
+
+@module.add(
+    "q66_overlay_scoring",
+    f"""WITH pending AS (SELECT DISTINCT id AS file_id, project_id, relative_path FROM files WHERE file_hash = ''), rows AS (SELECT DISTINCT p.*, content FROM pending p JOIN chunks USING (file_id)),
+q AS (SELECT DISTINCT qa_id AS query, query AS question, project_id FROM qa_log WHERE qa_id % 50 = 0),
+s AS (SELECT q.query, relative_path, {_LOW.format('question')} AS t, list_transform(list_filter({_RAW.format('question')}, lambda w: regexp_matches(w, '_|[a-z][A-Z]|[A-Z]{{2,}}[a-z]')), lambda w: lower(w)) AS named, {_LOW.format('relative_path')} AS pw, {_LOW.format('content')} AS cw FROM q JOIN rows r ON r.project_id = q.project_id),
+n AS (SELECT query, relative_path, len(list_filter(t, lambda x: contains(lower(relative_path), x))) AS ip, len(list_intersect(t, pw)) AS iw, len(list_intersect(t, cw)) AS shared, len(list_intersect(list_intersect(t, cw), named)) AS ids FROM s)
+SELECT query, relative_path, max(round(least(0.08, 0.014 * ip + 0.010 * iw + 0.006 * ids + 0.003 * (shared - ids) + 0.001), 6))::DOUBLE AS score FROM n GROUP BY ALL HAVING score > 0.001""",
+)
 def q66(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts of files that are not processed yet, scored for the questions of their project."""
     pending = table(spark, sf_dir, "files").filter("file_hash = ''").select(F.col("id").alias("file_id"), "project_id", "relative_path").distinct()
@@ -131,11 +142,19 @@ def q69(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.page_staleness(pages, deps, f)
 
 
-@module.add("q70_module_discovery", rf"WITH f AS (SELECT DISTINCT project_id, relative_path AS path, array_to_string(list_slice(string_split({FOLDER}, '/'), 1, 2), '/') AS key FROM files) SELECT project_id, key AS module, count(*) AS files, sum(1.0)::DOUBLE AS weight FROM f GROUP BY ALL")
+@module.add(
+    "q70_module_discovery",
+    rf"""WITH f AS (SELECT DISTINCT project_id, relative_path AS path, array_to_string(list_slice(string_split({FOLDER}, '/'), 1, 2), '/') AS key FROM files),
+m AS (SELECT DISTINCT project_id, result_paths[1] AS doc, unnest(list_slice(result_paths, 2, NULL)) AS path FROM qa_log), target AS (SELECT DISTINCT m.project_id, doc, key AS target FROM m JOIN f USING (project_id, path)),
+aimed AS (SELECT t.project_id, doc, target, f.key AS own FROM target t JOIN f ON f.project_id = t.project_id AND f.path = t.doc), n AS (SELECT project_id, doc, own, count(*) AS n, min(target) AS target FROM aimed GROUP BY ALL),
+base AS (SELECT f.project_id, f.path, coalesce(n.target, f.key) AS module, CASE WHEN n.target IS NULL THEN 1.0 ELSE 0.5 END AS weight FROM f LEFT JOIN n ON n.project_id = f.project_id AND n.doc = f.path AND n.n = 1 AND n.own <> n.target),
+every AS (SELECT project_id, path, module, weight FROM base UNION ALL SELECT a.project_id, a.doc, a.target, 0.3 FROM aimed a JOIN n ON n.project_id = a.project_id AND n.doc = a.doc AND n.n > 1 WHERE a.target <> a.own)
+SELECT project_id, module, count(*) AS files, round(sum(weight), 6)::DOUBLE AS weight FROM every GROUP BY ALL""",
+)
 def q70(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modules by folder; documents in this data name no files of their own project, so none changes its module."""
-    docs = table(spark, sf_dir, "chunks").join(table(spark, sf_dir, "files").filter("relative_path like '%.md'").select(F.col("id").alias("file_id"), F.col("relative_path").alias("doc")).distinct(), "file_id")
-    mentions = docs.select("project_id", "doc", F.explode(T.path_tokens(F.col("content"))).alias("path")).distinct()
+    """Modules by folder; the first file of an answer counts as a document that names the answer's other files."""
+    q = table(spark, sf_dir, "qa_log")
+    mentions = q.select("project_id", F.get("result_paths", 0).alias("doc"), F.explode(F.slice("result_paths", F.lit(2), F.greatest(F.size("result_paths"), F.lit(1)))).alias("path")).filter("doc is not null").distinct()
     d = M.discover(table(spark, sf_dir, "files"), mentions)
     return d.groupBy("project_id", "module").agg(F.count("*").alias("files"), F.round(F.sum("weight"), 6).alias("weight"))
 

@@ -156,15 +156,14 @@ def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "qa_log").select("qa_id", T.query_class(q).alias("query_class"), T.bm25_weight(q).alias("weight")).distinct()
 
 
-@search.add(
-    "q08_confidence_ladder",
-    ALL
-    + f""", {TYPED}, r AS (SELECT r.*, path, module, regexp_replace(coalesce(path, ''), '/?[^/]*$', '') AS parent FROM ranked r LEFT JOIN typed USING (doc)),
+CONFIDENCE = f""", {TYPED}, r AS (SELECT r.*, path, module, regexp_replace(coalesce(path, ''), '/?[^/]*$', '') AS parent FROM ranked r LEFT JOIN typed USING (doc)),
 t AS (SELECT query, arg_min(score, rank) AS top_score, arg_min(coalesce(path, '~'), rank) AS top_path, count(*) AS n, count(DISTINCT CASE WHEN rank <= 3 THEN parent END) AS parents, count(DISTINCT CASE WHEN rank <= 3 THEN module END) AS modules, count(*) FILTER (rank <= 3 AND module IS NULL) AS no_module FROM r GROUP BY query),
 o AS (SELECT r.query, arg_min(r.score, r.rank) AS other FROM r JOIN t USING (query) WHERE coalesce(r.path, '~') <> t.top_path GROUP BY r.query),
 g AS (SELECT t.query, top_score, CASE WHEN other IS NOT NULL THEN round(top_score - other, 6) WHEN n >= 2 THEN round(top_score, 6) END AS effective_gap, n >= 2 AND (parents = 1 OR (no_module = 0 AND modules = 1)) AS coherent FROM t LEFT JOIN o USING (query))
-SELECT query, top_score, effective_gap, coherent, CASE WHEN top_score = 0 THEN 'weak' WHEN effective_gap < top_score * 0.02 THEN CASE WHEN coherent OR top_score >= 0.012 THEN 'mixed' ELSE 'weak' END WHEN top_score >= 0.012 AND effective_gap >= 0.001 THEN 'strong' WHEN top_score >= 0.008 THEN 'mixed' ELSE 'weak' END AS confidence FROM g""",
-)
+SELECT query, top_score, effective_gap, coherent, CASE WHEN top_score = 0 THEN 'weak' WHEN effective_gap < top_score * 0.02 THEN CASE WHEN coherent OR top_score >= 0.012 THEN 'mixed' ELSE 'weak' END WHEN top_score >= 0.012 AND effective_gap >= 0.001 THEN 'strong' WHEN top_score >= 0.008 THEN 'mixed' ELSE 'weak' END AS confidence FROM g"""
+
+
+@search.add("q08_confidence_ladder", ALL + CONFIDENCE)
 def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = ranked(spark, sf_dir).join(typed_documents(spark, sf_dir), "doc", "left")
     return R.confidence(r, "path", "module")
@@ -312,7 +311,15 @@ def q100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bootstrap_interval(q, "qa_id", "query_time_ms").select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
-@search.add("q101_rescued_confidence")
+_IDENTIFIER = r"""(regexp_matches(q, '`[^`]+`|(?:^|\s)[\w./-]+\.(?:ts|tsx|js|jsx|py|rs|go|sql)\b|\*\.(?:ts|tsx|js|jsx|py|rs|go|sql)\b|\bTraceback\b|\bError:|\bException:|\bat\s+line\s+\d+\b') OR len(list_filter(regexp_extract_all(q, '\b[A-Z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\b'), lambda w: length(w) >= 8)) > 0)"""
+
+
+@search.add(
+    "q101_rescued_confidence",
+    f"""WITH sure AS ({ALL}{CONFIDENCE}), anchored AS ({ALL}, {TYPED} SELECT DISTINCT r.query, true AS anchored FROM ranked r JOIN typed USING (doc) WHERE r.rank <= 3 AND node_type IN ('module_card', 'memory_card', 'domain_term', 'episodic_example')),
+asked AS (SELECT DISTINCT qa_id AS query, coalesce(query, '') AS q FROM qa_log WHERE qa_id % 50 = 0)
+SELECT query, CASE WHEN confidence = 'weak' AND ((top_score >= 0.0072 AND coalesce(anchored, false)) OR (top_score >= 0.00752 AND {_IDENTIFIER})) THEN 'mixed' ELSE confidence END AS confidence FROM sure JOIN asked USING (query) LEFT JOIN anchored USING (query)""",
+)
 def q101(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.overlay import IDENTIFIER_SHAPE
 

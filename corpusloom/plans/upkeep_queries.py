@@ -13,6 +13,7 @@ from ..operators.retrieval import top_k
 from ..session import table
 from .module_queries import FOLDER
 from .registry import Registry
+from .module_queries import FOLDER
 from .search_queries import ALL, EDGES_SQL, NOW, TYPED, WORDS, call_edges, questions, ranked, typed_documents
 
 upkeep = Registry()
@@ -75,7 +76,14 @@ def q80(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "updated_at").orderBy(F.desc_nulls_last("updated_at"), "doc_id").offset(50).limit(25)
 
 
-@upkeep.add("q81_common_folder")
+@upkeep.add(
+    "q81_common_folder",
+    f"""WITH r AS (SELECT DISTINCT qa_id, unnest(result_paths) AS relative_path FROM qa_log), f AS (SELECT qa_id, relative_path, string_split({FOLDER}, '/') AS parts FROM r), total AS (SELECT qa_id, count(*) AS total FROM f GROUP BY qa_id),
+shared AS (SELECT qa_id, p, count(*) AS n FROM (SELECT qa_id, unnest(list_transform(range(1, len(parts) + 1), lambda i: array_to_string(list_slice(parts, 1, i), '/'))) AS p FROM f) GROUP BY ALL),
+deep AS (SELECT qa_id, arg_max(regexp_extract(p, '([^/]*)$', 1), length(p)) AS common FROM shared JOIN total USING (qa_id) WHERE n = total AND p <> '.' AND regexp_extract(p, '([^/]*)$', 1) NOT IN ('src', 'lib', 'app', 'main') GROUP BY qa_id),
+usual AS (SELECT qa_id, first(parent ORDER BY n DESC, parent) AS usual FROM (SELECT qa_id, parts[-1] AS parent, count(*) AS n FROM f GROUP BY ALL) GROUP BY qa_id)
+SELECT qa_id, coalesce(common, usual) AS name FROM usual LEFT JOIN deep USING (qa_id)""",
+)
 def q81(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name for the files that each answer refers to."""
     q = table(spark, sf_dir, "qa_log").select("qa_id", F.explode("result_paths").alias("path")).distinct()
