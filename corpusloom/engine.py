@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import graph, memory, modules, retrieval
+from .operators import code, graph, memory, modules, retrieval
 from .operators.embedding import Embed, embed_column
 from .operators.incremental import ManifestTable
 from .operators.lexical_index import LexicalIndex, VectorStore
@@ -115,8 +115,9 @@ class Engine:
     def call_edges(self) -> DataFrame:
         """(src, dst, confidence, score): names called in excerpts, resolved to excerpts."""
         c = self.table("chunks").dropDuplicates(["id"])
-        calls = c.select(F.col("id").alias("caller_id"), F.explode(F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]{3,})\("), 1)).alias("callee_name")).distinct()
-        edges = calls.select(F.concat_ws("\x1f", "caller_id", "callee_name").alias("edge_id"), "caller_id", "callee_name", F.lit(None).cast("string").alias("callee_module"))
+        found = code.calls(c, "id", "content", "parent_name").distinct().join(c.select("id", "file_id"), "id")
+        calls = code.with_imports(found, "id", "file_id", code.import_map(c, "file_id", "content"))
+        edges = calls.select(F.concat_ws("\x1f", "id", "callee_name", "callee_module").alias("edge_id"), F.col("id").alias("caller_id"), "callee_name", "callee_module")
         done = graph.resolve_edges(edges, c, self.table("files")).filter("chunk_id is not null")
         return done.select(F.split("edge_id", "\x1f")[0].alias("src"), F.col("chunk_id").alias("dst"), "confidence", graph.score_of(F.col("confidence")).alias("score"))
 

@@ -103,6 +103,68 @@ def code_chunks(df: DataFrame, key: str, text: str, most: int = MOST, overlap: i
     return out.withColumnRenamed("k", key)
 
 
+_FROM = re.compile(r"^[ \t]*from[ \t]+([\w.]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n#]+)", re.M)
+_PLAIN = re.compile(r"^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)[ \t]*(;?)[ \t]*$", re.M)
+_SCRIPT = re.compile(r"^[ \t]*import[ \t]+(?:type[ \t]+)?([^'\"\n;]*?|\{[^}]*\}|\w+[ \t]*,[ \t]*\{[^}]*\})[ \t\n]*from[ \t]*['\"]([^'\"\n]+)['\"]", re.M)
+_REQUIRE = re.compile(r"^[ \t]*(?:const|let|var)[ \t]+(\w+|\{[^}]*\})[ \t]*=[ \t]*require\([ \t]*['\"]([^'\"\n]+)['\"][ \t]*\)", re.M)
+_USE = re.compile(r"^[ \t]*(?:pub[ \t]+)?use[ \t]+((?:\w+::)+)(\w+|\{[^}]*\})(?:[ \t]+as[ \t]+(\w+))?[ \t]*;", re.M)
+
+
+def _listed(names: str) -> list[str]:
+    """Local names of a list of imported ones; 'a as b' and 'a: b' are b."""
+    found = (re.split(r"\s+as\s+|\s*:\s*", x.strip())[-1].strip() for x in names.strip("(){} \t\n").split(","))
+    return [x for x in found if re.fullmatch(r"[\w$]+", x)]
+
+
+def import_map_of(text: str | None) -> dict[str, str]:
+    """Local name to module of a source text (Python, TypeScript and JavaScript, Rust, Java); the first import of a name counts."""
+    out: dict[str, str] = {}
+    if not text:
+        return out
+    for m in _SCRIPT.finditer(text):
+        for part in re.findall(r"\{[^}]*\}|\*\s*as\s+\w+|\w+", m[1]):
+            for name in _listed(part) if part.startswith("{") else [part.split()[-1].lstrip("*")]:
+                out.setdefault(name, m[2])
+    for m in _REQUIRE.finditer(text):
+        for name in _listed(m[1]):
+            out.setdefault(name, m[2])
+    for m in _FROM.finditer(text):
+        for name in _listed(m[2]):
+            out.setdefault(name, m[1])
+    for m in _PLAIN.finditer(text):
+        for part in m[1].split(","):
+            words = part.split()
+            local = words[-1].rsplit(".", 1)[-1] if m[2] else words[-1] if len(words) > 1 else words[0].split(".")[0]
+            out.setdefault(local, words[0].rpartition(".")[0] or words[0] if m[2] else words[0])
+    for m in _USE.finditer(text):
+        for name in [m[3]] if m[3] else _listed(m[2]):
+            out.setdefault(name, m[1].removesuffix("::"))
+    return out
+
+
+def import_map(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, local, module): the names that each text imports, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, name, module) for k, t in zip(*(c.to_pylist() for c in batch.columns)) for name, module in import_map_of(t).items()]
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=["k", "local", "module"])
+
+    out = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInArrow(run, "k string, local string, module string")
+    return out.groupBy("k", "local").agg(F.min("module").alias("module")).withColumnRenamed("k", key)
+
+
+def with_imports(call_rows: DataFrame, key: str, scope: str, imported: DataFrame) -> DataFrame:
+    """Calls (key, scope, callee_name, callee_module) with the module their file imports the name from, where none is known yet.
+
+    ``imported`` is (scope, local, module), the import map of the whole file.
+    """
+    known = imported.select(scope, F.col("local").alias("callee_name"), "module")
+    joined = call_rows.join(known, [scope, "callee_name"], "left")
+    return joined.select(key, scope, "callee_name", F.coalesce("callee_module", "module").alias("callee_module"))
+
+
 def calls(df: DataFrame, key: str, text: str, parent: str) -> DataFrame:
     """(key, callee_name, callee_module): names a text calls, without the languages' own; calls on itself name the class."""
 

@@ -200,9 +200,11 @@ def resolve_edges(edges: DataFrame, chunks: DataFrame, files: DataFrame) -> Data
     ends = e.filter(F.contains("callee_name", F.lit("."))).join(dotted, "callee_name").filter((F.col("qualified_name") == F.col("callee_name")) | F.col("qualified_name").endswith(F.concat(F.lit("."), "callee_name")) | F.col("qualified_name").endswith(F.concat(F.lit("::"), "callee_name")))
     rule2 = pick(ends.withColumn("place", F.struct(F.when(F.col("qualified_name") == F.col("callee_name"), 0).otherwise(1), "qualified_name"))).select("edge_id", "chunk_id", F.lit("inferred").alias("confidence"), F.lit(3).alias("rule"))
 
-    by_name = c.select(F.col("name").alias("callee_name"), "chunk_id", "file_id")
-    same_name = e.join(by_name, "callee_name").withColumn("place", F.when(F.col("file_id") == F.col("caller_file"), 0).otherwise(1))
-    counted = same_name.groupBy("edge_id").agg(F.count_distinct("chunk_id").alias("n"), F.min_by("chunk_id", F.struct("place", "chunk_id")).alias("chunk_id"), F.min("place").alias("place"), F.first(common).alias("common"), F.first(F.col("callee_module").isNotNull()).alias("context"))
+    # a common name is reduced to its number and first excerpt, in all and for each file, before any edge meets it
+    per_file = c.filter("name is not null").groupBy(F.col("name").alias("callee_name"), "file_id").agg(F.min("chunk_id").alias("here"))
+    per_name = c.filter("name is not null").groupBy(F.col("name").alias("callee_name")).agg(F.count("*").alias("n"), F.min("chunk_id").alias("anywhere"))
+    at_home = per_file.withColumnRenamed("file_id", "caller_file")
+    counted = e.join(per_name, "callee_name").join(at_home, ["callee_name", "caller_file"], "left").select("edge_id", "n", F.coalesce("here", "anywhere").alias("chunk_id"), F.when(F.col("here").isNotNull(), 0).otherwise(1).alias("place"), common.alias("common"), F.col("callee_module").isNotNull().alias("context"))
     alone, many = F.col("n") == 1, ~F.col("common") | F.col("context")
     rule3 = counted.filter(alone | many).select("edge_id", "chunk_id", F.when(alone, F.when(many, "inferred").otherwise("ambiguous")).otherwise(F.when(F.col("place") == 0, "inferred").otherwise("ambiguous")).alias("confidence"), F.lit(4).alias("rule"))
 
@@ -212,5 +214,5 @@ def resolve_edges(edges: DataFrame, chunks: DataFrame, files: DataFrame) -> Data
     target = c.select("chunk_id", F.col("file_id").alias("target_file"))
     reach = first.filter("confidence != 'ambiguous' and chunk_id is not null").join(target, "chunk_id").filter("caller_file != target_file").select("caller_file", "target_file").distinct()
     doubtful = first.filter("confidence = 'ambiguous' and chunk_id is not null")
-    raised = doubtful.join(by_name.select("callee_name", F.col("chunk_id").alias("other"), F.col("file_id").alias("target_file")), "callee_name").join(reach, ["caller_file", "target_file"]).groupBy("edge_id").agg(F.min("other").alias("other"))
+    raised = doubtful.join(reach, "caller_file").join(per_file.withColumnRenamed("file_id", "target_file"), ["callee_name", "target_file"]).groupBy("edge_id").agg(F.min("here").alias("other"))
     return first.join(raised, "edge_id", "left").select("edge_id", F.coalesce("other", "chunk_id").alias("chunk_id"), F.when(F.col("other").isNotNull(), "inferred").otherwise(F.col("confidence")).alias("confidence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -80,6 +80,38 @@ def q19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(key[0].alias("caller_id"), key[1].alias("callee_name"), "chunk_id", "confidence")
 
 
+@graph.add(
+    "q105_resolution_rules",
+    rf"""WITH c AS (SELECT DISTINCT id AS chunk_id, file_id, project_id, name, qualified_name, parent_name FROM chunks), f AS (SELECT id AS file_id, min(relative_path) AS path FROM files GROUP BY id),
+b AS (SELECT c.*, path, regexp_replace(path, '\.[^./]+$', '') AS stem, lead(name) OVER w AS nname, lead(qualified_name) OVER w AS nq, lead(regexp_replace(path, '\.[^./]+$', '')) OVER w AS nstem FROM c LEFT JOIN f USING (file_id) WINDOW w AS (PARTITION BY project_id ORDER BY chunk_id)),
+e AS (SELECT * FROM (SELECT chunk_id || '-0' AS edge_id, file_id AS caller_file, name AS callee, '__self__::' || parent_name AS module FROM b WHERE parent_name IS NOT NULL UNION ALL SELECT chunk_id || '-1', file_id, nname, nstem FROM b
+  UNION ALL SELECT chunk_id || '-2', file_id, nullif(regexp_extract(nq, '[^.]+\.[^.]+$'), ''), NULL FROM b UNION ALL SELECT chunk_id || '-3', file_id, nname, NULL FROM b) WHERE callee IS NOT NULL),
+r0 AS (SELECT edge_id, min(x.chunk_id) AS chunk_id, CASE WHEN count(*) = 1 THEN 'extracted' ELSE 'inferred' END AS confidence, 0 AS rule FROM e JOIN c x ON x.name = callee AND '__self__::' || x.parent_name = module GROUP BY edge_id),
+r1 AS (SELECT edge_id, arg_min(x.chunk_id, (x.path, x.chunk_id)) AS chunk_id, 'extracted' AS confidence, 1 AS rule FROM e JOIN b x ON x.name = callee AND (x.stem = module OR './' || x.stem = module OR replace(x.stem, '/', '.') = module
+  OR (regexp_matches(x.stem, '(^|/)index$') AND regexp_replace(x.stem, '/?[^/]*$', '') = module)) WHERE module NOT LIKE '__self__::%' GROUP BY edge_id),
+r2 AS (SELECT edge_id, arg_min(x.chunk_id, (CASE WHEN x.qualified_name = callee THEN 0 ELSE 1 END, x.qualified_name, x.chunk_id)) AS chunk_id, 'inferred' AS confidence, 3 AS rule FROM e JOIN c x ON x.qualified_name = callee OR ends_with(x.qualified_name, '.' || callee) WHERE contains(callee, '.') GROUP BY edge_id),
+cand AS (SELECT edge_id, callee, module, caller_file, x.chunk_id, x.file_id AS target, CASE WHEN x.file_id = caller_file THEN 0 ELSE 1 END AS place FROM e JOIN c x ON x.name = callee),
+g AS (SELECT edge_id, count(*) AS n, arg_min(chunk_id, (place, chunk_id)) AS chunk_id, min(place) AS place, lower(any_value(callee)) IN ({', '.join(f"'{x}'" for x in G.COMMON_NAMES)}) AS common, count(module) > 0 AS context FROM cand GROUP BY edge_id),
+r3 AS (SELECT edge_id, chunk_id, CASE WHEN n = 1 THEN CASE WHEN NOT common OR context THEN 'inferred' ELSE 'ambiguous' END WHEN place = 0 THEN 'inferred' ELSE 'ambiguous' END AS confidence, 4 AS rule FROM g WHERE n = 1 OR NOT common OR context),
+best AS (SELECT edge_id, arg_min(chunk_id, rule) AS chunk_id, arg_min(confidence, rule) AS confidence FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) GROUP BY edge_id),
+reach AS (SELECT DISTINCT caller_file, c.file_id AS target FROM best JOIN e USING (edge_id) JOIN c USING (chunk_id) WHERE confidence <> 'ambiguous' AND caller_file <> c.file_id),
+raised AS (SELECT best.edge_id, min(cand.chunk_id) AS other FROM best JOIN cand USING (edge_id) JOIN reach r ON r.caller_file = cand.caller_file AND r.target = cand.target WHERE confidence = 'ambiguous' GROUP BY best.edge_id)
+SELECT e.edge_id, coalesce(other, best.chunk_id) AS chunk_id, CASE WHEN other IS NOT NULL THEN 'inferred' ELSE coalesce(confidence, 'ambiguous') END AS confidence FROM e LEFT JOIN best USING (edge_id) LEFT JOIN raised USING (edge_id)""",
+)
+def q105(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every excerpt as a caller: of its own class, of the next excerpt through its module, by a dotted and by a plain name."""
+    c = table(spark, sf_dir, "chunks").dropDuplicates(["id"])
+    f = table(spark, sf_dir, "files").select(F.col("id").alias("file_id"), F.regexp_replace("relative_path", r"\.[^./]+$", "").alias("stem")).dropDuplicates(["file_id"])
+    w = Window.partitionBy("project_id").orderBy("id")
+    b = c.join(f, "file_id", "left").select("id", "name", "parent_name", F.lead("name").over(w).alias("next"), F.lead("qualified_name").over(w).alias("next_q"), F.lead("stem").over(w).alias("next_stem"))
+    none = F.lit(None).cast("string")
+    dotted = F.nullif(F.regexp_extract("next_q", r"[^.]+\.[^.]+$", 0), F.lit(""))
+    edge = lambda n, name, module: F.struct(F.concat("id", F.lit(f"-{n}")).alias("edge_id"), F.col("id").alias("caller_id"), name.alias("callee_name"), module.alias("callee_module"))
+    own = F.when(F.col("parent_name").isNotNull(), F.col("name"))
+    edges = b.select(F.inline(F.array(edge(0, own, F.concat(F.lit("__self__::"), "parent_name")), edge(1, F.col("next"), F.col("next_stem")), edge(2, dotted, none), edge(3, F.col("next"), none)))).filter("callee_name is not null")
+    return G.resolve_edges(edges, c, table(spark, sf_dir, "files"))
+
+
 @graph.add(
     "q20_subgraph_nhop",
     f"""WITH {EDGES_SQL}, s AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) WHERE src <> dst), h0 AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 50 = 0),

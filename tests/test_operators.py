@@ -352,3 +352,33 @@ def test_hyperplanes_miss_little(threshold, n):
 
     bands, bits = hyperplanes(threshold, n)
     assert bands <= 512 and (1 - (1 - math.acos(threshold) / math.pi) ** bits) ** bands <= 1.01e-5
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("from a.b import c, d as e\nfrom . import (f,\n    g as h)\nimport os, json as j\nimport x.y\n", {"c": "a.b", "e": "a.b", "f": ".", "h": ".", "os": "os", "j": "json", "x": "x.y"}),
+        ("import D, { a as b, c } from './lib/q';\nimport * as ns from \"m\";\nimport type { T } from 't';\nconst { r, s: u } = require('w');\nconst v = require('z')", {"D": "./lib/q", "b": "./lib/q", "c": "./lib/q", "ns": "m", "T": "t", "r": "w", "u": "w", "v": "z"}),
+        ("use a::b::C;\nuse x::{y, z as q};\nimport org.pkg.Thing;", {"C": "a::b", "y": "x", "q": "x", "Thing": "org.pkg"}),
+        (None, {}),
+        ("text only", {}),
+    ],
+)
+def test_import_maps(text, want):
+    from corpusloom.operators.code import import_map_of
+
+    assert import_map_of(text) == want
+
+
+def test_imported_calls_are_resolved(spark):
+    from corpusloom.operators import code
+
+    chunks = spark.createDataFrame(
+        [("h", "f1", "from lib.store import load_rows\n", None, None), ("c", "f1", "def caller():\n    return load_rows(1)\n", "caller", None), ("t", "f2", "def load_rows(n):\n    return n\n", "load_rows", None), ("o", "f3", "def load_rows(n):\n    return 2\n", "load_rows", None)],
+        "id string, file_id string, content string, name string, parent_name string",
+    ).withColumn("qualified_name", F.col("name"))
+    files = spark.createDataFrame([("f1", "app/main.py"), ("f2", "lib/store.py"), ("f3", "a/other.py")], "id string, relative_path string")
+    found = code.calls(chunks, "id", "content", "parent_name").distinct().join(chunks.select("id", "file_id"), "id")
+    edges = code.with_imports(found, "id", "file_id", code.import_map(chunks, "file_id", "content")).filter("callee_name = 'load_rows'")
+    got = G.resolve_edges(edges.select(F.lit("e").alias("edge_id"), F.col("id").alias("caller_id"), "callee_name", "callee_module"), chunks, files).collect()
+    assert [tuple(r) for r in got] == [("e", "t", "extracted")]
