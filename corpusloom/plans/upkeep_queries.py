@@ -204,3 +204,32 @@ def q98(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines between an excerpt and the one before it."""
     c = table(spark, sf_dir, "chunks").select("id", "file_id", "start_line", "end_line").distinct()
     return c.select("id", (F.col("start_line") - F.lag("end_line").over(Window.partitionBy("file_id").orderBy("start_line", "end_line", "id")) - 1).alias("gap"))
+
+
+@upkeep.add(
+    "q106_module_slots",
+    """SELECT DISTINCT qa_id, CASE WHEN regexp_matches(q, '이유|배경|목적|의도|동기|취지|(?:^|\\s)왜') OR regexp_matches(lower(q), '\\b(?:rationale|why|reason|reasons|motivation|purpose|intent|background)\\b')
+  OR len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: regexp_matches(w, '^(?:[a-zA-Z_][a-zA-Z0-9_]*(?:[A-Z][a-z]+)+[a-zA-Z0-9_]*|[a-z][a-z0-9]*(?:_[a-z0-9]+)+|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[a-zA-Z_][A-Za-z0-9_]*\\.[a-zA-Z_][A-Za-z0-9_]*)$'))) > 0 THEN 0
+  WHEN length(regexp_replace(q, '[^가-힣]', '', 'g')) > 0.5 * length(regexp_replace(q, '[^\\p{L}]', '', 'g')) AND length(regexp_replace(q, '[^\\p{L}]', '', 'g')) > 0 THEN 3 ELSE 2 END AS slots
+FROM (SELECT qa_id, regexp_replace(coalesce(query, ''), '^\\s+|\\s+$', '', 'g') AS q FROM qa_log)""",
+)
+def q106(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.planning import module_slots
+
+    return table(spark, sf_dir, "qa_log").select("qa_id", module_slots(F.col("query")).alias("slots")).distinct()
+
+
+@upkeep.add(
+    "q107_module_plan",
+    """WITH RECURSIVE n AS (SELECT p_partkey AS node, p_brand || '/' || p_type || '/' || p_partkey AS path, p_brand || '/' || p_type AS dir FROM part), e AS (SELECT DISTINCT kept_qa_id AS a, archived_qa_id AS b FROM dup_pairs WHERE kept_qa_id <> archived_qa_id),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node),
+placed AS (SELECT n.*, component FROM n LEFT JOIN c USING (node)), sized AS (SELECT *, CASE WHEN component IS NOT NULL THEN count(*) OVER (PARTITION BY component) END AS size, CASE WHEN component IS NULL THEN count(*) FILTER (component IS NULL) OVER (PARTITION BY dir) END AS alone FROM placed)
+SELECT node, CASE WHEN component IS NULL THEN 'folder:' || CASE WHEN alone >= 2 THEN dir ELSE split_part(dir, '/', 1) END WHEN size > 2 THEN 'part:' || component || ':' || dir ELSE 'component:' || component END AS module FROM sized""",
+)
+def q107(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the members of modules, linked where the recorded duplicates link their numbers; components of three and more are split."""
+    from ..operators.planning import module_plan
+
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.concat_ws("/", "p_brand", "p_type", F.col("p_partkey").cast("string")).alias("path"))
+    e = table(spark, sf_dir, "dup_pairs").select(F.col("kept_qa_id").alias("src"), F.col("archived_qa_id").alias("dst"), F.lit("extracted").alias("confidence"))
+    return module_plan(e, p, largest=2).select("node", "module")
