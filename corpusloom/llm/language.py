@@ -47,6 +47,9 @@ SCRIPT = 4
 #: A word counts as known from so many training rows on; a segment of one known word is enough, of unknown words two.
 KNOWN = 4
 
+#: A Latin segment of at most so many words and less than this confidence is doubtful.
+DOUBT_WORDS, DOUBT = 6, 0.6
+
 _HARNESS = re.compile(r"(?is)<([a-z]+(?:-[a-z]+)+|command|caveat|environment|stdin|stdout|stderr|instructions)(?:\s[^<>]*+)?>.*?(?:</\1\s*>|\Z)|\[request (?:was )?(?:interrupted|aborted|cancell?ed)[^\]]*\]|\(no content\)")
 _FENCE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)")
 _INLINE = re.compile(r"`[^`\n]*`")
@@ -181,12 +184,13 @@ class LanguageModel:
 
     def guess(self, words: Sequence[str]) -> Guess:
         known = sum(self._word(w)[2] for w in words)
-        if not known and len(words) < 2 and words[0].isascii():
-            return Guess(None, 0.0)
+        if not known and len(words) < 3 and all(w.isascii() for w in words):
+            return Guess(None, 0.0)  # a name rather than a phrase
         p = self.probabilities(words)
         best = int(np.argmax(p))
-        if p[best] < self.threshold or (len(words) >= NOVEL_WORDS and known < self.least_known * len(words)) or (known == 0 and all(w.isascii() for w in words) and len(words) < 3):
-            return Guess(None, float(p[best]))
+        novel = len(words) >= NOVEL_WORDS and known < self.least_known * len(words) and p[best] < DOUBT
+        if p[best] < self.threshold or novel:
+            return Guess(OTHER, float(p[best]))
         return Guess(LANGUAGES[best], float(p[best]))
 
 
@@ -256,17 +260,18 @@ def train(rows: Sequence[tuple[str, str]]) -> LanguageModel:
     return LanguageModel(table.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32), temperature, threshold, common, least_known)
 
 
-def rejection(sure: np.ndarray, right: np.ndarray, bins: int = 40) -> float:
+def rejection(sure: np.ndarray, right: np.ndarray, bins: int = 40, least: int = 50) -> float:
     """The confidence below which a guess is less likely right than wrong.
 
     Labels themselves are partly wrong, so the share that agrees among the surest half stands for certainty. Guesses are taken
-    in bins of equal numbers from the least sure on; the threshold is the end of the last bin of which less than half is right.
+    in bins of equal numbers, of ``least`` or more, from the least sure on; the threshold is the end of the last bin of which less than half is right. Where
+    there is none, it is the least confidence seen, or a half where all were surer than that.
     """
     order = np.argsort(sure, kind="stable")
     certain = max(right[order[len(order) // 2 :]].mean(), 1e-9)
-    parts = [part for part in np.array_split(order, bins) if len(part)]
+    parts = [part for part in np.array_split(order, max(1, min(bins, len(order) // least))) if len(part)]
     doubtful = [k for k, part in enumerate(parts[: len(parts) // 2]) if right[part].mean() / certain < 0.5]
-    return float(sure[parts[doubtful[-1]]].max()) if doubtful else float(sure.min())
+    return float(sure[parts[doubtful[-1]]].max()) if doubtful else min(float(sure.min()), 0.5)
 
 
 def sample(rows: DataFrame, key: str, text: str, label: str, size: int = SAMPLE) -> list[tuple[str, str]]:
@@ -280,23 +285,19 @@ def sample(rows: DataFrame, key: str, text: str, label: str, size: int = SAMPLE)
     return [(r[0], r[1]) for r in chosen.collect()]
 
 
-#: A Latin segment of at most so many words and less than this confidence is doubtful.
-DOUBT_WORDS, DOUBT = 6, 0.6
-
-
 def text_languages(model: LanguageModel, text: str | None) -> list[tuple[str, str, float]]:
     """(segment, language, confidence) of each segment, ``OTHER`` for what is rejected; a short doubtful one goes with the nearest sure one if that is likely enough."""
-    found = [(part, words, model.guess(words)) for part, words in segments(text)]
-    sure = [i for i, (_, words, g) in enumerate(found) if g.lang is not None and not _doubtful(words, g)]
+    found = [(part, words, g) for part, words in segments(text) if (g := model.guess(words)).lang is not None]
+    sure = [i for i, (_, words, g) in enumerate(found) if g.lang != OTHER and not _doubtful(words, g)]
     out = []
     for i, (part, words, g) in enumerate(found):
-        if g.lang is not None and sure and _doubtful(words, g):
+        if g.lang != OTHER and sure and _doubtful(words, g):
             k = bisect_left(sure, i)
             other = found[min(sure[max(k - 1, 0) : k + 1], key=lambda j: (abs(j - i), j))][2].lang
             p = float(model.probabilities(words)[LANGUAGES.index(other)])
             if p >= 0.25 * g.confidence:
                 g = Guess(other, p)
-        out.append((part, g.lang or OTHER, g.confidence))
+        out.append((part, g.lang, g.confidence))
     return out
 
 
