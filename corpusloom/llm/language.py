@@ -188,7 +188,9 @@ class LanguageModel:
             return Guess(None, 0.0)  # a name rather than a phrase
         p = self.probabilities(words)
         best = int(np.argmax(p))
-        novel = len(words) >= NOVEL_WORDS and known < self.least_known * len(words) and p[best] < DOUBT
+        # words of other scripts carry particles and are seldom met again, so only their confidence counts
+        stranger = not known and all(w < "\u0300" for w in words)
+        novel = len(words) >= NOVEL_WORDS and (stranger or (known < self.least_known * len(words) and p[best] < DOUBT))
         if p[best] < self.threshold or novel:
             return Guess(OTHER, float(p[best]))
         return Guess(LANGUAGES[best], float(p[best]))
