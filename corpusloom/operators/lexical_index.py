@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialise
 from .incremental import ManifestTable
 from .retrieval import _bm25, vector_topk
 
 
+#: Terms up to which a search hands them to the scan.
+FEW_TERMS = 256
+
+
 class LexicalIndex:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.lists = spark, ManifestTable(spark, folder)
@@ -39,8 +43,11 @@ class LexicalIndex:
     def search(self, queries: DataFrame, query: str, text: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(query, doc, score, rank), as ``bm25_topk`` gives over the live documents; only the lists of asked terms are read."""
         q = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-        asked = broadcast_if_small(q.select("term").union(self.spark.createDataFrame([("",)], "term string")).distinct(), "terms")
-        return _bm25(self.lists.live().join(asked, "term", "left_semi"), q, k, k1, b)
+        asked = q.select("term").union(self.spark.createDataFrame([("",)], "term string")).distinct()
+        few = [r["term"] for r in asked.limit(FEW_TERMS + 1).collect()]
+        # a few terms reach the scan, which skips the row groups of others; more are joined
+        chosen = self.lists.live().filter(F.col("term").isin(few)) if len(few) <= FEW_TERMS else self.lists.live().join(broadcast_if_small(asked, "terms"), "term", "left_semi")
+        return _bm25(materialise(chosen, "postings"), q, k, k1, b)
 
 
 class VectorStore:
