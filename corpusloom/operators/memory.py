@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_empty, path_tokens, rerank_tokens, strip
+from ..session import materialise
 from .retrieval import top_k
 from .sessions import with_previous
-from .setjoin import set_similarity_join
+from .setjoin import similar_classes
 
 
 def seconds(ts: str) -> Column:
@@ -26,14 +27,23 @@ def repeated_within(rows: DataFrame, keys: list[str], ts: str, order: str, windo
 
 
 def near_duplicates(rows: DataFrame, key: str, text: str, ts: str, within: list[str], days: float = 7.0, threshold: float = 0.85) -> DataFrame:
-    """(key) of records that ask nearly the same as an earlier one of the last days."""
+    """(key) of records that ask nearly the same as an earlier one of the last days; of equal times the larger key is the later.
+
+    No pair of records is written out. Each class of equal questions keeps its first and last moment of each span of so many
+    days; a record looks at these for the classes linked to its own, in its span and the one before.
+    """
     r = rows.select(F.col(key).alias("id"), *within, F.col(ts).alias("ts"), rerank_tokens(F.col(text)).alias("tokens"))
-    pairs = set_similarity_join(r, "id", "tokens", threshold, within)
-    at = r.select("id", "ts").dropDuplicates(["id"])
-    timed = pairs.join(at.select(F.col("id").alias("a"), F.col("ts").alias("ta")), "a").join(at.select(F.col("id").alias("b"), F.col("ts").alias("tb")), "b")
-    gap = F.abs(seconds("ta") - seconds("tb"))
-    later = F.when((F.col("ta") < F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b"))), F.col("b")).otherwise(F.col("a"))
-    return timed.filter(gap <= days * 86_400).select(later.alias(key)).distinct()
+    members, links = similar_classes(r, "id", "tokens", threshold, within)
+    width = int(days * 86_400_000_000)
+    at = r.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).filter("at is not null").dropDuplicates(["id"])
+    m = materialise(members.join(at, "id").withColumn("span", F.floor(F.col("at") / width)), "members")
+    spans = m.groupBy("rep", "span").agg(F.min(F.struct("at", "id")).alias("first"), F.max("at").alias("last"))
+    sources = links.select(F.col("a").alias("rep"), F.col("b").alias("source")).union(links.select("b", "a")).union(m.filter("n > 1").select("rep", F.col("rep").alias("source")).distinct())
+    asked = m.join(sources, "rep").select("id", "at", "span", "source")
+    here = spans.select(F.col("rep").alias("source"), "span", "first")
+    before = spans.select(F.col("rep").alias("source"), (F.col("span") + 1).alias("span"), "last")
+    seen = asked.join(here, ["source", "span"], "left").join(before, ["source", "span"], "left")
+    return seen.filter((F.col("first") < F.struct("at", "id")) | (F.col("last") >= F.col("at") - width)).select(F.col("id").alias(key)).distinct()
 
 
 def stale(rows: DataFrame, key: str, references: str, scope: str, known: DataFrame) -> DataFrame:

@@ -14,13 +14,10 @@ from ..functions.text import jaccard
 from ..session import materialise
 
 
-def set_similarity_join(rows: DataFrame, key: str, tokens: str, threshold: float, within: list[str] | None = None) -> DataFrame:
-    """(a, b, similarity): all pairs of rows whose token sets overlap by at least the threshold, a < b; exact.
+def similar_classes(rows: DataFrame, key: str, tokens: str, threshold: float, within: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, rep, n) of each row, rows with equal sets sharing the smallest id and their number; (a, b, similarity) of classes that reach the threshold.
 
-    Tokens are ordered from rare to common. Two sets can only reach the threshold if they share a token among their first
-    n - ceil(threshold * n) + 1, so only these prefixes are joined: common tokens hardly ever take part. Sets that are equal
-    form a class that is joined once and expanded at the end. ``within`` names columns that both rows must have in common.
-    Rows with an empty or null set pair with none.
+    Nothing is expanded: see ``set_similarity_join`` for the pairs of rows.
     """
     within = within or []
     base = rows.select(F.col(key).alias("id"), *within, F.array_sort(F.array_distinct(tokens)).alias("set")).filter("id is not null and size(set) > 0").dropDuplicates(["id"])
@@ -38,6 +35,18 @@ def set_similarity_join(rows: DataFrame, key: str, tokens: str, threshold: float
     candidates = a.join(b, [*within, "token"]).filter((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
     sa, sb = reps.select(F.col("id").alias("a"), F.col("set").alias("sa")), reps.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     scored = candidates.join(sa, "a").join(sb, "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
+    return members, scored
+
+
+def set_similarity_join(rows: DataFrame, key: str, tokens: str, threshold: float, within: list[str] | None = None) -> DataFrame:
+    """(a, b, similarity): all pairs of rows whose token sets overlap by at least the threshold, a < b; exact.
+
+    Tokens are ordered from rare to common. Two sets can only reach the threshold if they share a token among their first
+    n - ceil(threshold * n) + 1, so only these prefixes are joined: common tokens hardly ever take part. Sets that are equal
+    form a class that is joined once and expanded at the end. ``within`` names columns that both rows must have in common.
+    Rows with an empty or null set pair with none.
+    """
+    members, scored = similar_classes(rows, key, tokens, threshold, within)
     x, y = members.filter("n > 1").alias("x"), members.filter("n > 1").alias("y")
     same = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1.0).alias("similarity"))
     of = members.select("id", "rep")

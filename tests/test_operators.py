@@ -382,3 +382,22 @@ def test_imported_calls_are_resolved(spark):
     edges = code.with_imports(found, "id", "file_id", code.import_map(chunks, "file_id", "content")).filter("callee_name = 'load_rows'")
     got = G.resolve_edges(edges.select(F.lit("e").alias("edge_id"), F.col("id").alias("caller_id"), "callee_name", "callee_module"), chunks, files).collect()
     assert [tuple(r) for r in got] == [("e", "t", "extracted")]
+
+
+def test_near_duplicates_match_brute_force(spark):
+    import datetime as dt
+
+    rng, words = random.Random(8), [f"word{i}" for i in range(9)]
+    data = []
+    for i in range(150):
+        q = " ".join(rng.sample(words, rng.choice([7, 8, 9])))
+        data.append((i, rng.choice(["p", "q"]), q, None if i % 40 == 0 else dt.datetime(2026, 1, 1) + dt.timedelta(days=rng.choice([0, 3, 7, 14, 20, 60, rng.random() * 90]))))
+    df = spark.createDataFrame(data + data[:3], "id int, project string, q string, ts timestamp")
+    got = {r["id"] for r in M.near_duplicates(df, "id", "q", "ts", ["project"]).collect()}
+    want = set()
+    for i, p, q, t in data:
+        for j, p2, q2, t2 in data:
+            a, b = set(q.split()), set(q2.split())
+            if i != j and p == p2 and t and t2 and len(a & b) / len(a | b) >= 0.85 and (t2, j) < (t, i) and t - t2 <= dt.timedelta(days=7):
+                want.add(i)
+    assert got == want and want
