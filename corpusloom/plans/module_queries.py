@@ -159,17 +159,17 @@ def q70(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("project_id", "module").agg(F.count("*").alias("files"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@module.add("q71_stream_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+@module.add("q71_stream_tumbling", "SELECT * FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY ALL) WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)")
 def q71(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hourly windows as a stream run to its end."""
+    """The hourly windows that a stream, run to its end, has closed."""
     s = turns.with_event_time(turns.file_stream(spark, sf_dir, "events.parquet"), "ts")
     t = turns.run_to_table(turns.tumbling(s, "ts", "1 hour", ["event_type"], "value"))
     return t.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("total", 6).alias("total"))
 
 
-@module.add("q72_stream_sessions", "SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS ended, count(*) AS events FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 3600000000 THEN 0 ELSE 1 END AS n FROM events)) GROUP BY user_id, s")
+@module.add("q72_stream_sessions", "SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS ended, count(*) AS events FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 3600000000 THEN 0 ELSE 1 END AS n FROM events)) GROUP BY user_id, s HAVING ended <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)")
 def q72(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions as a stream; a session's end is its last event plus the gap."""
+    """Sessions that a stream has closed; a session's end is its last event plus the gap."""
     s = turns.with_event_time(turns.file_stream(spark, sf_dir, "events.parquet"), "ts")
     t = turns.run_to_table(turns.sessions(s, "ts", "1 hour", ["user_id"]))
     return t.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "events")

@@ -58,14 +58,14 @@ def run_once(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int
     query.awaitTermination()
 
 
-def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a bounded stream to its end and give its result as a table."""
-    spark = stream.sparkSession
-    out = scratch(spark, "stream")
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
-
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame) -> DataFrame:
+    """Run a bounded stream to its end and give what it appended as a table.
+
+    Windows and sessions are appended once the watermark has passed their end, and their state is dropped then; those still open
+    at the end of the stream are no result. Each batch is one version of a manifest table, so one that is delivered again is
+    not written twice.
+    """
+    spark, out = stream.sparkSession, scratch(stream.sparkSession, "stream")
+    query = stream.writeStream.outputMode("append").foreachBatch(index_into(out, lambda batch: batch)).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return ManifestTable(spark, out).live()
