@@ -23,11 +23,15 @@ def solid_length(text: Column) -> Column:
 
 
 def overlapping_pieces(df: DataFrame, key: str, text: str, size: int = MOST, overlap: int = OVERLAP) -> DataFrame:
-    """(key, piece, piece_text): pieces of a size, each beginning before the end of the last; short texts stay whole."""
+    """(key, piece, piece_text): pieces of a size, each beginning before the end of the last.
+
+    Texts with no more than ``size`` characters besides white space stay whole.
+    """
     step = size - overlap
-    n = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)).cast("int")
+    short = F.length(F.regexp_replace(text, r"[ \t\n\r\f]", "")) <= size
+    n = F.when(short, 1).otherwise(F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step))).cast("int")
     rows = df.filter(F.length(text) > 0).select(key, text, F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
-    return rows.select(key, "piece", F.substring(F.col(text), F.col("piece") * step + 1, F.lit(size)).alias("piece_text"))
+    return rows.select(key, "piece", F.when(short, F.col(text)).otherwise(F.substring(F.col(text), F.col("piece") * step + 1, F.lit(size))).alias("piece_text"))
 
 
 def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:

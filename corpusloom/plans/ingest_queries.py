@@ -38,7 +38,7 @@ def q40b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "part", F.length("part_text").alias("chars"))
 
 
-@ingest.add("q41_large_split", "SELECT doc_id, i::INTEGER AS piece, md5(substr(text, i * 3000 + 1, 4000)) AS digest FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil((length(text) - 1000) / 3000.0))::BIGINT)) AS i FROM documents WHERE length(text) > 0)")
+@ingest.add("q41_large_split", r"SELECT doc_id, i::INTEGER AS piece, md5(CASE WHEN short THEN text ELSE substr(text, i * 3000 + 1, 4000) END) AS digest FROM (SELECT doc_id, text, short, unnest(range(0, CASE WHEN short THEN 1 ELSE greatest(1, ceil((length(text) - 1000) / 3000.0))::BIGINT END)) AS i FROM (SELECT doc_id, text, length(regexp_replace(text, '[ \t\n\r\f]', '', 'g')) <= 4000 AS short FROM documents WHERE length(text) > 0))")
 def q41(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.overlapping_pieces(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "piece", F.md5("piece_text").alias("digest"))
 
