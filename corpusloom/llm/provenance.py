@@ -180,7 +180,7 @@ def _distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def band_keys(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each set and band; the sets must not be empty."""
+    """One key for each set and band, the band's number above 32 bits of hash; the sets must not be empty."""
     lows = np.empty((BANDS * ROWS, len(begins)), np.uint64)
     out = np.empty((BANDS, len(begins)), np.uint64)
     with np.errstate(over="ignore"):
@@ -191,7 +191,7 @@ def band_keys(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
             for k in range(ROWS):
                 h = (h ^ lows[band * ROWS + k]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            out[band] = h
+            out[band] = np.uint64(band << 32) | h >> np.uint64(32)
     return out.T.copy().view(np.int64)
 
 
@@ -310,8 +310,10 @@ def sketched(files: DataFrame) -> DataFrame:
                     digests[k] = np.frombuffer(blake2b(sets[ends[k] : ends[k + 1]].tobytes(), digest_size=16).digest(), np.int64)
                 name_keys = [int.from_bytes(blake2b(idents[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) if b > a else None for a, b in zip(ident_ends[:-1].tolist(), ident_ends[1:].tolist())]
                 bands, band_ends = np.empty(0, np.int64), np.cumsum(np.r_[0, np.where(np.diff(ends) > 0, BANDS, 0)])
+                tags = np.zeros((rows, BANDS), np.uint32)
                 if len(filled):
-                    bands = band_keys(sets, ends[filled]).ravel()
+                    keys = band_keys(sets, ends[filled])
+                    bands, tags[filled] = keys.ravel(), keys.astype(np.uint32)
                 bitmaps = parity_bitmaps(sets, owner, rows)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -323,7 +325,7 @@ def sketched(files: DataFrame) -> DataFrame:
                         pa.array(digests[:, 1].copy()),
                         pa.array(name_keys, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(band_ends, pa.int32()), pa.array(bands)),
-                        pa.array([x.tobytes() for x in bitmaps], pa.binary()),
+                        pa.array([x.tobytes() + y.tobytes() for x, y in zip(bitmaps, tags)], pa.binary()),
                     ],
                     names=[*names, "shingles", "names", *(x.split()[0] for x in _SKETCH[2:].split(", "))],
                 )
@@ -414,7 +416,8 @@ def _candidates(sets: DataFrame) -> DataFrame:
     """(a, b, across, apart) of classes that share a band and may be similar, a < b.
 
     Every pair of a band is looked at, in blocks of bounded size. It ends here if the sets' sizes or the bits in which their
-    bitmaps differ (``apart``) rule out the similarity; neither test ever ends a pair that has it.
+    bitmaps differ (``apart``) rule out the similarity; neither test ever ends a pair that has it. A pair is given in the first
+    of the bands it shares only, so it comes once: the keys of all bands travel with the bitmap.
     """
     counts = sets.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("many")).filter(F.col("many") > BLOCK)
     crowded = broadcast_if_small(counts.select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "crowded")
@@ -422,9 +425,8 @@ def _candidates(sets: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # one number for each band and pair of blocks; should two ever fall together, their rows only meet needlessly
     group = F.when(F.col("blocks") == 1, F.col("band")).otherwise(F.xxhash64("band", F.least("block", "at"), F.greatest("block", "at")))
-    dealt = dealt.select(group.alias("group"), (F.col("block") == F.col("at")).alias("within"), "block", "uid", F.coalesce("home", F.lit(0).cast("bigint")).alias("home"), "n", "bitmap")
-    met = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_meetings, "a bigint, b bigint, across boolean, apart int")
-    return met.distinct()
+    dealt = dealt.select(group.alias("group"), (F.col("block") == F.col("at")).alias("within"), "block", F.shiftright("band", 32).cast("int").alias("nth"), "uid", F.coalesce("home", F.lit(0).cast("bigint")).alias("home"), "n", "bitmap")
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_meetings, "a bigint, b bigint, across boolean, apart int")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,8 +434,9 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = None
     for batch in chain(batches, [None]):
         if batch is not None:
-            words = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, WORDS)
-            cols = [*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)), words]
+            sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, 8 * WORDS + 4 * BANDS)
+            words, tags = np.ascontiguousarray(sketch[:, : 8 * WORDS]).view(np.uint64), np.ascontiguousarray(sketch[:, 8 * WORDS :]).view(np.uint32)
+            cols = [*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)), words, tags]
             kept = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols)]
         if kept is None or not len(kept[0]):
             continue
@@ -447,7 +450,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs_of(group: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """(a, b, across, apart) of all rows of one group with one another; each row meets the one so many places on, as long as any group is so long."""
-    within, block, uid, home, n, words = cols
+    within, block, nth, uid, home, n, words, tags = cols
     out: list[list[np.ndarray]] = [[], [], [], []]
     left = np.arange(len(group))
     for step in range(1, len(group)):
@@ -462,6 +465,8 @@ def _pairs_of(group: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, ..
         apart = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int32)
         near = apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * (n[i] + n[j]) + 1e-9
         i, j, apart = i[near], j[near], apart[near]
+        once = (tags[i] == tags[j]).argmax(axis=1) == nth[i]
+        i, j, apart = i[once], j[once], apart[once]
         for have, more in zip(out, (np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j]), (home[i] != home[j]) | (home[i] == 0), apart)):
             have.append(more)
     return tuple(np.concatenate(x) if x else np.empty(0, kind) for x, kind in zip(out, (np.int64, np.int64, bool, np.int32)))
