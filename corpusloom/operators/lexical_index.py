@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..session import broadcast_if_small, materialise
+from ..session import broadcast_if_small
 from .incremental import ManifestTable
-from .retrieval import _bm25, vector_topk
+from .retrieval import bm25_scan, vector_topk
 
 
 #: Terms up to which a search hands them to the scan.
@@ -42,12 +42,19 @@ class LexicalIndex:
 
     def search(self, queries: DataFrame, query: str, text: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(query, doc, score, rank), as ``bm25_topk`` gives over the live documents; only the lists of asked terms are read."""
-        q = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-        asked = q.select("term").union(self.spark.createDataFrame([("",)], "term string")).distinct()
-        few = [r["term"] for r in asked.limit(FEW_TERMS + 1).collect()]
+        asked = queries.select(F.col(query).alias("query"), F.array_distinct(words(F.col(text))).alias("terms"))
+        return bm25_scan(self._rows, asked, k, k1, b).drop("part")
+
+    def _rows(self, terms: list[str]) -> DataFrame:
+        """(doc, part, len, w, tf): each live document with those of the terms that it holds."""
+        live = self.lists.live()
         # a few terms reach the scan, which skips the row groups of others; more are joined
-        chosen = self.lists.live().filter(F.col("term").isin(few)) if len(few) <= FEW_TERMS else self.lists.live().join(broadcast_if_small(asked, "terms"), "term", "left_semi")
-        return _bm25(materialise(chosen, "postings"), q, k, k1, b)
+        if len(terms) <= FEW_TERMS:
+            chosen = live.filter(F.col("term").isin("", *terms))
+        else:
+            chosen = live.join(broadcast_if_small(self.spark.createDataFrame([(t,) for t in ["", *terms]], "term string"), "terms"), "term", "left_semi")
+        named = F.when(F.col("term") != "", F.struct("term", F.col("tf").cast("int").alias("tf")))
+        return chosen.groupBy("doc").agg(F.max("len").alias("len"), F.collect_list(named).alias("held")).select("doc", F.lit(0).alias("part"), "len", F.col("held.term").alias("w"), F.col("held.tf").alias("tf"))
 
 
 class VectorStore:
