@@ -16,7 +16,7 @@ from corpusloom.plans.search_queries import BM25
 
 QUERIES = {n: f for r in registries() for n, f in r.queries.items()}
 #: Queries whose scored pairs went to disk.
-SEARCHES = ["q01_bm25_topk", "q03_rrf_fusion"]
+SEARCHES = ["q01_bm25_topk", "q03_rrf_fusion", "q05_lexical_rerank"]
 
 
 @pytest.fixture(scope="module")
