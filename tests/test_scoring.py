@@ -16,7 +16,7 @@ from corpusloom.plans.search_queries import BM25
 
 QUERIES = {n: f for r in registries() for n, f in r.queries.items()}
 #: Queries whose scored pairs went to disk.
-SEARCHES = ["q01_bm25_topk", "q03_rrf_fusion", "q05_lexical_rerank", "q75_generated_ratio", "q04_rrf_authority", "q101_rescued_confidence", "q35_weighted_interleave", "q44_recency_reorder", "q76_unanchored_terms", "q06_memory_boost_decay", "q42_eval_recall_mrr_ndcg", "q45_memory_splice", "q08_confidence_ladder", "q13_snippet", "q34_round_robin_merge", "q43_code_lane_guard", "q46_calibrate_thresholds"]
+SEARCHES = ["q01_bm25_topk", "q03_rrf_fusion", "q05_lexical_rerank", "q75_generated_ratio", "q04_rrf_authority", "q101_rescued_confidence", "q35_weighted_interleave", "q44_recency_reorder", "q76_unanchored_terms", "q06_memory_boost_decay", "q42_eval_recall_mrr_ndcg", "q45_memory_splice", "q08_confidence_ladder", "q13_snippet", "q34_round_robin_merge", "q43_code_lane_guard", "q46_calibrate_thresholds", "q95_lane_gate"]
 
 
 @pytest.fixture(scope="module")
