@@ -83,21 +83,29 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, longest: int | None = Non
 
 
 def _paths(e: DataFrame, asked: DataFrame, longest: int | None) -> DataFrame:
-    asked = materialise(asked, "pairs")
-    frontier = asked.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct()
-    seen, found, open_pairs = frontier.select("source", "node"), [], asked
+    """The paths from both ends at once: the side with fewer nodes goes a step further, until the two meet."""
+    open_pairs = asked = materialise(asked, "pairs")
+    sides = {end: asked.select(end, F.col(end).alias("node"), F.array(end).alias("path")).distinct() for end in ("source", "target")}
+    seen, size, found = {end: f.select(end, "node") for end, f in sides.items()}, dict.fromkeys(sides, 0), []
     for length in count():
-        hit = open_pairs.join(frontier.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", F.lit(length).alias("length"), "path")
-        found.append(hit)
+        # a shortest path of this length has one node where the outermost nodes of both sides meet
+        met = open_pairs.join(sides["source"], "source").join(sides["target"].withColumnRenamed("path", "rest"), ["target", "node"])
+        hit = materialise(met.groupBy("source", "target").agg(F.min(F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))).alias("path")), "hits")
+        found.append(hit.select("source", "target", F.lit(length).alias("length"), "path"))
         if length == longest:
             break
-        open_pairs = materialise(open_pairs.join(hit.select("source", "target"), ["source", "target"], "left_anti"), "pairs")
-        alive = frontier.join(open_pairs.select("source").distinct(), "source", "left_semi")
-        nxt = alive.join(e, alive["node"] == e["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        frontier = materialise(nxt.join(seen, ["source", "node"], "left_anti"), "frontier")
-        if frontier.isEmpty():
+        open_pairs = materialise(open_pairs.join(hit, ["source", "target"], "left_anti"), "pairs")
+        end = min(size, key=size.get)
+        near, far = ("src", "dst") if end == "source" else ("dst", "src")
+        alive = broadcast_if_small(sides[end].join(open_pairs.select(end).distinct(), end, "left_semi"), "alive")
+        path = F.concat("path", F.array(far)) if end == "source" else F.concat(F.array(far), "path")
+        nxt = e.join(alive, e[near] == alive["node"]).groupBy(end, F.col(far).alias("node")).agg(F.min(path).alias("path"))
+        sides[end] = materialise(nxt.join(seen[end], [end, "node"], "left_anti"), "frontier")
+        size[end] = sides[end].count()
+        if not size[end]:
             break
-        seen = materialise(seen.unionByName(frontier.select("source", "node")), "seen")
+        seen[end] = materialise(seen[end].unionByName(sides[end].select(end, "node")), "seen")
+        open_pairs = open_pairs.join(sides[end].select(end).distinct(), end, "left_semi")
     return reduce(DataFrame.unionByName, found)
 
 
