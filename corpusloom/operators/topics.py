@@ -1,8 +1,9 @@
 """Topics of questions and answers: weighted terms, the terms two records share, and groups within one result list.
 
-Everything is rows: a text becomes rows of terms with weights, two records of one list meet by an equi-join on the term,
-and their sums decide. Weights are whole numbers (tenths), so sums do not depend on their order. Lists are the ranked
-rows of one query and bounded by the search's k, so a list is the only thing that is ever put into one row.
+A text becomes terms with weights, and the sums of what two records share decide. For the overlaps they are rows that meet by
+an equi-join on the term; for the groups the terms of a record stay in its row and a task takes one list after the other.
+Weights are whole numbers (tenths), so sums do not depend on their order. Lists are the ranked rows of one query and bounded
+by the search's k, so a list is the only thing that is ever held at once.
 
 Result on odd input: null and empty texts have no terms; a record without terms shares a topic with none and forms a
 group of its own; repeated rows count once; ties of rank go to the smaller item.
@@ -10,11 +11,16 @@ group of its own; repeated rows count once; ties of rank go to the smaller item.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions.stemming import stem
 
@@ -41,6 +47,8 @@ _RUN = r"(?<![\p{L}\p{N}_])[가-힣]+(?![\p{L}\p{N}_])|[\p{L}\p{N}_&&[^가-힣]]
 _PARTS = r"_+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
 _TERMS = "array<struct<term:string,kind:string>>"
 
+Batches = Iterator[pa.RecordBatch]
+
 
 def _terms(run: Column) -> Column:
     """The terms of one run with their kinds."""
@@ -101,18 +109,111 @@ def topic_overlap(lists: DataFrame, key: str, item: str, question: str, answer:
     return both.select(F.col("key").alias(key), "a", "b", "shared", "asked_share", "told_share", ((F.col("shared") >= SHARED) & enough).alias("same"))
 
 
-def topic_groups(lists: DataFrame, key: str, item: str, rank: str, question: str, answer: str, stems: bool = True) -> DataFrame:
-    """(key, item, topic): the items of each list in order of rank, each in the first group with all of whose members it shares its topic."""
-    same = topic_overlap(lists, key, item, question, answer, stems).filter("same")
-    ends = same.select(key, F.col("a").alias(item), F.col("b").alias("mate")).union(same.select(key, F.col("b"), F.col("a")))
-    mates = ends.groupBy(key, item).agg(F.collect_list("mate").alias("mates"))
-    kind = lists.schema[item].dataType.simpleString()
-    order = lists.groupBy(key, item).agg(F.min(rank).alias("rank")).join(mates, [key, item], "left")
-    ordered = order.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(item).alias("item"), F.coalesce("mates", F.array().cast(f"array<{kind}>")).alias("mates")))).alias("items"))
-
-    def place(groups: Column, x: Column) -> Column:
-        at = F.array_position(F.transform(groups, lambda g: F.forall(g, lambda m: F.array_contains(x["mates"], m))), True)
-        return F.when(at > 0, F.transform(groups, lambda g, i: F.when(i == at - 1, F.concat(g, F.array(x["item"]))).otherwise(g))).otherwise(F.concat(groups, F.array(F.array(x["item"]))))
+def topic_groups(lists: DataFrame, key: str, item: str, rank: str, question: str, answer: str, stems: bool = True, records: DataFrame | None = None) -> DataFrame:
+    """(key, item, topic): the items of each list in order of rank, each in the first group with all of whose members it shares its topic.
 
-    grouped = ordered.select(key, F.posexplode(F.aggregate("items", F.array().cast(f"array<array<{kind}>>"), place)).alias("topic", "members"))
-    return grouped.select(key, F.explode("members").alias(item), "topic")
+    The texts are those of ``records`` (item, question, answer), one row for each item, or else those of the lists. Each text is
+    taken apart once, in the task that holds it; what one task holds of the lists is one after the other.
+    """
+    if records is None:
+        rows = lists.groupBy(F.col(key).alias("key"), F.col(item).alias("item")).agg(F.min(rank).alias("rank"), F.first(F.struct(F.col(question).alias("q"), F.col(answer).alias("a"))).alias("__t"))
+        rows = weighed_terms(rows.select("key", "item", "rank", "__t.*"), ["key", "item", "rank"], "q", "a", stems)
+    else:
+        terms = weighed_terms(records.select(F.col(item).alias("item"), F.col(question).alias("q"), F.col(answer).alias("a")), ["item"], "q", "a", stems)
+        rows = lists.groupBy(F.col(key).alias("key"), F.col(item).alias("item")).agg(F.min(rank).alias("rank")).join(terms, "item", "left")
+    kinds = [lists.schema[c].dataType for c in (key, item)]
+    ordered = rows.select("key", "item", "rank", "terms", "wq", "wa").repartition("key").sortWithinPartitions("key", "rank", "item").drop("rank")
+    grouped = ordered.mapInArrow(_grouped(*kinds), f"key {kinds[0].simpleString()}, item {kinds[1].simpleString()}, topic int")
+    return grouped.select(F.col("key").alias(key), F.col("item").alias(item), "topic")
+
+
+def weighed_terms(rows: DataFrame, keys: list[str], question: str, answer: str, stems: bool = True) -> DataFrame:
+    """(keys, terms, wq, wa): the terms of both texts of each row with their highest weights as in ``topic_terms``, 0 where a text lacks one."""
+    found = lambda text: F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(_RUN), 0), _terms))
+    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, found(question).alias("q"), found(answer).alias("a")).mapInArrow(_weighed(stems), f"{fields}, terms array<string>, wq array<int>, wa array<int>")
+
+
+def _weighed(stems: bool) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        root = stem if stems else str
+        generic, hangul = {root(w) for w in GENERIC_WORDS}, set(KOREAN_GENERIC)
+
+        @lru_cache(maxsize=200_000)
+        def weighed(term: str, kind: str) -> tuple[str, int]:
+            if kind == "identifier":
+                return term, IDENTIFIER
+            if kind == "word":
+                term = root(term)
+            return term, GENERIC if term in (generic if kind == "word" else hangul) else WORD
+
+        for batch in batches:
+            n, weights = batch.num_rows, [{} for _ in range(batch.num_rows)]
+            for side in (0, 1):
+                lists = batch.column(batch.num_columns - 2 + side)
+                ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).tolist()
+                terms, kinds = (c.to_pylist() for c in lists.flatten().flatten())
+                for held, a, z in zip(weights, ends, ends[1:]):
+                    for term, kind in zip(terms[a:z], kinds[a:z]):
+                        term, w = weighed(term, kind)
+                        if len(term) >= 2:
+                            both = held.setdefault(term, [0, 0])
+                            both[side] = max(both[side], w)
+            ends = pa.array(np.append(0, np.cumsum([len(held) for held in weights])), pa.int32())
+            columns = [pa.array([t for held in weights for t in held], pa.string()), *(pa.array([w[side] for held in weights for w in held.values()], pa.int32()) for side in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.ListArray.from_arrays(ends[: n + 1], c) for c in columns)], names=[*batch.schema.names[:-2], "terms", "wq", "wa"])
+
+    return run
+
+
+def _grouped(key_type: DataType, item_type: DataType) -> Callable[[Batches], Batches]:
+    """From (key, item, terms, wq, wa), the rows of a key together and in order, to (key, item, topic)."""
+
+    def groups(rows: pa.RecordBatch, keys: list) -> pa.RecordBatch:
+        items, topics = rows.column(1).to_pylist(), np.zeros(len(keys), np.int32)
+        lists = rows.column(2)
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+        code, asked, told = lists.flatten().dictionary_encode().indices.to_numpy(), *(rows.column(c).flatten().to_numpy() for c in (3, 4))
+        starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+        for a, z in zip(starts, [*starts[1:], len(keys)]):
+            n, at = z - a, slice(ends[a], ends[z])
+            known, column = np.unique(code[at], return_inverse=True)
+            wq, wa = np.zeros((2, n, len(known)), np.int32)
+            row = np.repeat(np.arange(n), np.diff(ends[a : z + 1]))
+            wq[row, column], wa[row, column] = asked[at], told[at]
+            plain, tq, ta = np.where(wq > 0, wq, wa), wq.sum(1), wa.sum(1)
+            members: list[list[int]] = []
+            for i in range(n):
+                mates = _mates(i, wq, wa, plain, tq, ta) if i and keys[a] is not None and items[a + i] is not None else np.zeros(i, bool)
+                topic = next((g for g, m in enumerate(members) if mates[m].all()), len(members))
+                if topic == len(members):
+                    members.append([])
+                members[topic].append(i)
+                topics[a + i] = topic
+        return pa.RecordBatch.from_arrays([pa.array(keys, to_arrow_type(key_type)), pa.array(items, to_arrow_type(item_type)), pa.array(topics)], names=["key", "item", "topic"])
+
+    def run(batches: Batches) -> Batches:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pa.concat_batches([rest, batch])
+            keys = rows.column(0).to_pylist()
+            cut = len(keys)  # the last list may go on in the next batch
+            while cut and keys[cut - 1] == keys[-1]:
+                cut -= 1
+            if cut:
+                yield groups(rows.slice(0, cut), keys[:cut])
+            rest = rows.slice(cut) if keys else None
+        if rest is not None:
+            yield groups(rest, rest.column(0).to_pylist())
+
+    return run
+
+
+def _mates(i: int, wq: np.ndarray, wa: np.ndarray, plain: np.ndarray, tq: np.ndarray, ta: np.ndarray) -> np.ndarray:
+    """Which of the rows before row i share its topic, by the shares of ``topic_overlap``."""
+    shared = (np.minimum(plain[:i], plain[i]) >= WORD).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        asked = np.where((tq[:i] > 0) & (tq[i] > 0), np.minimum(wq[:i], wq[i]).sum(1) / np.minimum(tq[:i], tq[i]), 0.0)
+        told = np.minimum(wa[:i], wa[i]).sum(1) / np.minimum(ta[:i], ta[i])
+    enough = np.where((ta[:i] > 0) & (ta[i] > 0), (asked >= ASKED) & (told >= TOLD) | (told >= TOLD_ALONE), asked >= ASKED_ALONE)
+    return (shared >= SHARED) & enough

@@ -83,17 +83,18 @@ def q67(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(asked, qa_id, rank, query, answer): the ten earlier or later records that fit the question of each record best."""
+    """(asked, qa_id, rank): the ten earlier or later records that fit the question of each record best."""
     log = table(spark, sf_dir, "qa_log").dropDuplicates(["qa_id"]).withColumn("both", F.concat_ws(" ", "query", "answer_excerpt"))
     asked = log.select(F.col("qa_id").alias("asked"), F.col("query").alias("question"))
     found = bm25_topk(log, "qa_id", "both", asked, "asked", "question", 10)
-    return found.select(F.col("query").alias("asked"), F.col("doc").alias("qa_id"), "rank").join(log.select("qa_id", "query", "answer_excerpt", "ts"), "qa_id")
+    return found.select(F.col("query").alias("asked"), F.col("doc").alias("qa_id"), "rank").filter("qa_id is not null")
 
 
 @module.add("q68_topic_groups")
 def q68(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records found for the question of each record, grouped by topic."""
-    return P.topic_groups(answer_lists(spark, sf_dir), "asked", "qa_id", "rank", "query", "answer_excerpt")
+    log = table(spark, sf_dir, "qa_log").dropDuplicates(["qa_id"])
+    return P.topic_groups(answer_lists(spark, sf_dir), "asked", "qa_id", "rank", "query", "answer_excerpt", records=log)
 
 
 _STOP, _KO = "', '".join(P.STOP), "', '".join(P.KOREAN_STOP)
