@@ -1,6 +1,6 @@
 """Inverted lists and vectors that are kept up by deltas instead of being built anew for each search.
 
-Both are ``ManifestTable``s: what is added or replaced is one version, deletions are vectors over older files, and a search
+Both rest on ``ManifestTable``s: what is added or replaced is one version, deletions are vectors over older files, and a search
 reads the live rows. A document's length is its row of the empty term, so the statistics are always those of what is live.
 
 Result on odd input: null and empty texts have a length of 0 and no other posting; repeated ids within one call count as one
@@ -9,6 +9,11 @@ document (the smallest text); removing what is not there changes nothing; an ind
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,22 +28,34 @@ FEW_TERMS = 256
 
 
 class LexicalIndex:
+    """``lists`` has (term, doc, tf, batch), the postings of each call of ``upsert`` under a number of its own, and ``docs`` (doc, batch)
+    the batch whose postings of a document count, so replacing or removing a document touches one row. An upsert is there once
+    ``docs`` has it; postings that no row of ``docs`` names are passed over."""
+
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.lists = spark, ManifestTable(spark, folder)
+        self.spark, self.lists, self.docs = spark, ManifestTable(spark, folder), ManifestTable(spark, f"{folder}/docs")
 
     def upsert(self, docs: DataFrame, doc: str, text: str) -> int:
         """Put documents in, in place of those with the same id."""
-        d = docs.filter(F.col(doc).isNotNull()).groupBy(F.col(doc).alias("doc")).agg(F.min(text).alias("t")).select("doc", words(F.col("t")).alias("w"))
-        rows = d.select("doc", F.size("w").alias("len"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term")).groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
+        d = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("t"))
+        # only texts of repeated ids are shuffled
+        several = broadcast_if_small(d.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc"), "repeats")
+        if not several.isEmpty():
+            d = d.join(several, "doc", "left_anti").unionByName(d.join(several, "doc", "left_semi").groupBy("doc").agg(F.min("t").alias("t")))
+        batch = uuid.uuid4().int >> 65
+        rows = d.select("doc", words(F.col("t")).alias("w")).mapInArrow(_postings, f"term string, doc {d.schema['doc'].dataType.simpleString()}, tf bigint").withColumn("batch", F.lit(batch).cast("bigint"))
         # sorted files let a search skip those whose terms are all others
-        return self.lists.upsert(rows.sortWithinPartitions("term", "doc"), ["doc"])
+        version = self.lists.append(rows.sortWithinPartitions("term", "doc"))
+        added = [f for m in self.lists.versions(version - 1, version) for f in m["added"]]
+        put = self.spark.read.schema(rows.schema).parquet(*added).filter("term = ''") if added else rows.limit(0)
+        return self.docs.upsert(put.select("doc", "batch"), ["doc"])
 
     def remove(self, ids: DataFrame) -> int:
         """Take documents out; ``ids`` has one column."""
-        return self.lists.remove(ids.toDF("doc"))
+        return self.docs.remove(ids.toDF("doc"))
 
     def count(self) -> int:
-        return self.lists.live().filter("term = ''").count() if self.lists.latest() else 0
+        return self.docs.live().count() if self.docs.latest() else 0
 
     def search(self, queries: DataFrame, query: str, text: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(query, doc, score, rank), as ``bm25_topk`` gives over the live documents; only the lists of asked terms are read."""
@@ -47,14 +64,30 @@ class LexicalIndex:
 
     def _rows(self, terms: list[str]) -> DataFrame:
         """(doc, part, len, w, tf): each live document with those of the terms that it holds."""
-        live = self.lists.live()
+        lists = self.lists.live()
         # a few terms reach the scan, which skips the row groups of others; more are joined
         if len(terms) <= FEW_TERMS:
-            chosen = live.filter(F.col("term").isin("", *terms))
+            chosen = lists.filter(F.col("term").isin("", *terms))
         else:
-            chosen = live.join(broadcast_if_small(self.spark.createDataFrame([(t,) for t in ["", *terms]], "term string"), "terms"), "term", "left_semi")
+            chosen = lists.join(broadcast_if_small(self.spark.createDataFrame([(t,) for t in ["", *terms]], "term string"), "terms"), "term", "left_semi")
+        live = chosen.join(broadcast_if_small(self.docs.live(), "live"), ["doc", "batch"], "left_semi")
         named = F.when(F.col("term") != "", F.struct("term", F.col("tf").cast("int").alias("tf")))
-        return chosen.groupBy("doc").agg(F.max("len").alias("len"), F.collect_list(named).alias("held")).select("doc", F.lit(0).alias("part"), "len", F.col("held.term").alias("w"), F.col("held.tf").alias("tf"))
+        length = F.max(F.when(F.col("term") == "", F.col("tf"))).cast("int")
+        return live.groupBy("doc").agg(length.alias("len"), F.collect_list(named).alias("held")).select("doc", F.lit(0).alias("part"), "len", F.col("held.term").alias("w"), F.col("held.tf").alias("tf"))
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc, w) to (term, doc, tf): a row for each distinct word of each text, and one of the empty term with its length."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, 1000):
+            batch = whole.slice(first, 1000)
+            n, lists = batch.num_rows, batch.column(1)
+            encoded, length = lists.flatten().dictionary_encode(), np.diff(lists.offsets.to_numpy())
+            width = max(1, len(encoded.dictionary))
+            key, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64), length) * width + encoded.indices.to_numpy(), return_counts=True)
+            term = pa.concat_arrays([encoded.dictionary.take(pa.array(key % width)), pa.array([""] * n, pa.string())])
+            place = np.concatenate([key // width, np.arange(n)])
+            yield pa.RecordBatch.from_arrays([term, batch.column(0).take(pa.array(place)), pa.array(np.concatenate([tf, length]).astype(np.int64))], names=["term", "doc", "tf"])
 
 
 class VectorStore:
